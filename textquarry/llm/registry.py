@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, sstable, warc
+from . import jaccard, packing, pii, quality, sstable, warc
 
 QUERIES = {
     "op2_warc_conversion": warc.query,
+    "op3_ngram_jaccard": jaccard.query,
     "op4_sstable_shards": sstable.query,
     "op5_feistel_pseudonyms": pii.query,
     "op8_residual_packing": packing.query,
