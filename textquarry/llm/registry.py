@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, pii, quality, sstable, warc
+from . import jaccard, mixing, packing, pii, quality, sstable, topk, warc
 
 QUERIES = {
     "op2_warc_conversion": warc.query,
     "op3_ngram_jaccard": jaccard.query,
     "op4_sstable_shards": sstable.query,
     "op5_feistel_pseudonyms": pii.query,
+    "op7_pivot_topk": topk.query,
     "op8_residual_packing": packing.query,
     "op9_quality_rules": quality.query,
+    "op10_raked_mixing": mixing.query,
+}
+ORACLES: dict[str, str] = {
+    "op7_pivot_topk": topk.ORACLE_SQL,
+    "op10_raked_mixing": mixing.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
