@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, pii, quality, sstable, topk, warc
+from . import jaccard, licences, mixing, packing, pii, quality, sstable, topk, warc
 
 QUERIES = {
+    "op1_license_scan": licences.query,
     "op2_warc_conversion": warc.query,
     "op3_ngram_jaccard": jaccard.query,
     "op4_sstable_shards": sstable.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_raked_mixing": mixing.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licences.ORACLE_SQL,
     "op7_pivot_topk": topk.ORACLE_SQL,
     "op10_raked_mixing": mixing.ORACLE_SQL,
 }
