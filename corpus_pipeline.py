@@ -1,10 +1,68 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, pseudonyms, mixing to target weights, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the columns of
+documents, but for the last, which returns the packed pieces. Between stages the rows are written as Parquet to the
+shared folder and read again. Rows with a null doc_id go through every stage on their own.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.llm import jaccard, mixing, packing, pii, quality
+from textquarry.llm.common import stage, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one of smallest doc_id stays, once."""
+    found = stage(jaccard.classes(docs), "classes")
+    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    left = docs.join(F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone.hint("merge"), "doc_id", "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if not again:
+        once = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        left = once.unionByName(left.where("doc_id IS NULL"))
+    return left.select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to pseudonyms; n_chars follows the new text."""
+    return pii.pseudonymise(docs, pii.KEY).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the raked probabilities draw stay."""
+    return mixing.mix(docs).where("sampled").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("pseudonyms", pseudonyms),
+    ("mixing sources to target weights", mixing_weights),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Training, set joins over hashes and tokenization have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, name.replace(" ", "-"))
+    return docs

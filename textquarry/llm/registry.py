@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, packing, pii, quality, sstable, topk, warc
+from . import jaccard, licences, mixing, packing, pii, quality, sstable, substrings, topk, warc
 
 QUERIES = {
     "op1_license_scan": licences.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard.query,
     "op4_sstable_shards": sstable.query,
     "op5_feistel_pseudonyms": pii.query,
+    "op6_suffix_dedup": substrings.query,
     "op7_pivot_topk": topk.query,
     "op8_residual_packing": packing.query,
     "op9_quality_rules": quality.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.ORACLE_SQL,
+    "op6_suffix_dedup": substrings.query,
     "op7_pivot_topk": topk.ORACLE_SQL,
     "op10_raked_mixing": mixing.ORACLE_SQL,
 }
