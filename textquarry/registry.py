@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import inline, tables
+
+QUERIES: dict = tables.QUERIES | inline.QUERIES
+ORACLES: dict[str, str] = tables.ORACLES | inline.ORACLES
