@@ -72,17 +72,17 @@ def changed_symbols(diffs: DataFrame) -> DataFrame:
     by = by.withColumn("change", F.when((F.col("p") + F.col("m")) > 1, "modified").when(F.col("p") > 0, "added").otherwise("removed"))
     nth = F.row_number().over(Window.partitionBy("diff_id", "file", "change").orderBy("first", "name"))
     ranked = by.withColumn("_k", nth)
-    gone = ranked.where("change = 'removed'").select("diff_id", "file", "_k", F.col("name").alias("old_name"))
-    out = ranked.join(gone.withColumn("_c", F.lit("added")), (ranked["diff_id"] == gone["diff_id"]) & (ranked["file"] == gone["file"]) & (ranked["_k"] == gone["_k"]) & (ranked["change"] == "added"), "left").select(ranked["diff_id"], ranked["file"], "name", "change", "old_name", ranked["_k"])
-    made = ranked.where("change = 'added'").select("diff_id", "file", "_k").withColumn("_r", F.lit("removed"))
-    keep = out.join(made, (out["diff_id"] == made["diff_id"]) & (out["file"] == made["file"]) & (out["_k"] == made["_k"]) & (out["change"] == made["_r"]), "left_anti")
-    return keep.select("diff_id", "file", "name", F.when(F.col("old_name").isNotNull(), "renamed").otherwise(F.col("change")).alias("change"), "old_name")
+    pairs = ranked.groupBy("diff_id", "file", "_k").agg(F.max(F.when(F.col("change") == "removed", F.col("name"))).alias("_gone"), F.max(F.when(F.col("change") == "added", F.col("name"))).alias("_made")).where("_gone IS NOT NULL AND _made IS NOT NULL")
+    met = ranked.where("change <> 'modified'").join(pairs, ["diff_id", "file", "_k"], "left")
+    renamed = F.col("_made").isNotNull()
+    out = met.where(~renamed | (F.col("change") == "added")).select("diff_id", "file", "name", F.when(renamed, "renamed").otherwise(F.col("change")).alias("change"), F.when(renamed, F.col("_gone")).alias("old_name"))
+    return out.unionByName(ranked.where("change = 'modified'").select("diff_id", "file", "name", "change", F.lit(None).cast("string").alias("old_name")))
 
 
 def categorised(diffs: DataFrame) -> DataFrame:
     """diff_id, category, confidence: scores of refactor, bugfix, feature and breaking; the first of the highest wins."""
     lines = F.split("content", "\n")
-    up, down = (F.size(F.filter(lines, lambda x, s=s: x.startswith(s))) for s in "+-")
+    up, down = F.size(F.filter(lines, lambda x: x.startswith("+"))), F.size(F.filter(lines, lambda x: x.startswith("-")))
     has = lambda p: F.col("content").rlike(f"(?i){p}")
     balanced = (up > 0) & (down > 0) & (F.abs(up - down) < F.greatest(up, down) * 0.3)
     scores = [

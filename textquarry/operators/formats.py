@@ -60,8 +60,8 @@ def coverage_summary(records: DataFrame) -> DataFrame:
 
 def notebooks(files: DataFrame) -> DataFrame:
     """path, language, cells, code_cells, markdown_cells, in_order, unexecuted, errors, imports."""
-    source = "cell_type string, source string, execution_count bigint, outputs array<struct<output_type: string, ename: string, evalue: string>>"
-    book = F.from_json("content", f"struct<metadata: struct<kernelspec: struct<language: string>>, cells: array<struct<{source.replace(' string', ': string').replace(' bigint', ': bigint').replace('outputs array', 'outputs: array')}>>>")
+    cell = "struct<cell_type: string, source: string, execution_count: bigint, outputs: array<struct<output_type: string, ename: string, evalue: string>>>"
+    book = F.from_json("content", f"struct<metadata: struct<kernelspec: struct<language: string>>, cells: array<{cell}>>")
     one = files.select("path", book.alias("b"))
     cells = F.coalesce("b.cells", F.array())
     code = F.filter(cells, lambda c: c["cell_type"] == "code")

@@ -243,7 +243,7 @@ CICD = "path string, platform string, what string, job string, value string"
 
 def _cicd(path: str, text: str) -> Iterator[tuple]:
     if ".github/workflows/" in path:
-        top = re.search(r"(?m)^on:\s*(.*)\n((?:[ \t]+.*\n|\n)*)", text)
+        top = re.search(r"(?m)^on:[ \t]*(.*)\n((?:[ \t]+.*\n|\n)*)", text)
         triggers = re.findall(r"\w+", top[1]) or re.findall(r"(?m)^ {2}(\w+):?", top[2]) if top else []
         yield from ((path, "github-actions", "trigger", None, t) for t in triggers)
         if not triggers:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, trimmed
@@ -29,7 +29,12 @@ def symbols(files: DataFrame, kinds: list[str] | None = None, language: str | No
     known = sorted({r[0] for r in rules if r[0] != S.GENERIC})
     rule_language = F.when(F.col("language").isin(known), F.col("language")).otherwise(F.lit(S.GENERIC))
     lines = given.withColumn("_rules", rule_language).select("path", "language", "_rules", F.posexplode(F.split("content", "\n")).alias("k", "text"))
-    found = F.concat(*[F.transform(F.when(F.col("_rules") == lang, F.regexp_extract_all("text", F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>")), lambda n, kind=kind, o=o: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(o).alias("ord"))) for o, (lang, kind, p) in enumerate(rules)])
+
+    def hits(o: int, lang: str, kind: str, p: str) -> Column:
+        names = F.when(F.col("_rules") == lang, F.regexp_extract_all("text", F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(o).alias("ord")))
+
+    found = F.concat(*[hits(o, *rule) for o, rule in enumerate(rules)])
     each = lines.select("path", "language", (F.col("k") + 1).alias("line_no"), F.substr(trimmed(F.col("text")), F.lit(1), F.lit(200)).alias("signature"), F.inline(found)).where(F.length("name") >= 2)
     first = each.groupBy("path", "language", "name", "kind").agg(F.min(F.struct("ord", "line_no", "signature")).alias("x"))
     return first.select("path", "name", "kind", F.col("x.line_no").cast("long").alias("line_no"), "language", "x.signature")
