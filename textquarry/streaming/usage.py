@@ -14,7 +14,7 @@ def usage_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     raw = reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else reader.parquet(path)
-    return events_as_usage(raw)
+    return events_as_usage(raw.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
