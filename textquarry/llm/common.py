@@ -31,16 +31,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
+#: With it, the shuffle files of a write go when the write is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Narrow tables (identifiers and counts) are written by one task for so many partitions.
+NARROW = 16
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and lost executors lose nothing.
+
+    narrow: df is cheap to compute and its rows are a few numbers, so fewer, larger files do.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(max(6, spread(spark) // NARROW)) if narrow else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     schema = df.schema
     tidy(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df computed once and kept by the driver: for tables of one row a file or partition, whose rows don't follow the documents."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at the next chance collection."""
     gc.collect()

@@ -2,11 +2,12 @@
 
 A text's set is its distinct 5-word shingles (64-bit hashes). The steps:
 
-1. `sets`: size, fingerprint, min-hashes and a 128-cell histogram of each set, and a count sketch of all shingles whose
-   size doesn't depend on the input. Texts with equal fingerprints are one node.
+1. `sets`: size, fingerprint, min-hashes and a 128-cell histogram of each set, and the shingles that are frequent within
+   any COUNTED shingles in a row, with their counts. Texts with equal fingerprints are one node.
 2. Star links: in each min-hash bucket every node is compared with the bucket's pivot only. These are verified links.
    They give classes of highly similar sets, whose answers are derived from one another from here on.
-3. The index: rare-first prefixes (order: sketch class, then hash) give inverted lists. A list holds one entry per
+3. The index: rare-first prefixes (order: frequency class, then hash) give inverted lists. Any fixed order is exact; the
+   classes, in a table of bounded size, only keep passages that many documents share out of the prefixes. A list holds one entry per
    class, not per set. Lists are cut into blocks, and a pair of blocks is skipped where the size or position bounds of
    the blocks rule every pair out; entries of one class never meet. All other pairs of classes are candidates.
 4. For a candidate pair of classes the two members whose histograms differ least are verified first; if they link, the
@@ -36,14 +37,18 @@ from .common import SLICE_ROWS, hot_keys, salted_join, spread, stage, table
 from .components import components
 
 CELLS = 128
-BUCKETS = 1 << 16
+#: Cells of the table of frequency classes.
+BUCKETS = 1 << 21
+#: Shingles that are counted together; those that occur FREQUENT times among them are frequent.
+COUNTED = 4_000_000
+FREQUENT = 3
 MINHASHES = 4
 BLOCK = 64
 #: A side of at most so many rows of a few integers is broadcast after it has been counted; beyond that it is shuffled.
 BROADCAST_ROWS = 100_000
 #: Rows of postings that are combined before they are shuffled.
 COMBINE = 1_000_000
-SETS = "doc_id long, n_shingles long, fp binary, mins array<long>, hist binary, base int, counts array<long>"
+SETS = "doc_id long, n_shingles long, fp binary, mins array<long>, hist binary, frequent array<long>, counts array<long>"
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,15 +57,28 @@ def _percent(threshold: float) -> int:
 
 
 def sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """A row of SETS for each document, and rows without doc_id that hold parts of the tasks' count sketches (base is set)."""
+    """A row of SETS for each document, and rows without doc_id that hold frequent shingles and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, schema = np.zeros(BUCKETS, np.int64), pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("mins", pa.list_(pa.int64())), ("hist", pa.binary()), ("base", pa.int32()), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("mins", pa.list_(pa.int64())), ("hist", pa.binary()), ("frequent", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        held: list[np.ndarray] = []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            which, count = np.unique(np.concatenate(held), return_counts=True)
+            which, count = which[count >= FREQUENT].view(np.int64), count[count >= FREQUENT]
+            if len(which):
+                cuts = [slice(k, k + 50_000) for k in range(0, len(which), 50_000)]
+                none = [pa.nulls(len(cuts), f.type) for f in list(schema)[:5]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([which[c] for c in cuts], pa.list_(pa.int64())), pa.array([count[c] for c in cuts], pa.list_(pa.int64()))], schema=schema)
+
         for batch in batches:
             for lo, hi, buf, offs in K.chunks(batch.column(1)):
                 sh, first = K.shingles(buf, offs, n)
                 size, rows = np.diff(first), hi - lo
-                sketch += np.bincount((sh & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                held.append(sh)
+                if sum(map(len, held)) >= COUNTED:
+                    yield from counted()
+                    held.clear()
                 doc = np.repeat(np.arange(rows), size)
                 full = size > 0
                 mins, prints = np.zeros((rows, MINHASHES), np.int64), np.zeros((rows, 2), np.uint64)
@@ -74,24 +92,25 @@ def sets(docs: DataFrame, n: int = 5) -> DataFrame:
                 hist = np.minimum(hist, 255).astype(np.uint8)
                 raw, cells = prints.tobytes(), hist.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), pa.array(size), pa.array([raw[16 * d : 16 * d + 16] for d in range(rows)], pa.binary()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([cells[CELLS * d : CELLS * (d + 1)] for d in range(rows)], pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))],
+                    [batch.column(0).slice(lo, rows), pa.array(size), pa.array([raw[16 * d : 16 * d + 16] for d in range(rows)], pa.binary()), pa.array(list(mins), pa.list_(pa.int64())), pa.array([cells[CELLS * d : CELLS * (d + 1)] for d in range(rows)], pa.binary()), pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int64()))],
                     schema=schema,
                 )
-        if sketch.any():
-            parts = range(0, BUCKETS, 4096)
-            none = [pa.nulls(len(parts), f.type) for f in list(schema)[:5]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(parts, pa.int32()), pa.array([sketch[p : p + 4096] for p in parts], pa.list_(pa.int64()))], schema=schema)
+        if held:
+            yield from counted()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
 def frequency_classes(made: DataFrame) -> np.ndarray:
-    """For each of the BUCKETS cells of the sketch a class 0..63 that grows with its count (a bounded result)."""
-    sums = made.where("base IS NOT NULL").select("base", F.posexplode("counts").alias("k", "n")).groupBy((F.col("base") + F.col("k")).alias("cell")).agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS, np.float64)
-    for cell, n in sums:
-        out[cell] = n
-    return np.minimum(63, np.log2(out + 1) * 2).astype(np.uint64)
+    """For each of BUCKETS cells a class from 0 (nothing frequent) to 63 that grows with the count of its most frequent shingle.
+
+    The result has BUCKETS bytes and the driver gets BUCKETS rows at most, whatever the input's size.
+    """
+    each = made.where("frequent IS NOT NULL").select(F.inline(F.arrays_zip(F.col("frequent").alias("s"), F.col("counts").alias("n"))))
+    cells = each.groupBy("s").agg(F.sum("n").alias("n")).groupBy(F.col("s").bitwiseAND(F.lit(BUCKETS - 1)).alias("cell")).agg(F.max("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[cells["cell"].to_numpy()] = np.minimum(63, 1 + 2 * np.log2(cells["n"].to_numpy().astype(np.float64)))
+    return out
 
 
 def histograms_admit(h1: np.ndarray, n1: np.ndarray, h2: np.ndarray, n2: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +123,7 @@ def _stars(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, p): in each min-hash bucket, each node with the bucket's pivot, where sizes and histograms admit a link."""
     entry = lambda k: F.struct((F.col("node") if k % 2 == 0 else F.xxhash64("node", F.lit(k))).alias("o"), "node", "n", "hist")
     every = nodes.select("node", "n", "hist", F.explode(F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("mins")[k]).alias("bucket"), entry(k).alias("e")) for k in range(MINHASHES)])).alias("x")).select("x.bucket", "x.e")
-    every = stage(every, "star-entries")
+    every = stage(every, "star-entries", narrow=True)
     pivots = every.groupBy("bucket").agg(F.min("e").alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     met = salted_join(every, pivots, "bucket", ["e.node"]).where("e.node <> p.node AND least(e.n, p.n) * 100 >= greatest(e.n, p.n) * %d" % percent)
     met = met.select(F.col("e.node").alias("a"), F.col("p.node").alias("p"), F.col("e.n").alias("n1"), F.col("p.n").alias("n2"), F.col("e.hist").alias("h1"), F.col("p.hist").alias("h2"))
@@ -127,11 +146,10 @@ def sized_join(docs: DataFrame, small: DataFrame, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked ones of pairs (a, p). Texts of the a's of one p come in slices, each with p's text once at its head."""
-    pairs = stage(pairs, "pairs")
     slices = F.broadcast(hot_keys(pairs, "p"))
     dealt = pairs.join(slices, "p", "left").select("a", "p", F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.col("_slices"))).cast("long").alias("slice"))
     need = dealt.select(F.col("a").alias("doc_id"), "p", "slice", F.lit(1).alias("role")).union(dealt.select(F.col("p").alias("doc_id"), "p", "slice", F.lit(0).alias("role")).distinct())
-    need = stage(need, "needed-texts")
+    need = stage(need, "needed-texts", narrow=True)
     texts = sized_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), need, need.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +205,7 @@ def postings(docs: DataFrame, classes_of: DataFrame, rows: int, order: np.ndarra
             cls = batch.column(0).to_numpy()
             for lo, hi, buf, offs in K.chunks(batch.column(1)):
                 sh, first = K.shingles(buf, offs, n)
-                key = (rank[(sh & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(57)) | (sh >> np.uint64(7))
+                key = (rank[(sh & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (sh >> np.uint64(7))
                 cut = []
                 for d in range(hi - lo):
                     x = np.sort(key[first[d] : first[d + 1]])
@@ -260,78 +278,74 @@ def candidate_classes(index: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "c1 long, c2 long").distinct()
 
 
-def member_pairs(cands: DataFrame, nodes: DataFrame, percent: int, best_only: bool, chunk: int = 512) -> DataFrame:
-    """(a, p): pairs of members of candidate classes that sizes and histograms admit; best_only: the nearest one of a pair of chunks.
+def member_pairs(cands: DataFrame, nodes: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
+    """(a, p, nearest): pairs of members of candidate classes that sizes and histograms admit; nearest: the first of a pair of chunks.
 
     Members travel in chunks, so a pair of classes is a few rows, and pairs of members exist only inside a task's arrays.
     """
     slots = nodes.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("slots"))
     dealt = salted_join(nodes.select("class", "node", "n", "hist"), slots, "class", ["node"])
     packed = stage(dealt.groupBy("class", F.pmod(F.xxhash64("node"), F.col("slots")).alias("slot")).agg(F.collect_list(F.struct("node", "n", "hist")).alias("members")), "members")
-    left = salted_join(cands, packed.select(F.col("class").alias("c1"), F.col("members").alias("m1")), "c1", ["c2"])
-    both = salted_join(stage(left, "candidates"), packed.select(F.col("class").alias("c2"), F.col("members").alias("m2")), "c2", ["c1"])
+    cands = cands.select(F.col("c1").alias("left_class"), F.col("c2").alias("right_class"))
+    left = salted_join(cands, packed.select(F.col("class").alias("left_class"), F.col("members").alias("m1")), "left_class", ["right_class"])
+    both = salted_join(stage(left, "candidates"), packed.select(F.col("class").alias("right_class"), F.col("members").alias("m2")), "right_class", ["left_class"])
 
     def side(column: pa.Array) -> list[tuple]:
         return [(np.array([x["node"] for x in m]), np.array([x["n"] for x in m]), np.frombuffer(b"".join(x["hist"] for x in m), np.uint8).reshape(-1, CELLS)) for m in column.to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, p = [], []
+            a, p, near = [], [], []
             for (x, nx, hx), (y, ny, hy) in zip(side(batch.column(0)), side(batch.column(1)), strict=True):
-                best = None
+                start, gains = len(a), []
                 for i in range(len(x)):
-                    size_ok = (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny))
+                    size_ok = 100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny)
                     ok, far = histograms_admit(hx[i], nx[i], hy, ny, percent)
                     at = np.flatnonzero(ok & size_ok)
-                    if best_only and len(at):
-                        gain = far[at] / (nx[i] + ny[at])
-                        k = int(gain.argmin())
-                        if best is None or gain[k] < best[0]:
-                            best = (gain[k], x[i], y[at[k]])
-                    elif len(at):
-                        a += [x[i]] * len(at)
-                        p += y[at].tolist()
-                if best:
-                    a.append(best[1])
-                    p.append(best[2])
+                    a += [x[i]] * len(at)
+                    p += y[at].tolist()
+                    gains += (far[at] / (nx[i] + ny[at])).tolist()
+                near += [False] * len(gains)
+                if gains:
+                    near[start + int(np.argmin(gains))] = True
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64())], ["a", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(near)], ["a", "p", "nearest"])
 
-    return both.select("m1", "m2").mapInArrow(run, "a long, p long").distinct()
+    return both.select("m1", "m2").mapInArrow(run, "a long, p long, nearest boolean")
 
 
 def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     percent = _percent(threshold)
     made = stage(sets(docs, n), "sets")
-    rows = made.where("base IS NULL")
-    nodes = stage(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "mins", "hist")).alias("x")).select("fp", F.col("x.doc_id").alias("node"), "x.n", "x.mins", "x.hist"), "nodes")
-    links = verified(_stars(nodes, percent), docs, n, percent)
-    labels = stage(components(links), "labels")
+    rows = made.where("frequent IS NULL")
+    nodes = stage(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "mins", "hist")).alias("x")).select("fp", F.col("x.doc_id").alias("node"), "x.n", "x.mins", "x.hist"), "nodes", narrow=True)
+    links = verified(stage(_stars(nodes, percent), "pairs"), docs, n, percent)
+    labels = stage(components(links), "labels", narrow=True)
 
     def labelled(labels: DataFrame) -> DataFrame:
         return nodes.join(labels, "node", "left").select("fp", "node", "n", "hist", F.coalesce("label", "node").alias("class"))
 
-    known = stage(labelled(labels), "classes")
+    known = stage(labelled(labels), "classes", narrow=True)
     fp_class = known.select("fp", "class")
     of_docs = salted_join(rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "fp"), fp_class, "fp", ["doc_id"]).where("doc_id <> class").select("doc_id", "class").distinct()
-    of_docs = stage(of_docs, "classes-of-documents")
+    of_docs = stage(of_docs, "classes-of-documents", narrow=True)
     index = postings(docs, of_docs, of_docs.count(), frequency_classes(made), n, percent)
     cands = stage(candidate_classes(index, percent), "candidate-classes")
-    for best_only in (True, False):
-        if cands.isEmpty():
-            break
-        more = verified(member_pairs(cands, known, percent, best_only), docs, n, percent)
+    rest = stage(member_pairs(cands, known, percent), "member-pairs")
+    for step in (rest.where("nearest"), None):
+        if step is None:
+            # what the nearest pairs have joined needs no further answer
+            of = known.select(F.col("node").alias("a"), F.col("class").alias("_1"))
+            step = salted_join(rest.where("NOT nearest"), of, "a", ["p"])
+            step = salted_join(step, of.select(F.col("a").alias("p"), F.col("_1").alias("_2")), "p", ["a"]).where("_1 <> _2")
+        step = stage(step.select("a", "p").distinct(), "pairs", narrow=True)
+        if step.isEmpty():
+            continue
+        more = verified(step, docs, n, percent)
         if not more.isEmpty():
             links = links.union(more)
-            now = stage(components(links), "labels")
-            known = stage(labelled(now), "classes")
-        if best_only:
-            label = known.select(F.col("node").alias("c1"), F.col("class").alias("_1"))
-            moved = salted_join(cands, label, "c1", ["c2"], "left")
-            moved = salted_join(stage(moved, "moved"), label.select(F.col("c1").alias("c2"), F.col("_1").alias("_2")), "c2", ["c1"], "left")
-            moved = moved.select(F.coalesce("_1", "c1").alias("x"), F.coalesce("_2", "c2").alias("y")).where("x <> y")
-            cands = stage(moved.select(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2")).distinct(), "candidate-classes")
+            known = stage(labelled(stage(components(links), "labels", narrow=True)), "classes", narrow=True)
     final = known.select("fp", "class")
     out = salted_join(rows.withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))), final, "fp", ["doc_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))

@@ -76,7 +76,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], at_least: f
     counted = units.select("path", "unit", F.xxhash64("passage").alias("same"), "n_words", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
     keys = ["path", "unit", "same", "n_words"]
     tf = counted.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")).join(idf_table, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    tf = stage(tf, "licence-terms")
+    tf = stage(tf, "licence-terms", narrow=True)
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("n_terms"))
     dots = tf.join(weight_table, "term").groupBy(*keys, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).select("path", "n_words", "n_terms", F.substring_index("template", "#", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
@@ -87,16 +87,16 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], at_least: f
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, at_least: float = AT_LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """RESULT for each path of files(path, content). origin: own, licence file, inherited, or null."""
     given = files.select(F.col("path").cast("string"), F.col("content").cast("string"))
-    own = stage(own_licences(given.withColumn("path", F.coalesce("path", F.lit("\0"))), templates or TEMPLATES, at_least), "own-licences")
+    own = stage(own_licences(given.withColumn("path", F.coalesce("path", F.lit("\0"))), templates or TEMPLATES, at_least), "own-licences", narrow=True)
     folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_extract("path", "[^/]*$", 0)
     paths = given.select(F.coalesce("path", F.lit("\0")).alias("path")).distinct().join(own.hint("merge"), "path", "left")
     speaks = F.col("license").isNotNull() & (name.rlike(NAMES) | (F.col("share") >= file_share))
-    paths = stage(paths.select("path", F.when(F.col("path") != "\0", folder).alias("dir"), "license", "score", F.coalesce(speaks, F.lit(False)).alias("speaks")), "licence-paths")
+    paths = stage(paths.select("path", F.when(F.col("path") != "\0", folder).alias("dir"), "license", "score", F.coalesce(speaks, F.lit(False)).alias("speaks")), "licence-paths", narrow=True)
     spoken = paths.where("speaks AND dir IS NOT NULL").groupBy("dir").agg(F.max(F.struct("score", "license")).alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("dir_license"))
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
     climb = paths.where("dir IS NOT NULL").select("dir").distinct().select("dir", F.inline(ups))
-    climb = stage(climb.where("above = dir OR above <> ''").union(climb.where("above = '' AND depth = 0 AND dir <> ''")).distinct(), "licence-directories")
+    climb = stage(climb.where("above = dir OR above <> ''").union(climb.where("above = '' AND depth = 0 AND dir <> ''")).distinct(), "licence-directories", narrow=True)
     nearest = salted_join(climb, spoken, "above", ["dir"]).groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("b")).select("dir", F.col("b.above").alias("from_dir"), F.col("b.dir_license").alias("dir_license"))
     out = salted_join(paths, nearest, "dir", ["path"], "left")
     inherited = F.col("license").isNull() & F.col("dir_license").isNotNull()

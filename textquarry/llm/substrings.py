@@ -272,8 +272,8 @@ def remove(docs: DataFrame, size: int = 50) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     prints = stage(given.where("doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha")), "text-hashes")
     first = prints.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    copies = stage(salted_join(prints, first, "sha", ["doc_id"]).where("doc_id > least").select("doc_id", "sha").distinct(), "text-copies")
-    shared = stage(prints.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("_shared")), "shared-ids")
+    copies = stage(salted_join(prints, first, "sha", ["doc_id"]).where("doc_id > least").select("doc_id", "sha").distinct(), "text-copies", narrow=True)
+    shared = stage(prints.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("_shared")), "shared-ids", narrow=True)
     small = lambda side: F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("merge")
 
     def tagged(x: DataFrame) -> DataFrame:
