@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_folder, spread, stage, table
+from .common import gathered, new_folder, spread, table
 from .storage import random_access, written
 
 MAGIC = b"TQSST001"
@@ -217,4 +217,4 @@ def documents(manifest: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return documents(stage(write(docs, new_folder(spark, "sstable")), "sstable-manifest"))
+    return documents(gathered(write(docs, new_folder(spark, "sstable"))))

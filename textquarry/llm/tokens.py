@@ -18,7 +18,7 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Words that a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 350_000
 END = 1
 _state: dict[str, tuple] = {}
 
