@@ -16,7 +16,7 @@ way to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, salted_join, stage, table
@@ -59,24 +59,28 @@ def _shares(sums: DataFrame, dim: str, target: dict[str, float] | float) -> Data
 def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
     """cells (dimensions, tokens) with weight: tokens raked to the targets, of the same total.
 
-    Each step aggregates by one dimension and joins the ratios back; marginals are tables of one row a value, joined with
-    hot values dealt over slices, so the number of cells is not bounded by memory.
+    A table of at most BROADCAST_CELLS cells, once counted, is one partition, and all steps are windows over it without a
+    shuffle. Beyond that each step aggregates by one dimension and joins the ratios back, hot values dealt over slices.
     """
     dims = list(targets)
     total = cells.agg(F.sum("tokens").alias("_all"))
-    goals = {d: stage(_shares(cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens")), d, targets[d]).join(F.broadcast(total)).select(d, (F.col("goal") * F.col("_all")).alias("goal")), "mix-goals") for d in dims}
+    goals = {d: stage(_shares(cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens")), d, targets[d]).join(F.broadcast(total)).select(d, (F.col("goal") * F.col("_all")).alias("goal")), "mix-goals", narrow=True) for d in dims}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    small = cells.count() <= BROADCAST_CELLS
-    for k in range(rounds):
+    if cells.count() <= BROADCAST_CELLS:
+        now = now.coalesce(1)
+        for d in dims:
+            now = now.join(F.broadcast(goals[d].select(d, F.col("goal").alias(f"_goal_{d}"))), d)
+        for _ in range(rounds):
+            for d in dims:
+                ratio = F.try_divide(F.col(f"_goal_{d}"), F.sum("weight").over(Window.partitionBy(d)))
+                now = now.withColumn("weight", F.col("weight") * F.coalesce(ratio, F.lit(0.0)))
+        return now.select(*cells.columns, "weight")
+    for _ in range(rounds):
         for d in dims:
             sums = now.groupBy(d).agg(F.sum("weight").alias("_sum"))
-            ratio = sums.join(F.broadcast(goals[d]) if small else goals[d], d).select(d, F.coalesce(F.try_divide("goal", "_sum"), F.lit(0.0)).alias("_ratio"))
-            met = now.join(F.broadcast(ratio), d) if small else salted_join(now, stage(ratio, "mix-ratios"), d, dims)
-            now = met.withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio")
-            if not small:
-                now = stage(now, "mix-weights")
-        if small and k % 2:
-            now = stage(now.coalesce(1), "mix-weights")
+            ratio = sums.join(goals[d], d).select(d, F.coalesce(F.try_divide("goal", "_sum"), F.lit(0.0)).alias("_ratio"))
+            met = salted_join(now, stage(ratio, "mix-ratios", narrow=True), d, dims)
+            now = stage(met.withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio"), "mix-weights", narrow=True)
     return now
 
 
@@ -88,9 +92,9 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, se
     given = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), topic(text).alias("topic"))
     dims = list(targets)
     keyed = given.withColumns({f"_d_{d}": F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for d in dims})
-    cells = stage(keyed.groupBy(*(F.col(f"_d_{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    cells = stage(keyed.groupBy(*(F.col(f"_d_{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens")), "mix-cells", narrow=True)
     key = F.md5(F.to_json(F.array(*dims)))
-    factors = stage(rake(cells, targets, rounds).select(key.alias("_cell"), F.coalesce(F.try_divide("weight", F.col("tokens")), F.lit(1.0)).alias("factor")), "mix-factors")
+    factors = stage(rake(cells, targets, rounds).select(key.alias("_cell"), F.coalesce(F.try_divide("weight", F.col("tokens")), F.lit(1.0)).alias("factor")), "mix-factors", narrow=True)
     with_key = keyed.withColumn("_cell", F.md5(F.to_json(F.array(*(F.col(f"_d_{d}") for d in dims)))))
     if factors.count() <= BROADCAST_CELLS:
         met = with_key.join(F.broadcast(factors), "_cell", "left")
