@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.ORACLE_SQL,
-    "op6_suffix_dedup": substrings.query,
     "op7_pivot_topk": topk.ORACLE_SQL,
     "op10_raked_mixing": mixing.ORACLE_SQL,
 }
