@@ -378,6 +378,35 @@ def test_best_fit_bins(sizes):
     assert len(bins) <= 11 / 9 * -(-sum(sizes) // 64) * 1.5 + 1
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_best_fit_over_counts_is_best_fit(sizes):
+    kinds = packing.best_fit_counts(Counter(sizes), 64)
+    fills = Counter()
+    for n, parts in kinds:
+        fills[sum(size * each for size, each in parts)] += n
+    assert fills == Counter(sum(sizes[i] for i in b) for b in packing.best_fit(sizes, 64))
+    assert sum((Counter({size: n * each}) for n, parts in kinds for size, each in parts), Counter()) == Counter(sizes)
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_packing_of_clustered_lengths_is_best_fit_over_all(spark, monkeypatch, broadcast):
+    """Long texts in one partition and short ones in others: as tight as best-fit over all pieces at once."""
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", broadcast, raising=False)
+    own = random.Random(3)
+    long = [(k, " ".join(["w"] * own.randrange(33, 47))) for k in range(5000)]
+    short = [(10_000 + k, " ".join(["w"] * own.randrange(4, 23))) for k in range(9000)]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(long, schema).coalesce(1).unionByName(spark.createDataFrame(short, schema).repartition(2))
+    rows = packing.pack(docs, room=64).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(k for k, _ in long + short)
+    fills = Counter()
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 64
+    assert len(fills) == len(packing.best_fit([r["length"] for r in rows], 64))
+
+
 # --- 9 quality
 
 

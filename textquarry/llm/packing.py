@@ -1,12 +1,12 @@
-"""Best-fit packing of token pieces into sequences by hierarchical residual packing.
+"""Best-fit packing of token pieces into sequences over the counts of their lengths.
 
-Every partition packs its pieces best-fit, largest first, and emits bins that are full to `near_full`; the others
-travel as items to a partition of the next level, which takes FAN_IN of the level below, until one partition is left.
-A partition holds at most `at_once` pieces or bins in memory; what stays underfull beyond `carry` bins a partition is
-emitted as it is (fullest first), so no level grows with the input.
+A length is at most `room`, so the pieces of any input are at most `room` counts. Best-fit, largest first, over these
+counts gives kinds of sequences (how many of which lengths, and how many such sequences), the same as best-fit over all
+pieces at once; a piece then takes the slot that its rank among all pieces of its length has. Nothing is cut off: memory
+depends on `room` alone, however long and short pieces lie in the files.
 
 Cases: a null or empty text is the end id alone; a null doc_id is packed like any other; repeated rows are packed each
-by itself; an empty table gives no rows. Ties of equal length go in order of arrival; any placement is a valid one.
+by itself; an empty table gives no rows. Ties of equal length go in order of partition and arrival.
 """
 
 from __future__ import annotations
@@ -14,17 +14,18 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import stage, table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = f"sequence_id long, fill int, open boolean, pieces array<struct<{PIECE}>>"
-FAN_IN = 8
+#: A table of so many counts at most is broadcast after it has been counted; beyond that the join is a merge.
+BROADCAST_COUNTS = 50_000
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -52,38 +53,51 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-class Packer:
-    """Packs items (fill, pieces) of one partition and yields rows of BINS."""
-
-    def __init__(self, level: int, room: int, near_full: float, at_once: int, carry: int, last: bool) -> None:
-        self.level, self.room, self.at_once, self.carry, self.last = level, room, at_once, carry, last
-        self.near = room if near_full >= 1 else int(room * near_full)
-        self.items: list[tuple[int, list]] = []
-        self.made = 0
-
-    def row(self, fill: int, pieces: list, again: bool) -> tuple:
-        self.made += 1
-        return ((self.level + 1) << 56 | TaskContext.get().partitionId() << 32 | self.made, fill, again, pieces)
-
-    def pack(self) -> list[tuple[int, list]]:
-        """Leaves the underfull bins as items and returns the full ones."""
-        full, under = [], []
-        for b in best_fit([x[0] for x in self.items], self.room):
-            one = (sum(self.items[i][0] for i in b), [p for i in b for p in self.items[i][1]])
-            (full if one[0] >= self.near else under).append(one)
-        under.sort(key=lambda x: -x[0])
-        more = max(0, len(under) - self.carry)
-        self.items = under[more:]
-        return full + under[:more]
-
-    def add(self, fill: int, pieces: list) -> Iterator[tuple]:
-        self.items.append((fill, pieces))
-        if len(self.items) >= self.at_once:
-            yield from (self.row(*x, False) for x in self.pack())
-
-    def end(self) -> Iterator[tuple]:
-        yield from (self.row(*x, False) for x in self.pack())
-        yield from (self.row(*x, not self.last) for x in self.items)
+def best_fit_counts(counts: dict[int, int], room: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """best_fit over counts of sizes: (bins, [(size, how many in each)]), largest first. Each size adds at most three kinds."""
+    left: list[list[tuple]] = [[] for _ in range(room + 1)]
+    free: list[int] = []
+
+    def put(n: int, parts: tuple, r: int) -> None:
+        if r and not left[r]:
+            insort(free, r)
+        left[r].append((n, parts))
+
+    for size in sorted(counts, reverse=True):
+        more = counts[size]
+        while more:
+            i = bisect_left(free, size)
+            if i < len(free):
+                r = free[i]
+                n, parts = left[r].pop()
+                if not left[r]:
+                    free.pop(i)
+            else:
+                r, n, parts = room, -(-more // (room // size)), ()
+            each = r // size
+            whole = min(n, more // each)
+            more -= whole * each
+            if whole:
+                put(whole, (*parts, (size, each)), r - each * size)
+            if whole < n and more:
+                put(1, (*parts, (size, more)), r - more * size)
+                more, whole = 0, whole + 1
+            if whole < n:
+                put(n - whole, parts, r)
+    return [(n, list(parts)) for kinds in left for n, parts in kinds]
+
+
+def slots(counts: dict[int, int], room: int) -> np.ndarray:
+    """Rows (size, first rank, how many in each sequence, first sequence, offset), by size and rank: where the pieces of a size go."""
+    rows, rank, sequence = [], dict.fromkeys(counts, 0), 0
+    for n, parts in best_fit_counts(counts, room):
+        at = 0
+        for size, each in parts:
+            rows.append((size, rank[size], each, sequence, at))
+            rank[size] += n * each
+            at += size * each
+        sequence += n
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -97,58 +111,47 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
 
 
-def _arrow_schema() -> pa.Schema:
-    piece = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    return pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("open", pa.bool_()), ("pieces", pa.list_(piece))])
-
-
-def pack(docs: DataFrame, vocabulary: str | None = None, room: int = 4096, near_full: float = 0.995, at_once: int = 50_000, carry: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, room: int = 4096) -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    path, schema = vocabulary or tokens.default_vocabulary(), _arrow_schema()
-    settings = (room, near_full, at_once, carry)
+    path = vocabulary or tokens.default_vocabulary()
+    piece = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    cut_schema = pa.schema([*piece, ("part", pa.int32()), ("nth", pa.int64())])
+    out_schema = pa.schema([*piece, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            own = Packer(0, *settings, False)
+            part, seen = TaskContext.get().partitionId(), [0] * (room + 1)
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 for k, ids in tokens.encoded(batch.column(1), path):
-                    for piece, lo in enumerate(range(0, len(ids), room)):
-                        part = ids[lo : lo + room]
-                        one = (len(part), [(doc_ids[k], piece, lo, len(part), tokens.crc(part))])
-                        if len(part) == room:
-                            yield own.row(*one, False)
-                        else:
-                            yield from own.add(*one)
-            yield from own.end()
-
-        return _batches(rows(), schema)
-
-    def again(level: int, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows() -> Iterator[tuple]:
-                own = Packer(level, *settings, last)
-                for batch in batches:
-                    for fill, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        yield from own.add(fill, [tuple(p.values()) for p in pieces])
-                yield from own.end()
-
-            return _batches(rows(), schema)
-
-        return run
-
-    levels = [stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, BINS), "pack-0")]
-    parts, level = levels[0].select(F.countDistinct(F.shiftright("sequence_id", 32))).first()[0], 0
-    while level == 0 or parts > 1:
-        parts, level = max(1, -(-parts // FAN_IN)), level + 1
-        under = levels[-1].where("open").select("fill", "pieces")
-        levels.append(stage(under.repartition(parts).mapInArrow(again(level, parts == 1), BINS), f"pack-{level}"))
-    bins = levels[0].where("NOT open")
-    for x in levels[1:]:
-        bins = bins.unionByName(x.where("NOT open"))
-    before = F.aggregate(F.slice("pieces", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda a, p: a + p["length"])
-    out = bins.select("sequence_id", "pieces", F.posexplode("pieces").alias("pos", "p")).withColumn("offset", before)
-    return out.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "offset")
+                    for n, lo in enumerate(range(0, len(ids), room)):
+                        own = ids[lo : lo + room]
+                        yield doc_ids[k], n, lo, len(own), tokens.crc(own), part, seen[len(own)]
+                        seen[len(own)] += 1
+
+        return _batches(rows(), cut_schema)
+
+    pieces = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECE}, part int, nth long"), "pieces")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts", narrow=True)
+    sizes = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    table_of_slots = slots({r["length"]: r["n"] for r in sizes}, room)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, first, each, sequence, at = np.ascontiguousarray(table_of_slots.T)
+        keys = size << 48 | first
+        for batch in batches:
+            if batch.num_rows:
+                length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+                k = np.searchsorted(keys, length << 48 | rank, "right") - 1
+                q, r = np.divmod(rank - first[k], each[k])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[k] + q), pa.array(at[k] + r * length)], schema=out_schema)
+
+    base = counts.select("part", "length", "base")
+    base = F.broadcast(base) if sum(r["rows"] for r in sizes) <= BROADCAST_COUNTS else base.hint("merge")
+    ranked = pieces.join(base, ["part", "length"]).select(*out_schema.names[:5], (F.col("nth") + F.col("base")).alias("rank"))
+    return ranked.mapInArrow(place, f"{PIECE}, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
