@@ -221,6 +221,26 @@ def test_ids_of_words_are_the_ids_of_texts(texts):
     assert got == {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u2003", "\u2028", "\u0085", "\u3000"])
+def test_words_of_unicode_space_dont_shift_ids(space):
+    """A word that is only such a space vanishes in normalisation and one that holds one splits, so counts stay equal."""
+    words = ["alpha", space, "beta", f"gam{space}ma", "delta"]
+    t = encoder()
+    own = tokens.WordIds(tokens.default_vocabulary())
+    assert own.direct
+    got = own.ids_of([w.encode() for w in words])
+    assert [list(x) for x in got] == [t.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_safe_words_keep_their_count_and_places():
+    """What may be normalised in one string: every character that _SAFE lets in stays one, by itself and beside others."""
+    normalize = encoder().normalizer.normalize_str
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and tokens._SAFE.fullmatch(chr(c))]
+    assert len(chars) == 158
+    assert all(len(n := normalize(c)) == 1 and not n.isspace() for c in chars)
+    assert normalize(" ".join(a + b for a in chars for b in chars)) == " ".join(normalize(a) + normalize(b) for a in chars for b in chars)
+
+
 def test_sstable_documents_and_lookup(spark, docs, none):
     manifest = common.gathered(sstable.write(docs, common.new_folder(spark, "t-sst"), shards=3))
     got = [tuple(r) for r in sstable.documents(manifest).collect()]

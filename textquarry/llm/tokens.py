@@ -32,6 +32,9 @@ def default_vocabulary() -> str:
 #: Words of the common shape: a run of Latin letters, then perhaps a run of marks. They have one or two pieces, which go
 #: straight to the library's BPE model; any other word goes through its whole encode().
 _COMMON = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\[-`{-~]*)")
+#: Words that may be normalised in one string: each of their characters stays one character that is no white space,
+#: whatever stands beside it. A word with any other goes through encode() by itself.
+_SAFE = re.compile(r"[!-~\u00c0-\u00ff]+")
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level BPE writes each byte as one printable character: printable ones as themselves, the rest from 256 on.
 _AS_CHARACTER = dict.fromkeys(range(256)) | {b: b for b in _KEPT} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_KEPT))}
@@ -66,10 +69,11 @@ class WordIds:
     def ids_of(self, words: list[bytes]) -> list:
         plain = [w.decode("utf-8") for w in words]
         out: list = [None] * len(plain)
-        normal = self.normalizer.normalize_str(" ".join(plain)).split(" ") if self.direct else []
-        if len(normal) == len(plain):
+        safe = [k for k, w in enumerate(plain) if _SAFE.fullmatch(w)] if self.direct else []
+        normal = self.normalizer.normalize_str(" ".join([plain[k] for k in safe])).split(" ") if safe else []
+        if len(normal) == len(safe):
             match, piece = _COMMON.fullmatch, self.piece
-            for k, w in enumerate(normal):
+            for k, w in zip(safe, normal, strict=True):
                 if m := match(w):
                     a, b = m.groups()
                     out[k] = piece(a) + piece(b) if b else piece(a)
