@@ -478,6 +478,29 @@ def test_raking_meets_its_marginals(spark):
             assert abs(r["w"] / total - shares[r[d]]) < 1e-6
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_expected_shares_of_the_draw_meet_the_targets(spark, monkeypatch, most):
+    """Shares of tokens times probability, where raking alone would ask for probabilities above 1 in rare cells."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", most)
+    sizes = {("a", "en"): 600, ("a", "de"): 100, ("b", "en"): 200, ("b", "de"): 100, ("c", "en"): 50, ("c", "de"): 4}
+    docs = spark.createDataFrame([(k, s, lang, "w " * n) for k, ((s, lang), n) in enumerate(sizes.items())], "doc_id long, source string, lang string, text string")
+    targets = {"source": {"a": 0.5, "b": 0.42, "c": 0.08}, "lang": {"en": 0.64, "de": 0.36}}
+    got = mixing.mix(docs, targets, **({} if most else {"rounds": 60})).toPandas()
+    assert got.probability.max() == 1.0
+    drawn = got.n_tokens * got.probability
+    assert abs(drawn.sum() / got.n_tokens.sum() - mixing.BUDGET) < 1e-4
+    for d, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(drawn[got[d] == value].sum() / drawn.sum() - share) < 1e-4
+
+
+def test_share_beyond_reach_is_drawn_whole_and_warned_of(spark):
+    docs = spark.createDataFrame([(0, "a", "w " * 990), (1, "b", "w " * 10)], "doc_id long, source string, text string")
+    with pytest.warns(UserWarning, match="source"):
+        got = {r["source"]: r["probability"] for r in mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}}).collect()}
+    assert got["b"] == 1.0 and abs(got["a"] * 990 - 250) < 1e-6
+
+
 def test_mixing_of_odd_rows(spark, docs, none, monkeypatch):
     got = mixing.mix(docs.withColumn("factor", F.lit("clash")))
     assert got.count() == docs.count() and got.where("probability IS NULL OR sampled IS NULL").count() == 0

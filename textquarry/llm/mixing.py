@@ -1,8 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, by DataFrame functions only.
 
-Token weights of the cells (source, lang, topic) are raked in turn to the marginal shares of each dimension until a fixed
-number of rounds is done; a cell's factor (raked over own tokens) times `budget` is the inclusion probability of its
-documents, at most 1. A document is drawn if a number in [0, 1) from the MD5 of its identifier and the seed lies below it.
+Token weights of the cells (source, lang, topic) are raked in turn to the marginal shares of each dimension; a cell's
+factor (raked over own tokens) times `budget` is the inclusion probability of its documents. A document is drawn if a
+number in [0, 1) from the MD5 of its identifier and the seed lies below it.
+
+No probability can exceed 1, so mix() rakes under that bound until the weights stand still: cells at the bound stay
+there and the others of a value make up for them. A value with too few tokens for its share at this budget is drawn
+whole; a warning gives the largest miss. The registered query follows its SQL instead: ROUNDS rounds without the bound,
+probabilities cut at 1, so shares of rare cells are missed there.
 
 Targets: a dimension's target is a dict of shares, or a power p: shares in proportion to tokens**p (p = 1 leaves a
 dimension as it is, p = 0 makes its values equal). Values that a dict doesn't name keep their own share of what the
@@ -16,12 +21,18 @@ way to it.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, salted_join, stage, table
 
 ROUNDS = 12
+#: Raking under the bound goes on, BLOCK rounds at a time, until these rounds move less than STILL of all tokens.
+MOST_ROUNDS, BLOCK, STILL = 400, 4, 1e-7
+#: A miss of a share beyond this is warned of.
+MISS = 1e-4
 #: A table of so many cells at most is broadcast after it has been counted; beyond that the join is salted.
 BROADCAST_CELLS = 20_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -56,9 +67,23 @@ def _shares(sums: DataFrame, dim: str, target: dict[str, float] | float) -> Data
     return raw.join(F.broadcast(total)).select(dim, F.coalesce(F.try_divide("goal", F.col("_goals")), F.lit(0.0)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
+def _step(x: Column, most: Column, goal: Column, total) -> Column:
+    """The ratio that brings a value's sum of least(x, most) towards its goal. total: the sum over the value's cells.
+
+    A Newton step: cells at their bound stay what they are and the others meet the rest. Where the bounded cells alone
+    exceed the goal, all shrink; where all are bounded and don't meet it, nothing more can be had.
+    """
+    bound = total(F.when(x >= most, most).otherwise(0.0))
+    loose = total(F.when(x < most, x).otherwise(0.0))
+    ratio = F.when(goal <= bound, F.try_divide(goal, bound + loose)).when(loose > 0, (goal - bound) / loose).otherwise(1.0)
+    return F.coalesce(ratio, F.lit(0.0))
+
+
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
     """cells (dimensions, tokens) with weight: tokens raked to the targets, of the same total.
 
+    With a budget no weight exceeds tokens / budget, and `rounds` is the most rounds, else their number.
+
     A table of at most BROADCAST_CELLS cells, once counted, is one partition, and all steps are windows over it without a
     shuffle. Beyond that each step aggregates by one dimension and joins the ratios back, hot values dealt over slices.
     """
@@ -66,26 +91,51 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
     total = cells.agg(F.sum("tokens").alias("_all"))
     goals = {d: stage(_shares(cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens")), d, targets[d]).join(F.broadcast(total)).select(d, (F.col("goal") * F.col("_all")).alias("goal")), "mix-goals", narrow=True) for d in dims}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    if cells.count() <= BROADCAST_CELLS:
+    small = cells.count() <= BROADCAST_CELLS
+    x, most = F.col("weight"), F.col("tokens") / budget if budget else None
+
+    def one_round(now: DataFrame) -> DataFrame:
+        for d in dims:
+            if small:
+                over = Window.partitionBy(d)
+                goal = F.col(f"_goal_{d}")
+                ratio = F.coalesce(F.try_divide(goal, F.sum("weight").over(over)), F.lit(0.0)) if most is None else _step(x, most, goal, lambda c: F.sum(c).over(over))  # noqa: B023
+                now = now.withColumn("weight", x * ratio)
+            else:
+                sums = now.join(F.broadcast(goals[d]) if goals[d].count() <= BROADCAST_CELLS else goals[d], d).groupBy(d, "goal")
+                ratio = sums.agg((F.coalesce(F.try_divide(F.col("goal"), F.sum("weight")), F.lit(0.0)) if most is None else _step(x, most, F.col("goal"), F.sum)).alias("_ratio")).select(d, "_ratio")
+                met = salted_join(now, stage(ratio, "mix-ratios", narrow=True), d, dims)
+                now = stage(met.withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio"), "mix-weights", narrow=True)
+        return now
+
+    if small:
         now = now.coalesce(1)
         for d in dims:
             now = now.join(F.broadcast(goals[d].select(d, F.col("goal").alias(f"_goal_{d}"))), d)
+    if most is None:
         for _ in range(rounds):
-            for d in dims:
-                ratio = F.try_divide(F.col(f"_goal_{d}"), F.sum("weight").over(Window.partitionBy(d)))
-                now = now.withColumn("weight", F.col("weight") * F.coalesce(ratio, F.lit(0.0)))
+            now = one_round(now)
         return now.select(*cells.columns, "weight")
-    for _ in range(rounds):
-        for d in dims:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("_sum"))
-            ratio = sums.join(goals[d], d).select(d, F.coalesce(F.try_divide("goal", "_sum"), F.lit(0.0)).alias("_ratio"))
-            met = salted_join(now, stage(ratio, "mix-ratios", narrow=True), d, dims)
-            now = stage(met.withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio"), "mix-weights", narrow=True)
-    return now
-
-
-def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """docs with RESULTS."""
+    done, moved = 0, 1.0
+    while done < rounds and moved > STILL:
+        now = now.withColumn("_was", F.least(x, most))
+        for _ in range(min(BLOCK, rounds - done)):
+            now = one_round(now)
+            done += 1
+        now = stage(now, "mix-weights", narrow=True)
+        now = now.coalesce(1) if small else now
+        moved = now.agg(F.try_divide(F.sum(F.abs(F.least(x, most) - F.col("_was"))), F.sum("tokens"))).first()[0] or 0.0
+    out = now.select(*cells.columns, F.least(x, most).alias("weight"))
+    for d in dims:
+        sums = out.groupBy(d).agg(F.sum("weight").alias("_sum"), F.sum("tokens").alias("_own")).join(goals[d], d).join(F.broadcast(total))
+        worst, reach = sums.agg(F.max(F.abs(F.col("_sum") - F.col("goal")) / F.col("_all")), F.min(F.try_divide("_own", "goal"))).first()
+        if (worst or 0.0) > MISS:
+            warnings.warn(f"mixing: shares of {d} are missed by up to {worst:.4f} of all tokens at budget {budget}, after {done} rounds (the last moved {moved:.1e}); its values have the tokens for budgets up to {reach:.4f}", stacklevel=2)
+    return out
+
+
+def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, rounds: int | None = None, bounded: bool = True) -> DataFrame:
+    """docs with RESULTS. bounded: raked so that no probability exceeds 1, for at most `rounds`; else `rounds` rounds and a cut at 1."""
     targets = targets or TARGETS
     rest = [c for c in docs.columns if c not in RESULTS]
     text = F.col("text")
@@ -94,7 +144,8 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, se
     keyed = given.withColumns({f"_d_{d}": F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for d in dims})
     cells = stage(keyed.groupBy(*(F.col(f"_d_{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens")), "mix-cells", narrow=True)
     key = F.md5(F.to_json(F.array(*dims)))
-    factors = stage(rake(cells, targets, rounds).select(key.alias("_cell"), F.coalesce(F.try_divide("weight", F.col("tokens")), F.lit(1.0)).alias("factor")), "mix-factors", narrow=True)
+    raked = rake(cells, targets, rounds or MOST_ROUNDS, budget) if bounded else rake(cells, targets, rounds or ROUNDS)
+    factors = stage(raked.select(key.alias("_cell"), F.coalesce(F.try_divide("weight", F.col("tokens")), F.lit(1.0)).alias("factor")), "mix-factors", narrow=True)
     with_key = keyed.withColumn("_cell", F.md5(F.to_json(F.array(*(F.col(f"_d_{d}") for d in dims)))))
     if factors.count() <= BROADCAST_CELLS:
         met = with_key.join(F.broadcast(factors), "_cell", "left")
@@ -107,7 +158,7 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, se
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
+    return mix(docs, bounded=False).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def _oracle() -> str:
