@@ -204,6 +204,54 @@ def test_pairs_that_buckets_miss_are_found_by_the_index(spark, docs, monkeypatch
     assert Counter(tuple(r) for r in jaccard.classes(docs).collect()) == brute_classes(corpus_rows())
 
 
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+"""
+GNU = """ * {0} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {1}General Public
+ * License as published by the Free Software Foundation; either
+ * version {2} of the License, or (at your option) any later version."""
+HEADERS = [
+    ("MIT", "// SPDX-License-Identifier: MIT\nint x;"),
+    ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
+    ("BSD-3-Clause", "# Copyright 2021 Someone\n# SPDX-License-Identifier: bsd-3-clause\n"),
+    ("GPL-3.0", "<!-- SPDX-License-Identifier: GPL-3.0-or-later -->"),
+    ("Zlib", "// SPDX-License-Identifier: Zlib"),
+    ("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", BSD + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse products."),
+    ("BSD-2-Clause", BSD),
+    ("ISC", "Copyright (c) 2019, Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", GNU.format("This library", "Lesser ", "2.1")),
+    ("AGPL-3.0", GNU.format("Thing", "Affero ", "3")),
+    ("GPL-2.0", GNU.format("Thing", "", "2")),
+    ("GPL-3.0", GNU.format("Thing", "", "3")),
+    ("CC-BY-SA-4.0", "The texts are licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-3.0", "This page is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS"),
+    (None, "Copyright 2020 Someone. All rights reserved."),
+    (None, "License"),
+]
+
+
+def test_licences_of_headers_that_the_tables_lack(spark):
+    files = spark.createDataFrame([(f"d{k:02}/file", text) for k, (_, text) in enumerate(HEADERS)], "path string, content string")
+    got = {r["path"]: r["license"] for r in licences.scan(files).collect()}
+    assert got == {f"d{k:02}/file": name for k, (name, _) in enumerate(HEADERS)}
+
+
 # --- 4 sorted string tables, tokens
 
 

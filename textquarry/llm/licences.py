@@ -41,6 +41,57 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
 ]
+
+def _gnu(name: str, licence: str, version: str) -> tuple[str, str]:
+    return name, f"This program is free software; you can redistribute it and/or modify it under the terms of the {licence} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MAY = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+#: Titles, notices and grants of whole licences, and relatives that must win over their neighbours. Their terms weigh as
+#: TEMPLATES have them; a term that TEMPLATES lacks weighs as one that no template has.
+RELATIVES: list[tuple[str, str]] = [
+    *[(f"CC-{k}-{v}", text.format(long=long, short=k, v=v)) for v in ("3.0", "4.0") for k, long in _CC.items() for text in ("This work is licensed under a Creative Commons {long} {v} International License.", "Licensed under CC {short} {v}.", "Creative Commons {long} {v} International Public License")],
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    *[_gnu(f"{short}-{v if '.' in v else v + '.0'}", f"GNU {long} General Public License", v) for short, long, vs in (("GPL", "", ("2", "3")), ("LGPL", "Lesser", ("2.1", "3")), ("LGPL", "Library", ("2",)), ("AGPL", "Affero", ("3",))) for v in vs],
+    *[(n, f"GNU {long} General Public License Version {v}, {date}") for n, long, v, date in (("GPL-2.0", "", "2", "June 1991"), ("GPL-3.0", "", "3", "29 June 2007"), ("LGPL-2.0", "Library", "2", "June 1991"), ("LGPL-2.1", "Lesser", "2.1", "February 1999"), ("LGPL-3.0", "Lesser", "3", "29 June 2007"), ("AGPL-3.0", "Affero", "3", "19 November 2007"))],
+    *[(n, f"This work is licensed under the GNU {long} General Public License, version {v}.") for n, long, v in (("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))],
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", _GRANT + ", subject to the following conditions:"),
+    ("X11", "X11 License"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("ISC", "ISC License"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", _MAY + ", provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "BSD Zero Clause License"),
+    ("0BSD", _MAY + "."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", 'The BSD 2-Clause "Simplified" License'),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", 'The BSD 3-Clause "New" or "Revised" License'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "Eclipse Public License Version 1.0"),
+    ("EPL-2.0", "Eclipse Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("CDDL-1.0", "Common Development and Distribution License (CDDL) Version 1.0"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("Zlib", "zlib License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "The Unlicense"),
+]
+#: An identifier line, whose expression is taken as it stands, less the suffixes for later versions.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)"
 CUE = r"(?i)licen[cs]e|copyright|spdx|hereby granted|redistribution and use|public domain|creative commons"
 NAMES = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.-][a-z0-9.-]*)?$"
 AT_LEAST, FILE_SHARE = 0.5, 0.05
@@ -51,25 +102,42 @@ def terms_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def vocabulary(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float, list[tuple[str, str, float]]]:
-    """idf of the templates' terms, idf of any other term, and (license, term, weight) with unit-length templates."""
+def vocabulary(templates: list[tuple[str, str]], more: list[tuple[str, str]] | None = None) -> tuple[dict[str, float], float, list[tuple[str, str, float]]]:
+    """idf of the templates' terms, idf of any other term, and (license, term, weight) with unit-length templates.
+
+    Templates in `more` get weights too, but leave idf as it is.
+    """
     bags = [(name, Counter(terms_of(text))) for name, text in templates]
     df = Counter(t for _, bag in bags for t in bag)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
+    other = math.log(1 + len(bags)) + 1
     rows = []
-    for k, (name, bag) in enumerate(bags):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
-        rows += [(f"{name}#{k}", t, n * idf[t] / norm) for t, n in bag.items()]
-    return idf, math.log(1 + len(bags)) + 1, rows
+    for k, (name, bag) in enumerate(bags + [(name, Counter(terms_of(text))) for name, text in more or []]):
+        norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()))
+        rows += [(f"{name}#{k}", t, n * idf.get(t, other) / norm) for t, n in bag.items()]
+    return idf, other, rows
+
+
+def _spdx(passage: Column, known: list[str]) -> Column:
+    """The expression of an SPDX line, null where there is none; a known identifier in its usual letter case."""
+    plain = F.regexp_replace(F.regexp_extract(passage, SPDX, 1), r"(?i)(-only|-or-later|\+)(?![a-z0-9.+-])", "")
+    usual = F.create_map(*[F.lit(x) for name in known for x in (name.lower(), name)])
+    return F.when(~F.lower(plain).isin("", "none", "noassertion"), F.coalesce(F.try_element_at(usual, F.lower(plain)), plain))
+
 
+def own_licences(files: DataFrame, templates: list[tuple[str, str]] | None, at_least: float) -> DataFrame:
+    """path, license, score, share (the passage's part of the words) of files with an SPDX line or a passage that is near a template.
 
-def own_licences(files: DataFrame, templates: list[tuple[str, str]], at_least: float) -> DataFrame:
-    """path, license, score, share (the passage's part of the words) of files with a passage that is near a template."""
+    The first lines of the BSD licences are the same: one that goes on to binary form, but never to the clause on names,
+    has two clauses.
+    """
     spark = files.sparkSession
-    idf, other, weights = vocabulary(templates)
+    templates, more = templates or TEMPLATES, [] if templates else RELATIVES
+    idf, other, weights = vocabulary(templates, more)
     idf_table = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     weight_table = F.broadcast(spark.createDataFrame(weights, "template string, term string, weight double"))
     cued = files.where(F.col("content").rlike(CUE)).select("path", "content", F.regexp_count("content", F.lit(WORD)).alias("n_words"))
+    two = files.where(F.col("content").rlike(r"(?i)redistributions\s+in\s+binary\s+form") & ~F.col("content").rlike(r"(?i)neither\s+the\s+name|names\s+of\s+(its|the)\s+contributors")).select("path").distinct().withColumn("two", F.lit(True))
     lines = F.split("content", "\n")
     paragraphs = F.filter(F.split("content", r"\n[\x20\x09-\x0D]*\n"), lambda x: x.contains("\n"))
     units = cued.select("path", "n_words", F.posexplode(F.filter(F.concat(lines, paragraphs), lambda x: x.rlike(CUE))).alias("unit", "passage"))
@@ -80,6 +148,12 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], at_least: f
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("n_terms"))
     dots = tf.join(weight_table, "term").groupBy(*keys, "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).select("path", "n_words", "n_terms", F.substring_index("template", "#", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    if more:
+        marks = units.where(~F.col("passage").contains("\n") & F.col("passage").rlike("(?i)spdx")).withColumn("license", _spdx(F.col("passage"), sorted({n for n, _ in templates + more})))
+        marks = marks.where("license IS NOT NULL").select("path", "n_words", F.regexp_count(F.lower("passage"), F.lit("[a-z0-9]+")).alias("n_terms"), "license", F.lit(1.0).alias("score"))
+        notices = scored.where(F.col("score") >= at_least).join(two.hint("merge"), "path", "left")
+        named = F.when(F.col("two") & (F.col("license") == "BSD-3-Clause") & (F.col("n_terms") > 10), "BSD-2-Clause").otherwise(F.col("license"))
+        scored = notices.withColumn("license", named).drop("two").unionByName(marks)
     best = scored.where(F.col("score") >= at_least).groupBy("path").agg(F.max(F.struct("score", "license", (F.col("n_terms") / F.col("n_words")).alias("share"))).alias("b"))
     return best.select("path", "b.license", "b.score", "b.share")
 
@@ -87,7 +161,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]], at_least: f
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, at_least: float = AT_LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """RESULT for each path of files(path, content). origin: own, licence file, inherited, or null."""
     given = files.select(F.col("path").cast("string"), F.col("content").cast("string"))
-    own = stage(own_licences(given.withColumn("path", F.coalesce("path", F.lit("\0"))), templates or TEMPLATES, at_least), "own-licences", narrow=True)
+    own = stage(own_licences(given.withColumn("path", F.coalesce("path", F.lit("\0"))), templates, at_least), "own-licences", narrow=True)
     folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_extract("path", "[^/]*$", 0)
     paths = given.select(F.coalesce("path", F.lit("\0")).alias("path")).distinct().join(own.hint("merge"), "path", "left")
     speaks = F.col("license").isNotNull() & (name.rlike(NAMES) | (F.col("share") >= file_share))
