@@ -513,6 +513,28 @@ def test_quality_without_labels(spark, docs, none):
     assert quality.score(none, quality.train(none, empty)).count() == 0
 
 
+def test_null_labels_train_nothing(spark):
+    """Null labels are no class 0; one head can lack what the other has; repeated identifiers don't depend on order."""
+    good, bad = "the cat sat on the mat by the door and looked out at rain " * 3, "buy pills $$$ now click win cash prize buy buy click " * 3
+    rows = [(k, f"{good if k % 2 else bad} w{k}") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    make = lambda f, g: spark.createDataFrame([(k, f(k), g(k)) for k in range(80)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, make(lambda k: 1 if k % 2 else None, lambda k: None)).heads == {}
+    model = quality.train(docs, make(lambda k: k % 2, lambda k: None))
+    assert list(model.heads) == ["quality"]
+    got = quality.score(docs.select("doc_id", "text").withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit(None).cast("int")), model).collect()
+    assert all((r["p_quality"] >= 0.5) == bool(r["doc_id"] % 2) and r["p_toxic"] is None for r in got) and len(got) == 80
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, ' again') AS text"))
+    models = [quality.train(twice.orderBy(F.rand(seed)), make(lambda k: k % 2, lambda k: 0)) for seed in (1, 2)]
+    assert all(np.array_equal(models[0].heads["quality"][0], m.heads["quality"][0]) for m in models)
+
+
+def test_quality_heads_are_fitted_by_one_task_and_the_driver_gets_weights_only(spark):
+    docs, labels = common.table(spark, "/root/testdata/sf0.001", "documents"), common.table(spark, "/root/testdata/sf0.001", "labels")
+    heads = quality.train(docs, labels).heads
+    assert set(heads) <= {"quality", "toxic"} and all(h[0].shape == (quality.DIMS,) and h[0].dtype == np.float32 for h in heads.values())
+
+
 # --- 10 mixing
 
 

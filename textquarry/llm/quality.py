@@ -1,11 +1,12 @@
 """Quality rules: counted signals plus a calibrated logistic regression over hashed word and character n-grams.
 
-The model is fitted on a bounded sample of labelled rows (`max_train`, the labels of smallest hash) and scored over
-every whole text in Arrow batches against fixed thresholds.
+The model is fitted on a bounded sample of labelled rows (`max_train`, the labels of smallest hash, and `max_chars`) by
+one task, and scored over every whole text in Arrow batches against fixed thresholds.
 
 Cases: a null or empty text has no words, so it fails the base rule; a null doc_id is scored like any other; repeated
-rows are scored each by itself; without labels of both classes a head is absent and only the base rules decide; columns
-of the input that share a name with a signal give way to the signal.
+rows are scored each by itself; a null label trains nothing in its head; without labels of both classes a head is absent
+and only the base rules decide; an empty table gives no rows; columns of the input that share a name with a signal give
+way to the signal.
 """
 
 from __future__ import annotations
@@ -122,70 +123,114 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make sigmoid(slope * z + offset) a probability on held-out rows (Newton steps)."""
-    a, b = 1.0, 0.0
+    """Slope and offset that make sigmoid(slope * z + offset) a probability on held-out rows.
+
+    Newton steps that are halved until the loss falls, so that separable rows can't send them astray.
+    """
+    scale = max(1.0, float(np.abs(z).max()))
+    x = np.stack((z / scale, np.ones_like(z)), 1)
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    loss = lambda w: float((np.logaddexp(0, x @ w) - t * (x @ w)).sum())
+    w = np.array([0.0, np.log((y.sum() + 1) / ((1 - y).sum() + 1))])
+    now = loss(w)
+    for _ in range(100):
+        p = _sigmoid(x @ w)
+        g = x.T @ (p - t)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-9 * np.eye(2), g)
+        size = 1.0
+        while size > 1e-8 and (then := loss(w - size * step)) > now - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-8 or now - then < 1e-10:
             break
-    return float(a), float(b)
-
-
-def fit(texts: list[str], targets: dict[str, np.ndarray], steps: int = 90, l2: float = 1e-7) -> dict[str, tuple[np.ndarray, float, float, float]]:
-    """One head a target: three rows in four fit the weights (Adam over the full batch), the rest its calibration."""
-    rows, cols, vals, at = [], [], [], 0
-    for lo, hi, buf, offs in K.chunks(pa.array(texts, pa.large_string())):
-        for slot, first in ngram_slots(buf, offs):
-            for d in range(hi - lo):
-                s, c = np.unique(slot[first[d] : first[d + 1]], return_counts=True)
-                rows.append(np.full(len(s), lo + d, np.int32))
-                cols.append(s.astype(np.int32))
-                vals.append((c / max(1, c.sum())).astype(np.float32))
-        at = hi
-    r, c, v = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols, vals))
-    held = np.arange(at) % 4 == 3
-    heads = {}
-    for name, y in targets.items():
-        if min(y[~held].sum(), (1 - y[~held]).sum()) < 2 or min(y[held].sum(), (1 - y[held]).sum()) < 1:
-            continue
-        w, bias = np.zeros(DIMS), 0.0
-        m1, m2, b1, b2 = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
-        share = np.where(y > 0, 0.5 / y[~held].sum(), 0.5 / (1 - y[~held]).sum()) * ~held
-        for t in range(1, steps + 1):
-            p = _sigmoid(np.bincount(r, weights=w[c] * v, minlength=at) + bias)
-            e = (p - y) * share
-            g = np.bincount(c, weights=e[r] * v, minlength=DIMS) + l2 * w
-            gb = e.sum()
+        w, now = w - size * step, then
+    return float(w[0] / scale), float(w[1])
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """(_key, slots, shares, quality, toxic) of labelled texts (_key, text, quality, toxic): the distinct n-grams of a
+    text and their shares among the words' and among the characters'. The work is done where the texts lie."""
+    schema = pa.schema([("_key", pa.int64()), ("slots", pa.binary()), ("shares", pa.binary()), ("quality", pa.int32()), ("toxic", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in K.chunks(batch.column(1)):
+                families, slots, shares = ngram_slots(buf, offs), [], []
+                for d in range(hi - lo):
+                    own = [np.unique(slot[first[d] : first[d + 1]], return_counts=True) for slot, first in families]
+                    slots.append(np.concatenate([s for s, _ in own]).astype("<i4").tobytes())
+                    shares.append(np.concatenate([n / max(1, n.sum()) for _, n in own]).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(slots, pa.binary()), pa.array(shares, pa.binary()), *(batch.column(k).slice(lo, hi - lo).cast(pa.int32()) for k in (2, 3))], schema=schema)
+
+    return rows.mapInArrow(run, "_key long, slots binary, shares binary, quality int, toxic int")
+
+
+def fit_head(slots: np.ndarray, shares: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 256, l2: float = 1e-6) -> tuple[np.ndarray, float, float, float] | None:
+    """Weights, bias and calibration for targets y (nan: no label); three rows in four fit the weights (Adam over
+    batches of texts, classes weighing the same), every fourth row the calibration. None if a class has too few rows."""
+    n = len(y)
+    held, known = np.arange(n) % 4 == 3, ~np.isnan(y)
+    pos, neg = known & (y > 0), known & (y <= 0)
+    if min((pos & ~held).sum(), (neg & ~held).sum()) < 2 or min((pos & held).sum(), (neg & held).sum()) < 1:
+        return None
+    weight = np.where(pos, 0.5 / (pos & ~held).sum(), np.where(neg, 0.5 / (neg & ~held).sum(), 0.0)) * ~held
+    goal = np.where(pos, 1.0, 0.0)
+    w, bias, m1, m2, b1, b2, t = np.zeros(DIMS), 0.0, np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0, 0
+    cuts = list(range(0, n, batch))
+    steps = epochs * len(cuts)
+
+    def raw(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        c, v, size = slots[first[lo] : first[hi]], shares[first[lo] : first[hi]], np.diff(first[lo : hi + 1])
+        return c, v, size, K.per_text(w[c] * v, first[lo : hi + 1] - first[lo])
+
+    for _ in range(epochs):
+        for lo in cuts:
+            hi, t = min(n, lo + batch), t + 1
+            c, v, size, z = raw(lo, hi)
+            e = (_sigmoid(z + bias) - goal[lo:hi]) * weight[lo:hi] * (n / (hi - lo))
+            g, gb = np.bincount(c, weights=np.repeat(e, size) * v, minlength=DIMS) + l2 * w, e.sum()
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
-            rate = 2.0 * min(1, 2 * (1 - t / (steps + 1)))
-            w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
-            bias -= 0.1 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-9)
-        z = np.bincount(r, weights=w[c] * v, minlength=at) + bias
-        heads[name] = (w.astype(np.float32), bias, *_platt(z[held], y[held]))
-    return heads
+            rate = min(1, 2 * (1 - t / (steps + 1)))
+            w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-7)
+            bias -= 0.05 * rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-7)
+    z = np.concatenate([raw(lo, min(n, lo + batch))[3] for lo in cuts]) + bias
+    use = held & known
+    return (w.astype(np.float32), float(bias), *_platt(z[use], goal[use]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 3000, max_chars: int = 200_000, quality_at: float = 0.5, toxic_at: float = 0.4) -> Model:
-    """Fits both heads on at most max_train labelled documents of at most max_chars characters (longer ones don't train, they are scored whole all the same)."""
-    spark = docs.sparkSession
-    rows = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()
-    if not picked:
-        return Model({}, quality_at, toxic_at)
-    few = spark.createDataFrame(picked, "doc_id long, _quality int, _toxic int")
-    got = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "_quality", "_toxic").limit(max_train).collect()
-    got.sort(key=lambda x: x[0])
-    np.random.default_rng(7).shuffle(got)
-    texts = [x[1] for x in got]
-    targets = {k: np.array([float(bool(x[j])) for x in got]) for k, j in (("quality", 2), ("toxic", 3))}
-    return Model(fit(texts, targets), quality_at, toxic_at)
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task: the bounded sample of features in, a row for each head that could be fitted out."""
+    slots, shares, targets = [], [], {"quality": [], "toxic": []}
+    for batch in batches:
+        slots += [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+        shares += [np.frombuffer(x, "<f4") for x in batch.column(2).to_pylist()]
+        for k, name in enumerate(targets):
+            targets[name] += batch.column(3 + k).to_pylist()
+    if not slots:
+        return
+    first = np.concatenate(([0], np.cumsum([len(x) for x in slots])))
+    flat, share = np.concatenate(slots), np.concatenate(shares)
+    del slots, shares
+    for name, given in targets.items():
+        head = fit_head(flat, share, first, np.array([np.nan if x is None else float(x != 0) for x in given]))
+        if head:
+            yield pa.RecordBatch.from_pydict({"head": [name], "weights": pa.array([head[0].astype("<f4").tobytes()], pa.binary()), "bias": [head[1]], "slope": [head[2]], "offset": [head[3]]})
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_chars: int = 20_000, quality_at: float = 0.5, toxic_at: float = 0.4) -> Model:
+    """Fits both heads on at most max_train labelled documents of at most max_chars characters (longer ones don't train,
+    they are scored whole all the same), so the sample has at most 4 * max_train * max_chars bytes.
+
+    N-grams are counted by the tasks that read the texts, one task fits, and the driver gets the heads' weights alone. A
+    null label trains nothing in its head; of labels of one doc_id the least quality and the most toxicity count, and of
+    texts of one doc_id the smallest one.
+    """
+    rows = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic")).where("_quality IS NOT NULL OR _toxic IS NOT NULL")
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id")
+    once = texts.groupBy("doc_id", "_quality", "_toxic").agg(F.min("text").alias("text")).select(F.xxhash64(F.lit(7), "doc_id").alias("_key"), "text", "_quality", "_toxic")
+    fitted = features(once).repartition(1).sortWithinPartitions("_key").mapInArrow(_fitted, "head string, weights binary, bias double, slope double, offset double")
+    return Model({r["head"]: (np.frombuffer(r["weights"], "<f4"), r["bias"], r["slope"], r["offset"]) for r in fitted.collect()}, quality_at, toxic_at)
 
 
 def score(docs: DataFrame, model: Model, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
