@@ -272,21 +272,31 @@ def test_ids_of_words_are_the_ids_of_texts(texts):
 @pytest.mark.parametrize("space", ["\u00a0", "\u2003", "\u2028", "\u0085", "\u3000"])
 def test_words_of_unicode_space_dont_shift_ids(space):
     """A word that is only such a space vanishes in normalisation and one that holds one splits, so counts stay equal."""
-    words = ["alpha", space, "beta", f"gam{space}ma", "delta"]
+    t, text = encoder(), f"alpha {space} beta gam{space}ma delta {space}"
+    assert tokens.unit_ids(tokens.default_vocabulary()).direct
+    ((_, got),) = tokens.encoded(pa.array([text]), tokens.default_vocabulary())
+    assert got.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_every_character_by_itself_and_beside_others():
     t = encoder()
-    own = tokens.WordIds(tokens.default_vocabulary())
-    assert own.direct
-    got = own.ids_of([w.encode() for w in words])
-    assert [list(x) for x in got] == [t.encode(w, add_special_tokens=False).ids for w in words]
-
-
-def test_safe_words_keep_their_count_and_places():
-    """What may be normalised in one string: every character that _SAFE lets in stays one, by itself and beside others."""
-    normalize = encoder().normalizer.normalize_str
-    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and tokens._SAFE.fullmatch(chr(c))]
-    assert len(chars) == 158
-    assert all(len(n := normalize(c)) == 1 and not n.isspace() for c in chars)
-    assert normalize(" ".join(a + b for a in chars for b in chars)) == " ".join(normalize(a) + normalize(b) for a in chars for b in chars)
+    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [x for lo in range(0, len(chars), 64) for x in ("".join(chars[lo : lo + 64]), " ".join(chars[lo : lo + 64]), " ".join(f"a{c}B{c}1{c}, \u00c9{c}" for c in chars[lo : lo + 64]))]
+    texts += ["<|startoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "don't DON'T 'll x's 12.5% \u00d7\u00f7 \u00c3\u0083 \u00df\u1e9e"]
+    want = [[*e.ids, 1] for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    got = {k: ids.tolist() for k, ids in tokens.encoded(pa.array(texts), tokens.default_vocabulary())}
+    assert [k for k, x in enumerate(want) if got[k] != x] == []
+
+
+def test_ids_with_a_cache_that_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 200)
+    monkeypatch.setattr(tokens, "SLOTS", 256)
+    own, t = tokens.UnitIds(tokens.default_vocabulary()), encoder()
+    for k in range(12):
+        texts = [prose(rng.randrange(1, 400)) + f" x{k}, y{j}." for j in range(4)] + ["", "one"]
+        raw = [x.encode() for x in texts]
+        ids, base = own.texts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        assert [ids[a:b].tolist() for a, b in zip(base, base[1:], strict=False)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
 
 
 def test_sstable_documents_and_lookup(spark, docs, none):
