@@ -6,13 +6,14 @@ sparse index has for each block its first key, place, sizes, and the ids and ent
 the filter, bisects the index and reads one block (more only where a key is repeated across blocks).
 
 Cases: a null text holds the end id alone; a null doc_id has a key of its own that sorts first; repeated identifiers
-are kept as repeated entries, in no fixed order among themselves; an empty table gives no shard with entries; columns
-beyond doc_id and text aren't read.
+are kept as repeated entries, ordered by a hash of their texts, and may go on in the next blocks and shards; an empty
+table gives no shard with entries; columns beyond doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,7 +32,9 @@ MAGIC = b"TQSST001"
 _FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK = 64 << 10
 BITS, PROBES = 10, 7
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 1_000_000
+MANIFEST = "shard int, path string"
+FOOTERS = "shard int, n_docs long, n_ids long"
 ENTRIES = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -64,9 +67,13 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
-    return [((a + i * b) & (2**64 - 1)) % bits for i in range(PROBES)]
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the filter of keys, whose two hashes are the rows of hashes."""
+    return (hashes[:, :1] + np.arange(PROBES, dtype=np.uint64) * hashes[:, 1:]) % np.uint64(bits)
 
 
 class Writer:
@@ -75,7 +82,7 @@ class Writer:
     def __init__(self, out) -> None:
         self.out, self.at, self.codec = out, 0, pa.Codec("zstd", compression_level=1)
         self.block, self.last, self.first, self.count = bytearray(), b"", b"", 0
-        self.index, self.keys, self.docs, self.ids, self.before = [], [], 0, 0, (0, 0)
+        self.index, self.hashes, self.docs, self.ids, self.before = [], array("Q"), 0, 0, (0, 0)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if not self.count:
@@ -86,7 +93,8 @@ class Writer:
         wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
         value = ids.astype("<u4" if wide else "<u2").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(ids) << 1 | wide) + value
-        self.keys.append(key)
+        if key != self.last or not self.docs:
+            self.hashes.extend(_hashes(key))
         self.last = key
         self.count += 1
         self.docs += 1
@@ -105,10 +113,11 @@ class Writer:
     def close(self) -> None:
         self.flush()
         index = b"".join(_varint(len(k)) + k + struct.pack("<QIIQQ", *rest) for k, *rest in self.index)
-        bits = max(64, BITS * len(self.keys))
+        hashes = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        bits = max(64, BITS * len(hashes))
         bloom = np.zeros(bits, bool)
-        for key in self.keys:
-            bloom[_probes(key, bits)] = True
+        for lo in range(0, len(hashes), 100_000):
+            bloom[_probes(hashes[lo : lo + 100_000], bits).ravel()] = True
         filter_ = np.packbits(bloom, bitorder="little").tobytes()
         self.out.write(index)
         self.out.write(filter_)
@@ -157,7 +166,7 @@ class Reader:
     def may_have(self, key: bytes) -> bool:
         if self.bloom is None:
             self.bloom = np.frombuffer(self._read(self.bloom_at, -(-self.bits // 8)), np.uint8)
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(np.array([_hashes(key)], np.uint64), self.bits)[0].tolist())
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Values of all entries of an identifier."""
@@ -171,6 +180,12 @@ class Reader:
         return out
 
 
+def shard_count(docs: DataFrame) -> int:
+    """One shard for SHARD_BYTES of the input as Spark's statistics put it, and no fewer than shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return spread(docs.sparkSession, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, shards: int | None = None) -> DataFrame:
     """Writes shards of ascending identifier ranges; returns a row of MANIFEST for each."""
     path = vocabulary or tokens.default_vocabulary()
@@ -185,10 +200,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, shards: i
                 for k, ids in tokens.encoded(batch.column(1), path):
                     own.add(keys[k], ids)
             own.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [own.docs], "n_ids": [own.ids]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name]})
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = given.withColumn("_h", F.xxhash64("text"))  # rows of one identifier can be split
+    dealt = keyed.repartitionByRange(shards or shard_count(given), "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    return dealt.select("doc_id", "text").mapInArrow(run, MANIFEST)
+
+
+def footers(manifest: DataFrame) -> DataFrame:
+    """A row of FOOTERS for each shard, read from the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Reader(path) for path in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.docs for x in found], pa.int64()), pa.array([x.ids for x in found], pa.int64())], ["shard", "n_docs", "n_ids"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.repartitionByRange(shards or spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST)
+    return manifest.select("shard", "path").mapInArrow(run, FOOTERS)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -210,8 +238,9 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def documents(manifest: DataFrame) -> DataFrame:
-    """Per document from the files: doc_id, start (ids of all shards and entries before it), n_tokens, ids_crc32."""
-    base = manifest.select("shard", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    """Per document from the files: doc_id, start (ids of all shards and entries before it, by the files' footers), n_tokens, ids_crc32."""
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = footers(manifest).select("shard", before.alias("_base"))  # a row a shard
     return read(manifest).join(F.broadcast(base), "shard").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
