@@ -179,7 +179,7 @@ def brute_classes(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if a is not None and b is not None and x and y and find(a) != find(b) and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = find(a), find(b)
                 par[max(p, q)] = min(p, q)
     return Counter((k, len(s), None if k is None else find(k)) for k, s in sets)
@@ -198,6 +198,63 @@ def test_jaccard_at_the_threshold(spark):
     assert got == brute_classes(rows)
 
 
+def shared_passages(n: int, own: int) -> list[tuple]:
+    """Texts of one common passage and own words, and near copies of each: long lists of many classes, and stars."""
+    passage = prose(60)
+    rows = []
+    for k in range(n):
+        text = f"{passage} " + " ".join(f"o{k}x{j}" for j in range(own + k % 5))
+        rows += [(10 * k + j, edited(text, j) if j else text) for j in range(1 + k % 4)]
+    return rows
+
+
+def test_jaccard_with_lists_and_stars_dealt_out(spark, monkeypatch):
+    """Every table that deals out hot lists, classes and pivots does so at a handful of rows; the rows stay the same."""
+    for name, value in (("LIST_ROWS", 4), ("ANSWERS", 2), ("BLOCK", 2), ("HOT_CLASS", 1), ("HOT_SLICES", 3), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "member_pairs", functools.partial(jaccard.member_pairs, chunk=3))
+    rows = [r[:2] for r in corpus_rows()] + [(1000 + k, t) for k, t in shared_passages(24, 8)]
+    got = Counter(tuple(r) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
+
+
+def test_jaccard_of_a_group_beyond_one_slice(spark):
+    """2,100 near copies of one text, and lists of more classes than one task compares."""
+    own = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(2100):
+        w = list(base)
+        for _ in range(own.randrange(1, 3)):
+            w[own.randrange(60)] = f"x{own.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    rows += [(5000 + k, " ".join([*base[:30], *(f"u{k}x{j}" for j in range(7))])) for k in range(600)]
+    got = Counter(tuple(r) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
+
+
+def test_answers_derived_from_a_pivots_are_those_of_the_texts(spark):
+    own = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+
+    def near(w: list[str], n: int) -> list[str]:
+        w = list(w)
+        for _ in range(n):
+            k = own.randrange(len(w))
+            w[k : k + 1] = own.choice([[], [f"y{own.randrange(99)}"], [w[k], f"z{own.randrange(99)}"]])
+        return w
+
+    rows = [(k, " ".join(near(base, own.randrange(1, 9)))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stars = jaccard.star_links(spark.createDataFrame([(k, 0) for k in range(1, 30)], "a long, p long"), docs, 5, 80)
+    derived = stars.select("a", F.col("b").alias("pivot"), "minus", "plus")
+    pairs = spark.createDataFrame([(a, z) for a in range(1, 40) for z in range(40) if a != z], "a long, p long")
+    got = {tuple(r) for r in jaccard.answers(pairs, derived, docs, 5, 80).collect()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows)}
+    assert derived.count() > 5 and 0 < len(got) < 39 * 39
+    assert got == {(a, z) for a in range(1, 40) for z in range(40) if a != z and 100 * len(sets[a] & sets[z]) >= 80 * len(sets[a] | sets[z])}
+
+
 def test_pairs_that_buckets_miss_are_found_by_the_index(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "_stars", lambda nodes, percent: nodes.select(F.col("node").alias("a"), F.col("node").alias("p")).limit(0))
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
@@ -316,6 +373,37 @@ def test_sstable_documents_and_lookup(spark, docs, none):
     assert sstable.documents(common.gathered(sstable.write(none, common.new_folder(spark, "t-sst"), shards=2))).count() == 0
 
 
+def test_sstable_of_one_identifier_over_shards_blocks_and_wide_ids(spark, tmp_path, monkeypatch):
+    """One identifier holds most rows: they are split over shards; a lookup finds all, across blocks too."""
+    rows = [(7, f"text {k}") for k in range(300)] + [(k, "one") for k in range(20)] + [(None, f"null {k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("_h", F.lit("clash"))
+    manifest = common.gathered(sstable.write(docs, common.new_folder(spark, "t-sst"), shards=6))
+    got = sorted((tuple(r) for r in sstable.documents(manifest).collect()), key=lambda r: r[1])
+    assert Counter(r[0] for r in got) == Counter(r[0] for r in rows) and [r[0] is not None and r[0] for r in got] == sorted(r[0] is not None and r[0] for r in got)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+    readers = [sstable.Reader(r["path"]) for r in manifest.collect()]
+    assert sum(len(r.get(7)) for r in readers) == 301 and sum(any(True for _ in r.get(7)) for r in readers) > 1 and sum(len(r.get(None)) for r in readers) == 30
+    monkeypatch.setattr(sstable, "BLOCK", 64)
+    with open(tmp_path / "x.sst", "wb") as out:
+        own = sstable.Writer(out)
+        given = [(k // 5, np.arange(k % 40, dtype=np.uint32) + (70_000 if k % 2 else 0)) for k in range(200)]
+        for k, ids in given:
+            own.add(sstable.key_of(k), ids)
+        own.close()
+    reader = sstable.Reader(str(tmp_path / "x.sst"))
+    assert len(reader.blocks) > 40 and (reader.docs, reader.ids) == (200, sum(len(x) for _, x in given))
+    for k in range(40):
+        assert [v.tolist() for v in reader.get(k)] == [x.tolist() for j, x in given if j == k]
+    assert [(sstable.id_of(k), v.tolist()) for k, v in reader.scan()] == [(k, x.tolist()) for k, x in given] and reader.get(999) == []
+
+
+def test_shards_follow_the_input(spark, small, monkeypatch):
+    docs = common.table(spark, small, "documents").select("doc_id", "text")
+    assert sstable.shard_count(docs) == common.spread(spark)
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 4096)
+    assert sstable.shard_count(docs) > common.spread(spark)
+
+
 def test_keys_sort_as_identifiers():
     ids = [None, -(2**63), -5, 0, 7, 256, 2**63 - 1]
     keys = [sstable.key_of(k) for k in ids]
