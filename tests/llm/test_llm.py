@@ -653,19 +653,31 @@ def test_expected_shares_of_the_draw_meet_the_targets(spark, monkeypatch, most):
     sizes = {("a", "en"): 600, ("a", "de"): 100, ("b", "en"): 200, ("b", "de"): 100, ("c", "en"): 50, ("c", "de"): 4}
     docs = spark.createDataFrame([(k, s, lang, "w " * n) for k, ((s, lang), n) in enumerate(sizes.items())], "doc_id long, source string, lang string, text string")
     targets = {"source": {"a": 0.5, "b": 0.42, "c": 0.08}, "lang": {"en": 0.64, "de": 0.36}}
-    got = mixing.mix(docs, targets, **({} if most else {"rounds": 60})).toPandas()
+    got = mixing.mix(docs, targets, budget=0.5, **({} if most else {"rounds": 60})).toPandas()
     assert got.probability.max() == 1.0
     drawn = got.n_tokens * got.probability
-    assert abs(drawn.sum() / got.n_tokens.sum() - mixing.BUDGET) < 1e-4
+    assert abs(drawn.sum() / got.n_tokens.sum() - 0.5) < 1e-4
     for d, shares in targets.items():
         for value, share in shares.items():
             assert abs(drawn[got[d] == value].sum() / drawn.sum() - share) < 1e-4
 
 
+def test_the_query_draws_its_targets(spark):
+    """Expected shares of the registered query's draw, over all documents of sf0.1, are its targets to a tenth of a per cent."""
+    got = mixing.query(spark, "/root/testdata/sf0.1").toPandas()
+    drawn = got.n_tokens * got.probability
+    assert got.probability.max() <= 1.0 and abs(drawn.sum() / got.n_tokens.sum() - mixing.BUDGET) < 1e-3
+    for d, target in mixing.TARGETS.items():
+        own = got.groupby(d).n_tokens.sum()
+        goal = {k: target[k] for k in own.index} if isinstance(target, dict) else own**target / (own**target).sum()
+        for value in own.index:
+            assert abs(drawn[got[d] == value].sum() / drawn.sum() - goal[value]) < 1e-3, (d, value)
+
+
 def test_share_beyond_reach_is_drawn_whole_and_warned_of(spark):
     docs = spark.createDataFrame([(0, "a", "w " * 990), (1, "b", "w " * 10)], "doc_id long, source string, text string")
     with pytest.warns(UserWarning, match="source"):
-        got = {r["source"]: r["probability"] for r in mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}}).collect()}
+        got = {r["source"]: r["probability"] for r in mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}}, budget=0.5).collect()}
     assert got["b"] == 1.0 and abs(got["a"] * 990 - 250) < 1e-6
 
 

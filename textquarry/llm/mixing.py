@@ -4,10 +4,9 @@ Token weights of the cells (source, lang, topic) are raked in turn to the margin
 factor (raked over own tokens) times `budget` is the inclusion probability of its documents. A document is drawn if a
 number in [0, 1) from the MD5 of its identifier and the seed lies below it.
 
-No probability can exceed 1, so mix() rakes under that bound until the weights stand still: cells at the bound stay
-there and the others of a value make up for them. A value with too few tokens for its share at this budget is drawn
-whole; a warning gives the largest miss. The registered query follows its SQL instead: ROUNDS rounds without the bound,
-probabilities cut at 1, so shares of rare cells are missed there.
+No probability can exceed 1, so weights are raked under that bound until they stand still: cells at the bound stay there
+and the others of a value make up for them. A value with too few tokens for its share at this budget is drawn whole; a
+warning gives the largest miss. The registered query takes ROUNDS rounds, as its SQL does, however still the weights are.
 
 Targets: a dimension's target is a dict of shares, or a power p: shares in proportion to tokens**p (p = 1 leaves a
 dimension as it is, p = 0 makes its values equal). Values that a dict doesn't name keep their own share of what the
@@ -38,7 +37,7 @@ BROADCAST_CELLS = 20_000
 DIMENSIONS = ("source", "lang", "topic")
 LANG_TARGET = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 TARGETS: dict = {"source": 0.5, "lang": LANG_TARGET, "topic": 0.7}
-BUDGET, SEED = 0.5, 42
+BUDGET, SEED = 0.3, 42
 RESULTS = ("n_tokens", "topic", "factor", "probability", "sampled")
 
 
@@ -79,10 +78,11 @@ def _step(x: Column, most: Column, goal: Column, total) -> Column:
     return F.coalesce(ratio, F.lit(0.0))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float | None = None, still: float = STILL) -> DataFrame:
     """cells (dimensions, tokens) with weight: tokens raked to the targets, of the same total.
 
-    With a budget no weight exceeds tokens / budget, and `rounds` is the most rounds, else their number.
+    With a budget no weight exceeds tokens / budget, and raking ends after `rounds` rounds, or sooner where BLOCK rounds
+    have moved less than `still` of all tokens. Without one it ends after `rounds` rounds.
 
     A table of at most BROADCAST_CELLS cells, once counted, is one partition, and all steps are windows over it without a
     shuffle. Beyond that each step aggregates by one dimension and joins the ratios back, hot values dealt over slices.
@@ -117,7 +117,7 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float |
             now = one_round(now)
         return now.select(*cells.columns, "weight")
     done, moved = 0, 1.0
-    while done < rounds and moved > STILL:
+    while done < rounds and moved > still:
         now = now.withColumn("_was", F.least(x, most))
         for _ in range(min(BLOCK, rounds - done)):
             now = one_round(now)
@@ -134,8 +134,8 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, budget: float |
     return out
 
 
-def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, rounds: int | None = None, bounded: bool = True) -> DataFrame:
-    """docs with RESULTS. bounded: raked so that no probability exceeds 1, for at most `rounds`; else `rounds` rounds and a cut at 1."""
+def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, rounds: int = MOST_ROUNDS, still: float = STILL) -> DataFrame:
+    """docs with RESULTS, raked so that no probability exceeds 1; rounds and still as in rake()."""
     targets = targets or TARGETS
     rest = [c for c in docs.columns if c not in RESULTS]
     text = F.col("text")
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, se
     keyed = given.withColumns({f"_d_{d}": F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for d in dims})
     cells = stage(keyed.groupBy(*(F.col(f"_d_{d}").alias(d) for d in dims)).agg(F.sum("n_tokens").alias("tokens")), "mix-cells", narrow=True)
     key = F.md5(F.to_json(F.array(*dims)))
-    raked = rake(cells, targets, rounds or MOST_ROUNDS, budget) if bounded else rake(cells, targets, rounds or ROUNDS)
+    raked = rake(cells, targets, rounds, budget, still)
     factors = stage(raked.select(key.alias("_cell"), F.coalesce(F.try_divide("weight", F.col("tokens")), F.lit(1.0)).alias("factor")), "mix-factors", narrow=True)
     with_key = keyed.withColumn("_cell", F.md5(F.to_json(F.array(*(F.col(f"_d_{d}") for d in dims)))))
     if factors.count() <= BROADCAST_CELLS:
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, se
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return mix(docs, bounded=False).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
+    return mix(docs, rounds=ROUNDS, still=-1.0).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def _oracle() -> str:
@@ -177,15 +177,17 @@ def _oracle() -> str:
         else:
             raw = f"SELECT d_{d}, t, CASE WHEN t > 0 THEN pow(t, {t!r}) ELSE 0 END AS g"
         parts.append(f"goal_{d} AS MATERIALIZED (SELECT d_{d}, g / sum(g) OVER () * sum(t) OVER () AS goal FROM ({raw} FROM (SELECT d_{d}, sum(tokens) AS t FROM w0 GROUP BY 1)))")
-    at = 0
+    at, most = 0, f"tokens / {BUDGET!r}"
     for _ in range(ROUNDS):
         for d in TARGETS:
-            parts.append(f"w{at + 1} AS MATERIALIZED (SELECT w.d_source, w.d_lang, w.d_topic, tokens, weight * coalesce(goal / nullif(sum(weight) OVER (PARTITION BY w.d_{d}), 0), 0) AS weight FROM w{at} w JOIN goal_{d} g ON w.d_{d} = g.d_{d})")
+            sums = f"*, sum(CASE WHEN weight >= {most} THEN {most} ELSE 0 END) OVER (PARTITION BY d_{d}) AS bound, sum(CASE WHEN weight < {most} THEN weight ELSE 0 END) OVER (PARTITION BY d_{d}) AS loose"
+            ratio = "CASE WHEN goal <= bound THEN goal / nullif(bound + loose, 0) WHEN loose > 0 THEN (goal - bound) / loose ELSE 1 END"
+            parts.append(f"w{at + 1} AS MATERIALIZED (SELECT w.d_source, w.d_lang, w.d_topic, tokens, weight * coalesce({ratio}, 0) AS weight FROM (SELECT {sums} FROM w{at}) w JOIN goal_{d} g ON w.d_{d} = g.d_{d})")
             at += 1
     return f"""WITH {', '.join(parts)}
     SELECT doc_id, source, lang, k.topic, n_tokens, round(f, 6) AS factor, round(least(1.0, f * {BUDGET}), 6) AS probability,
       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 8))::BIGINT / 4294967296.0 < least(1.0, f * {BUDGET}) AS sampled
-    FROM keyed k JOIN (SELECT *, coalesce(weight / nullif(tokens, 0), 1.0) AS f FROM w{at}) w ON k.d_source = w.d_source AND k.d_lang = w.d_lang AND k.topic = w.d_topic"""
+    FROM keyed k JOIN (SELECT *, coalesce(least(weight, {most}) / nullif(tokens, 0), 1.0) AS f FROM w{at}) w ON k.d_source = w.d_source AND k.d_lang = w.d_lang AND k.topic = w.d_topic"""
 
 
 ORACLE_SQL = _oracle()
