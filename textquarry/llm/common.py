@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import os
+import re
 import tempfile
 import uuid
 
@@ -19,8 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
         spark.sparkContext.setCheckpointDir(found)
@@ -66,13 +68,6 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def local_path(path: str) -> str | None:
-    """The plain path of a file: URI, else None."""
-    if path.startswith("file:"):
-        return os.path.normpath(path[5:] if not path.startswith("file://") else path[7:])
-    return path if "://" not in path else None
-
-
 def hot_keys(left: DataFrame, key: str, slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS) -> DataFrame:
     """(key, _slices) of the keys with the most rows: at most `most` rows, whatever the input's size."""
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
