@@ -37,17 +37,13 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, "[^/]*$", 0)
 
 
-def dirname(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-
-
 def language_of(path: Column) -> Column:
     """The language of a path by its special name, else by its last extension, else `unknown`."""
     low = F.lower(path)
     out = F.when(low.contains("dockerfile."), "dockerfile")
     for name, language in L.SPECIAL_NAMES:
         out = out.when(low.endswith(name), language)
-    pairs = [F.lit(x) for language, exts in L.EXTENSIONS.items() for ext in exts.split() for x in (ext, language)]
+    pairs = [F.lit(x) for pair in L.LANGUAGE_OF.items() for x in pair]
     return out.otherwise(F.coalesce(F.element_at(F.create_map(*pairs), F.regexp_extract(low, r"\.[^.]*$", 0)), F.lit("unknown")))
 
 
@@ -84,8 +80,8 @@ def expanded(query: str) -> list[str]:
     out = dict.fromkeys(terms_of(query))
     for t in list(out):
         for concept, synonyms in CONCEPTS.items():
-            if t == concept or t in synonyms.split():
-                out |= dict.fromkeys(synonyms.split())
+            if t == concept or t in synonyms:
+                out |= dict.fromkeys(synonyms)
     return list(out)
 
 

@@ -1,4 +1,4 @@
-"""Extractors whose matches cross lines: schemas, routes, infrastructure, pipelines and documentation."""
+"""Extractors whose matches cross lines: mappers of schemas, routes and documentation."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import web as W
+from . import schemas
 from .ranking import batches
 
 KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -25,26 +26,7 @@ def parsed(files: DataFrame, gate: str, parse: Callable[[str, str], Iterator[tup
     return files.where(F.col("content").rlike(gate)).select("path", "content").mapInArrow(run, schema)
 
 
-COLUMNS = "path string, orm string, table string, column string, type string, nullable boolean, primary boolean, references string"
-
-
-def _ddl(path: str, text: str) -> Iterator[tuple]:
-    for m in re.finditer(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"']?(\w+)[`\"']?\s*\(([\s\S]*?)\)\s*;", text, re.I):
-        for line in m[2].split("\n"):
-            t = line.strip().rstrip(",")
-            c = re.match(r"[`\"']?(\w+)[`\"']?\s+(\w+(?:\([^)]+\))?)", t)
-            if c and not re.match(r"(PRIMARY|UNIQUE|INDEX|KEY|CONSTRAINT|CHECK|FOREIGN)\b", t, re.I):
-                to = re.search(r"REFERENCES\s+[`\"']?(\w+)", t, re.I)
-                yield path, "sql", m[1], c[1], c[2], not re.search(r"NOT\s+NULL|PRIMARY\s+KEY", t, re.I), bool(re.search(r"PRIMARY\s+KEY", t, re.I)), to[1] if to else None
-
-
-def _prisma(path: str, text: str) -> Iterator[tuple]:
-    for m in re.finditer(r"model\s+(\w+)\s*\{([\s\S]*?)\}", text):
-        for line in m[2].split("\n"):
-            t = line.strip()
-            c = re.match(r"(\w+)\s+(\w+)(\?|\[\])?", t)
-            if c and not t.startswith(("//", "@@")):
-                yield path, "prisma", m[1], c[1], c[2] + (c[3] or ""), c[3] == "?", "@id" in t, c[2] if "@relation" in t and re.search(r"references:\s*\[", t) else None
+COLUMNS = "path string, orm string, table string, column string, type string, nullable boolean, primary boolean, unique boolean, default string, references string"
 
 
 def _drizzle(path: str, text: str) -> Iterator[tuple]:
@@ -57,7 +39,7 @@ def _drizzle(path: str, text: str) -> Iterator[tuple]:
             c = re.match(r"\s*(\w+)\s*:\s*(?:\w+\.)?(\w+)\s*\(", line)
             if c:
                 to = re.search(r"references\s*\(\s*\(\s*\)\s*(?::\s*\w+)?\s*=>\s*(\w+)\.", line)
-                yield path, "drizzle", m[1], c[1], c[2], ".notNull()" not in line and ".primaryKey" not in line, ".primaryKey" in line, to[1] if to else None
+                yield path, "drizzle", m[1], c[1], c[2], ".notNull()" not in line and ".primaryKey" not in line, ".primaryKey" in line, ".unique(" in line, (re.search(r"\.default\(([^()]*(?:\([^()]*\))?)\)", line) or [None, None])[1], to[1] if to else None
 
 
 # Object-relational mapper, ending of the file, gate, pattern of a table's class or name, pattern of a column with name and type.
@@ -93,9 +75,9 @@ def _mappers(path: str, text: str) -> Iterator[tuple]:
             columns = list(re.finditer(column, body)) if column else []
             for c in columns:
                 name, kind = (c[2], c[1]) if orm == "knex" else (c[1], c[2])
-                yield path, orm, m[1], name, kind, None, None, None
+                yield path, orm, m[1], name, kind, None, None, None, None, None
             if not columns:
-                yield path, orm, m[1], None, None, None, None, None
+                yield path, orm, m[1], None, None, None, None, None, None, None
 
 
 def db_columns(files: DataFrame) -> DataFrame:
@@ -103,9 +85,9 @@ def db_columns(files: DataFrame) -> DataFrame:
 
     def parse(path: str, text: str) -> Iterator[tuple]:
         if path.endswith(".sql"):
-            yield from _ddl(path, text)
+            yield from ((path, "sql", *x) for x in schemas.sql_columns(text))
         elif path.endswith(".prisma"):
-            yield from _prisma(path, text)
+            yield from ((path, "prisma", *x) for x in schemas.prisma_columns(text))
         else:
             yield from _drizzle(path, text)
             yield from _mappers(path, text)
@@ -180,126 +162,6 @@ def method_histogram(endpoints: DataFrame) -> DataFrame:
     return endpoints.groupBy("method").agg(F.count(F.lit(1)).alias("endpoints"), F.count_distinct("source").alias("sources"))
 
 
-IAC = "path string, what string, type string, name string, severity string, detail string"
-
-
-def _iac(path: str, text: str) -> Iterator[tuple]:
-    if path.endswith(".tf"):
-        for m in re.finditer(r'resource\s+"(\w+)"\s+"(\w+)"\s*\{([\s\S]*?)\n\}', text):
-            yield path, "resource", m[1], m[2], None, m[1].split("_")[0]
-            if "security_group" in m[1] and "0.0.0.0/0" in m[3] and "ingress" in m[3]:
-                yield path, "issue", "open-ingress", m[2], "warning", "ingress from 0.0.0.0/0"
-            if "s3_bucket" in m[1] and "versioning" not in m[3]:
-                yield path, "issue", "no-versioning", m[2], "info", "bucket without versioning"
-            if ("rds" in m[1] or "db_instance" in m[1]) and "encrypted" not in m[3]:
-                yield path, "issue", "no-encryption", m[2], "warning", "database may not be encrypted"
-        for m in re.finditer(r'data\s+"(\w+)"\s+"(\w+)"\s*\{', text):
-            yield path, "resource", f"data.{m[1]}", m[2], None, m[1].split("_")[0]
-        for m in re.finditer(r'module\s+"(\w+)"\s*\{([\s\S]*?)\n\}', text):
-            yield path, "resource", "module", m[1], None, (re.search(r'source\s*=\s*"([^"]+)"', m[2]) or [None, "unknown"])[1]
-        for k, line in enumerate(text.split("\n")):
-            if re.search(r'(?:password|secret|api_key|token)\s*=\s*"[^$][^"]+"', line, re.I):
-                yield path, "issue", "hardcoded-secret", str(k + 1), "error", "secret in a literal"
-    elif re.search(r"(?m)^services:\s*$", text):
-        inside, name = False, None
-        for line in text.split("\n"):
-            if re.match(r"services:\s*$", line):
-                inside = True
-            elif re.match(r"\S", line):
-                inside = False
-            elif inside:
-                if m := re.match(r" {2}(\w[\w-]*):\s*$", line):
-                    name = m[1]
-                    yield path, "resource", "docker-service", name, None, None
-                if name and (m := re.search(r"image:\s*(.+)", line)) and (":latest" in m[1] or ":" not in m[1]):
-                    yield path, "issue", "unpinned-image", name, "warning", m[1].strip()
-                if name and re.search(r"privileged:\s*true", line):
-                    yield path, "issue", "privileged", name, "error", None
-        if re.search(r"- /var/run/docker\.sock:", text):
-            yield path, "issue", "docker-socket", None, "warning", None
-    elif re.search(r"(?m)^kind:\s*\w+", text):
-        for part in re.split(r"(?m)^---\s*$", text):
-            kind = re.search(r"kind:\s*(\w+)", part)
-            if not kind:
-                continue
-            name = (re.search(r"name:\s*(\S+)", part) or [None, "unnamed"])[1]
-            image = re.search(r"image:\s*(\S+)", part)
-            yield path, "resource", f"k8s/{kind[1]}", name, None, image[1] if image else None
-            if re.search(r"(?:runAsRoot|privileged):\s*true", part):
-                yield path, "issue", "privileged", name, "error", None
-            if image and (":latest" in image[1] or ":" not in image[1]):
-                yield path, "issue", "unpinned-image", name, "warning", image[1]
-            if kind[1] == "Deployment" and "resources:" not in part:
-                yield path, "issue", "no-limits", name, "info", None
-
-
-def iac(files: DataFrame) -> DataFrame:
-    """Rows of IAC: resources and issues of Terraform, Compose and Kubernetes files (every document of a manifest)."""
-    return parsed(files.where(F.col("path").rlike(r"\.(tf|ya?ml)$")), r"resource|data|module|services:|kind:", _iac, IAC)
-
-
-CICD = "path string, platform string, what string, job string, value string"
-
-
-def _cicd(path: str, text: str) -> Iterator[tuple]:
-    if ".github/workflows/" in path:
-        top = re.search(r"(?m)^on:[ \t]*(.*)\n((?:[ \t]+.*\n|\n)*)", text)
-        triggers = re.findall(r"\w+", top[1]) or re.findall(r"(?m)^ {2}(\w+):?", top[2]) if top else []
-        yield from ((path, "github-actions", "trigger", None, t) for t in triggers)
-        if not triggers:
-            yield path, "github-actions", "issue", None, "no triggers"
-        body = text.split("\njobs:", 1)[1] if "\njobs:" in text else ""
-        for block in re.split(r"(?m)^(?= {2}[\w-]+:\s*$)", body):
-            m = re.match(r" {2}([\w-]+):", block)
-            if not m:
-                continue
-            job = m[1]
-            yield path, "github-actions", "job", job, (re.search(r"runs-on:\s*(.+)", block) or [None, None])[1]
-            if "runs-on:" not in block:
-                yield path, "github-actions", "issue", job, "no runs-on"
-            if needs := re.search(r"needs:\s*\[?([^\]\n]+)", block):
-                yield from ((path, "github-actions", "needs", job, n.strip().strip("'\"")) for n in needs[1].split(","))
-            for s in dict.fromkeys(re.findall(r"\$\{\{\s*secrets\.(\w+)\s*\}\}", block)):
-                yield path, "github-actions", "secret", job, s
-            for s in re.finditer(r"- (?:name:\s*(.+)|uses:\s*(.+)|run:\s*(.+))|^\s+uses:\s*(.+)", block, re.M):
-                step = next(x for x in s.groups() if x)
-                if s[1] or s[2] or s[3]:
-                    yield path, "github-actions", "step", job, step.strip()
-                if "@master" in step or "@main" in step:
-                    yield path, "github-actions", "issue", job, "unpinned action"
-        for k, line in enumerate(text.split("\n")):
-            if re.search(r"password|secret|token|api[_-]?key", line, re.I) and "secrets." not in line and "${{" not in line and ":" in line and not line.strip().startswith("#"):
-                yield path, "github-actions", "issue", None, f"possible secret in line {k + 1}"
-    elif path.endswith(".gitlab-ci.yml"):
-        job = None
-        for line in text.split("\n"):
-            t = line.strip()
-            if m := re.match(r"(\w[\w-]*):", line):
-                job = None if m[1] in W.GITLAB_KEYS else m[1]
-                if job:
-                    yield path, "gitlab-ci", "job", job, None
-            elif job and (m := re.match(r"stage:\s*(.+)", t)):
-                yield path, "gitlab-ci", "stage", job, m[1]
-            elif job and (m := re.search(r"needs:\s*\[([^\]]+)\]", t)):
-                yield from ((path, "gitlab-ci", "needs", job, n.strip().strip("'\"")) for n in m[1].split(","))
-            elif job and (m := re.match(r"-\s+(.+)", t)):
-                yield path, "gitlab-ci", "step", job, m[1]
-    elif path.endswith("Jenkinsfile"):
-        yield from ((path, "jenkins", "job", s, None) for s in re.findall(r"stage\s*\(\s*['\"](.+?)['\"]\s*\)", text))
-    elif path.endswith(".circleci/config.yml"):
-        section = None
-        for line in text.split("\n"):
-            if m := re.match(r"(\w+):", line):
-                section = m[1]
-            elif section == "jobs" and (m := re.match(r" {2}(\w[\w-]*):", line)):
-                yield path, "circleci", "job", m[1], None
-
-
-def cicd(files: DataFrame) -> DataFrame:
-    """Rows of CICD: triggers, jobs, needs, stages, steps, secrets and issues of pipelines."""
-    return parsed(files.where(F.col("path").rlike(r"\.github/workflows/[^/]+\.ya?ml$|\.gitlab-ci\.yml$|Jenkinsfile$|\.circleci/config\.yml$")), r"\w", _cicd, CICD)
-
-
 DOCS = "path string, name string, kind string, line_no long, summary string, params long, deprecated boolean"
 _NAME = re.compile(r"(?:function|class|def|fn|func|interface|type|struct|enum|trait|const|let|var)\s+(?:\([^)]*\)\s*)?(\w+)|(\w+)\s*\(", re.ASCII)
 

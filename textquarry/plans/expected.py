@@ -583,28 +583,28 @@ ROWS: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
         ],
     ),
     "db_columns": (
-        [("path", "string"), ("orm", "string"), ("table", "string"), ("column", "string"), ("type", "string"), ("nullable", "boolean"), ("primary", "boolean"), ("references", "string")],
-        [
-            ('app/models.py', 'django', 'Book', 'title', 'CharField', None, None, None),
-            ('app/models.py', 'django', 'Book', 'year', 'IntegerField', None, None, None),
-            ('app/tables.py', 'sqlalchemy', 'Car', 'id', 'Integer', None, None, None),
-            ('app/tables.py', 'sqlalchemy', 'Car', 'name', 'String', None, None, None),
-            ('db/001.sql', 'sql', 'roles', 'id', 'INT', False, True, None),
-            ('db/001.sql', 'sql', 'user_roles', 'role_id', 'INT', False, False, 'roles'),
-            ('db/001.sql', 'sql', 'user_roles', 'user_id', 'INT', False, False, 'users'),
-            ('db/001.sql', 'sql', 'users', 'email', 'VARCHAR(80)', False, False, None),
-            ('db/001.sql', 'sql', 'users', 'id', 'INT', False, True, None),
-            ('db/001.sql', 'sql', 'users', 'note', 'TEXT', True, False, None),
-            ('ent/cat.ts', 'typeorm', 'Cat', 'id', 'number', None, None, None),
-            ('ent/cat.ts', 'typeorm', 'Cat', 'name', 'string', None, None, None),
-            ('m/user.rb', 'activerecord', 'Account', None, None, None, None, None),
-            ('prisma/schema.prisma', 'prisma', 'Post', 'author', 'User', False, False, 'User'),
-            ('prisma/schema.prisma', 'prisma', 'Post', 'authorId', 'Int', False, False, None),
-            ('prisma/schema.prisma', 'prisma', 'Post', 'id', 'Int', False, True, None),
-            ('prisma/schema.prisma', 'prisma', 'Post', 'title', 'String?', True, False, None),
-            ('src/schema.ts', 'drizzle', 'pets', 'id', 'serial', False, True, None),
-            ('src/schema.ts', 'drizzle', 'pets', 'name', 'text', False, False, None),
-            ('src/schema.ts', 'drizzle', 'pets', 'owner', 'integer', True, False, 'people'),
+        [("path", "string"), ("orm", "string"), ("table", "string"), ("column", "string"), ("type", "string"), ("nullable", "boolean"), ("primary", "boolean"), ("unique", "boolean"), ("default", "string"), ("references", "string")],
+        [
+            ('app/models.py', 'django', 'Book', 'title', 'CharField', None, None, None, None, None),
+            ('app/models.py', 'django', 'Book', 'year', 'IntegerField', None, None, None, None, None),
+            ('app/tables.py', 'sqlalchemy', 'Car', 'id', 'Integer', None, None, None, None, None),
+            ('app/tables.py', 'sqlalchemy', 'Car', 'name', 'String', None, None, None, None, None),
+            ('db/001.sql', 'sql', 'roles', 'id', 'INT', False, True, False, None, None),
+            ('db/001.sql', 'sql', 'user_roles', 'role_id', 'INT', False, True, False, None, 'roles'),
+            ('db/001.sql', 'sql', 'user_roles', 'user_id', 'INT', False, True, False, None, 'users'),
+            ('db/001.sql', 'sql', 'users', 'email', 'VARCHAR(80)', False, False, True, None, None),
+            ('db/001.sql', 'sql', 'users', 'id', 'INT', False, True, False, None, None),
+            ('db/001.sql', 'sql', 'users', 'note', 'TEXT', True, False, False, None, None),
+            ('ent/cat.ts', 'typeorm', 'Cat', 'id', 'number', None, None, None, None, None),
+            ('ent/cat.ts', 'typeorm', 'Cat', 'name', 'string', None, None, None, None, None),
+            ('m/user.rb', 'activerecord', 'Account', None, None, None, None, None, None, None),
+            ('prisma/schema.prisma', 'prisma', 'Post', 'author', 'User', False, False, False, None, 'User'),
+            ('prisma/schema.prisma', 'prisma', 'Post', 'authorId', 'Int', False, False, False, None, None),
+            ('prisma/schema.prisma', 'prisma', 'Post', 'id', 'Int', False, True, False, None, None),
+            ('prisma/schema.prisma', 'prisma', 'Post', 'title', 'String?', True, False, False, None, None),
+            ('src/schema.ts', 'drizzle', 'pets', 'id', 'serial', False, True, False, None, None),
+            ('src/schema.ts', 'drizzle', 'pets', 'name', 'text', False, False, False, None, None),
+            ('src/schema.ts', 'drizzle', 'pets', 'owner', 'integer', True, False, False, None, 'people'),
         ],
     ),
     "db_tables": (
@@ -613,7 +613,7 @@ ROWS: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
             ('app/models.py', 'django', 'Book', 2, 0, 0),
             ('app/tables.py', 'sqlalchemy', 'Car', 2, 0, 0),
             ('db/001.sql', 'sql', 'roles', 1, 1, 0),
-            ('db/001.sql', 'sql', 'user_roles', 2, 0, 2),
+            ('db/001.sql', 'sql', 'user_roles', 2, 2, 2),
             ('db/001.sql', 'sql', 'users', 3, 1, 0),
             ('ent/cat.ts', 'typeorm', 'Cat', 2, 0, 0),
             ('m/user.rb', 'activerecord', 'Account', 0, 0, 0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import category_of, is_code, language_of
-from ..operators import change, formats, metrics, parsers, scans, symbols
+from ..operators import change, formats, metrics, parsers, scans, settings, symbols
 from ..sources import samples
 from .expected import ROWS
 
@@ -121,11 +121,11 @@ MAKE: dict[str, Make] = {
     "api_endpoints": lambda s: parsers.api_endpoints(pairs(s, samples.APIS)),
     "openapi_endpoints": lambda s: parsers.openapi_endpoints(pairs(s, samples.APIS)),
     "api_method_histogram": lambda s: parsers.method_histogram(parsers.api_endpoints(pairs(s, samples.APIS))),
-    "iac_resources": lambda s: parsers.iac(pairs(s, samples.IAC)).where("what = 'resource'").select("path", "type", "name", "detail"),
-    "iac_issues": lambda s: parsers.iac(pairs(s, samples.IAC)).where("what = 'issue'").select("path", "type", "name", "severity"),
-    "cicd_jobs": lambda s: parsers.cicd(pairs(s, samples.PIPELINES)).where("what = 'job'").select("path", "platform", "job", F.col("value").alias("runs_on")),
-    "cicd_needs": lambda s: parsers.cicd(pairs(s, samples.PIPELINES)).where("what = 'needs'").select("path", "job", F.col("value").alias("needs")),
-    "cicd_facts": lambda s: parsers.cicd(pairs(s, samples.PIPELINES)),
+    "iac_resources": lambda s: settings.iac(pairs(s, samples.IAC)).where("what = 'resource'").select("path", "type", "name", "detail"),
+    "iac_issues": lambda s: settings.iac(pairs(s, samples.IAC)).where("what = 'issue'").select("path", "type", "name", "severity"),
+    "cicd_jobs": lambda s: settings.cicd(pairs(s, samples.PIPELINES)).where("what = 'job'").select("path", "platform", "job", F.col("value").alias("runs_on")),
+    "cicd_needs": lambda s: settings.cicd(pairs(s, samples.PIPELINES)).where("what = 'needs'").select("path", "job", F.col("value").alias("needs")),
+    "cicd_facts": lambda s: settings.cicd(pairs(s, samples.PIPELINES)),
     "code_docs": lambda s: parsers.docs(code(s)),
     "undocumented": lambda s: parsers.undocumented(code(s), symbols.symbols(code(s))),
     "blame": lambda s: change.blame(pairs(s, [("f", samples.BLAME)])).withColumn("date", F.col("date").cast("string")),

@@ -2,95 +2,148 @@
 
 from __future__ import annotations
 
-# File extensions of each language.
-EXTENSIONS: dict[str, str] = {
-    "javascript": ".js .jsx .mjs .cjs",
-    "typescript": ".ts .tsx .mts",
-    "python": ".py .pyi .pyw",
-    "java": ".java",
-    "kotlin": ".kt .kts",
-    "scala": ".scala .sbt",
-    "groovy": ".groovy",
-    "clojure": ".clj .cljs",
-    "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .hpp .hh .hxx .vcxproj",
-    "csharp": ".cs .csproj .sln",
-    "objectivec": ".m .mm .xcodeproj .pbxproj",
-    "go": ".go",
-    "rust": ".rs",
-    "zig": ".zig",
-    "nim": ".nim",
-    "swift": ".swift",
-    "dlang": ".d",
-    "crystal": ".cr",
-    "v": ".v",
-    "pascal": ".pas .pp",
-    "basic": ".bas",
-    "vbnet": ".vb",
-    "vbscript": ".vbs",
-    "assembly": ".asm .s .asmx",
-    "webassembly": ".wat .wasm",
-    "ruby": ".rb .rake",
-    "php": ".php",
-    "perl": ".pl .pm",
-    "lua": ".lua",
-    "r": ".r",
-    "julia": ".jl",
-    "elixir": ".ex .exs .heex .eex .leex",
-    "erlang": ".erl .hrl",
-    "html": ".html .htm",
-    "css": ".css",
-    "scss": ".scss",
-    "sass": ".sass",
-    "less": ".less",
-    "vue": ".vue",
-    "svelte": ".svelte",
-    "json": ".json",
-    "yaml": ".yaml .yml",
-    "toml": ".toml",
-    "xml": ".xml",
-    "ini": ".ini",
-    "env": ".env",
-    "shell": ".sh .bash .zsh",
-    "fish": ".fish",
-    "powershell": ".ps1 .psm1",
-    "batch": ".bat .cmd",
-    "dart": ".dart",
-    "haskell": ".hs .lhs",
-    "ocaml": ".ml .mli",
-    "fsharp": ".fs .fsi .fsx",
-    "sql": ".sql",
-    "graphql": ".graphql .gql",
-    "protobuf": ".proto",
-    "thrift": ".thrift",
-    "terraform": ".tf",
-    "hcl": ".hcl",
-    "solidity": ".sol",
-    "vyper": ".vy",
-    "markdown": ".md .mdx",
-    "rst": ".rst",
-    "text": ".txt",
-    "dockerfile": ".dockerfile",
-    "prisma": ".prisma",
-    "dbml": ".dbml",
-    "access": ".mdb .accdb",
-    "cmake": ".cmake",
-    "makefile": ".makefile",
-    "gradle": ".gradle",
-    "maven": ".maven .pom",
-    "asciidoc": ".adoc .asciidoc",
-    "latex": ".tex .ltx",
-    "coffeescript": ".coffee .litcoffee .iced",
-    "elm": ".elm",
-    "reason": ".re .rei",
-    "rescript": ".res .resi",
-    "purescript": ".purs",
-    "gleam": ".gleam",
-    "nix": ".nix",
-    "dhall": ".dhall",
-    "cue": ".cue",
-    "bicep": ".bicep",
-    "pkl": ".pkl",
+# Language of each file extension.
+LANGUAGE_OF: dict[str, str] = {
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".mts": "typescript",
+    ".py": "python",
+    ".pyi": "python",
+    ".pyw": "python",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".scala": "scala",
+    ".sbt": "scala",
+    ".groovy": "groovy",
+    ".clj": "clojure",
+    ".cljs": "clojure",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".vcxproj": "cpp",
+    ".cs": "csharp",
+    ".csproj": "csharp",
+    ".sln": "csharp",
+    ".m": "objectivec",
+    ".mm": "objectivec",
+    ".xcodeproj": "objectivec",
+    ".pbxproj": "objectivec",
+    ".go": "go",
+    ".rs": "rust",
+    ".zig": "zig",
+    ".nim": "nim",
+    ".swift": "swift",
+    ".d": "dlang",
+    ".cr": "crystal",
+    ".v": "v",
+    ".pas": "pascal",
+    ".pp": "pascal",
+    ".bas": "basic",
+    ".vb": "vbnet",
+    ".vbs": "vbscript",
+    ".asm": "assembly",
+    ".s": "assembly",
+    ".asmx": "assembly",
+    ".wat": "webassembly",
+    ".wasm": "webassembly",
+    ".rb": "ruby",
+    ".rake": "ruby",
+    ".php": "php",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".lua": "lua",
+    ".r": "r",
+    ".jl": "julia",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".heex": "elixir",
+    ".eex": "elixir",
+    ".leex": "elixir",
+    ".erl": "erlang",
+    ".hrl": "erlang",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".sass": "sass",
+    ".less": "less",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".xml": "xml",
+    ".ini": "ini",
+    ".env": "env",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".fish": "fish",
+    ".ps1": "powershell",
+    ".psm1": "powershell",
+    ".bat": "batch",
+    ".cmd": "batch",
+    ".dart": "dart",
+    ".hs": "haskell",
+    ".lhs": "haskell",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".fs": "fsharp",
+    ".fsi": "fsharp",
+    ".fsx": "fsharp",
+    ".sql": "sql",
+    ".graphql": "graphql",
+    ".gql": "graphql",
+    ".proto": "protobuf",
+    ".thrift": "thrift",
+    ".tf": "terraform",
+    ".hcl": "hcl",
+    ".sol": "solidity",
+    ".vy": "vyper",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".rst": "rst",
+    ".txt": "text",
+    ".dockerfile": "dockerfile",
+    ".prisma": "prisma",
+    ".dbml": "dbml",
+    ".mdb": "access",
+    ".accdb": "access",
+    ".cmake": "cmake",
+    ".makefile": "makefile",
+    ".gradle": "gradle",
+    ".maven": "maven",
+    ".pom": "maven",
+    ".adoc": "asciidoc",
+    ".asciidoc": "asciidoc",
+    ".tex": "latex",
+    ".ltx": "latex",
+    ".coffee": "coffeescript",
+    ".litcoffee": "coffeescript",
+    ".iced": "coffeescript",
+    ".elm": "elm",
+    ".re": "reason",
+    ".rei": "reason",
+    ".res": "rescript",
+    ".resi": "rescript",
+    ".purs": "purescript",
+    ".gleam": "gleam",
+    ".nix": "nix",
+    ".dhall": "dhall",
+    ".cue": "cue",
+    ".bicep": "bicep",
+    ".pkl": "pkl",
 }
 
 # File names (lower case, at the end of the path) that decide before the extension does, in order.

@@ -58,3 +58,19 @@ HEAVY: list[tuple[str, int]] = [("moment", 290), ("lodash", 530), ("aws-sdk", 75
 
 # Top-level keys of a GitLab pipeline that aren't jobs.
 GITLAB_KEYS = ["image", "services", "stages", "variables", "before_script", "after_script", "cache", "include", "workflow", "default", "pages"]
+
+# Issue, severity, type of resource, key, value that is wrong (none: the key must be there).
+MISCONFIGURED: list[tuple[str, str, str, str, str | None]] = [
+    ("open-ingress", "warning", r"^(?!data\.).*security_group", r"ingress", r"0\.0\.0\.0/0"),
+    ("no-versioning", "info", r"^(?!data\.).*s3_bucket", r"versioning", None),
+    ("no-encryption", "warning", r"^(?!data\.).*(rds|db_instance)", r"encrypted", None),
+    ("unpinned-image", "warning", r"^(docker-service|k8s/)", r"(^|/)image$", r":latest|^[^:]+$"),
+    ("privileged", "error", r"^(docker-service|k8s/)", r"(^|/)(privileged|runAsRoot)$", r"^true$"),
+    ("no-limits", "info", r"^k8s/Deployment$", r"(^|/)resources(/|$)", None),
+]
+
+# Issue, severity, ending of the file, top key, key, value that is wrong, whether the line is named.
+MISCONFIGURED_ROWS: list[tuple[str, str, str, str | None, str, str, bool]] = [
+    ("hardcoded-secret", "error", r"\.tf$", None, r"(?i)(password|secret|api_key|token)$", r'^"[^$"][^"]*"$', True),
+    ("docker-socket", "warning", r"\.ya?ml$", "services", r"", r"^/var/run/docker\.sock:", False),
+]
