@@ -122,20 +122,55 @@ def test_licences_and_inheritance(spark):
 # --- 2 archives
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_arc_of_each_version(tmp_path, version):
-    name = tmp_path / "a.arc.gz"
-    block = warc.http_block(7, b"x\nhttp://no header 1\n")
-    data = warc._member(warc.version_block("a.arc.gz", version))
-    name.write_bytes(data + warc._member(warc.arc_record(version, "a.arc.gz", len(data), "http://h/a b", block)))
-    ((offset, head, got),) = warc.arc_records(str(name))
-    assert (offset, got, head["URL"]) == (len(data), block, "http://h/a%20b")
-    assert len(head) == (5 if version == 1 else 10)
+def archive(version: int, blocks: list[bytes], form: str) -> bytes:
+    """An ARC file: plain, in one gzip member, in one for each record, or in members that cut records anywhere."""
+    parts = [warc.version_block("a.arc", version)]
+    for k, block in enumerate(blocks):
+        parts.append(warc.arc_record(version, "a.arc", sum(map(len, parts)), f"http://h/{k} x", block))
+    whole = b"".join(parts)
+    return {"plain": lambda: whole, "one": lambda: warc._member(whole), "each": lambda: b"".join(map(warc._member, parts)), "cut": lambda: b"".join(warc._member(whole[lo : lo + 777]) for lo in range(0, len(whole), 777)) + b"\0" * 512}[form]()
 
 
-def test_short_arc_record_is_refused():
-    with pytest.raises(ValueError, match="shorter"):
-        warc.arc_fields(b"u 0.0.0.0 1 text/html 99\nabc", warc.FIELDS[1].split(" "))
+@pytest.mark.parametrize("form", ["plain", "one", "each", "cut"])
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_of_each_version_and_form(tmp_path, version, form):
+    name = tmp_path / "a.arc"
+    blocks = [warc.http_block(7, b"x\nhttp://no header 1\n\n\r\n"), b"", warc.http_block(8, b"\n"), warc.http_block(9, bytes(range(256)) * 20_000)]
+    name.write_bytes(archive(version, blocks, form))
+    got = list(warc.arc_records(str(name)))
+    assert [b for _, _, b in got] == blocks and [h["URL"] for _, h, _ in got] == [f"http://h/{k}%20x" for k in range(4)]
+    assert all(len(h) == (5 if version == 1 else 10) and int(h["Archive-length"]) == len(b) for _, h, b in got)
+    whole = archive(version, blocks, "plain")
+    assert [o for o, _, _ in got] == sorted({o for o, _, _ in got}) and all(whole[o:].startswith(f"http://h/{k}%20x ".encode()) for k, (o, _, _) in enumerate(got))
+
+
+def test_arc_files_of_others(tmp_path):
+    """Carriage returns, spaces in a URL, no line between records; damaged files are refused, an empty one has no records."""
+    body = b"1 0 Other\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain %d\n" % len(body) + body
+    name = tmp_path / "x.arc"
+    name.write_bytes(head + b"\r\n\nhttp://a/b c d 1.2.3.4 20010203040506 text/html 3\r\nabchttp://e 1.2.3.4 20010203040507 text/html 0\n")
+    assert [(h["URL"], h["Archive-date"], b) for _, h, b in warc.arc_records(str(name))] == [("http://a/b c d", "20010203040506", b"abc"), ("http://e", "20010203040507", b"")]
+    for data, message in ((head + b"u 0.0.0.0 1 text/html 99\nabc", "shorter"), (head + b"u 1\n", "fields"), (warc._member(head)[:-9], "gzip member"), (b"f://x 0.0.0.0 1 text/plain 4\n9 0\n", "version")):
+        name.write_bytes(data)
+        with pytest.raises(ValueError, match=message):
+            list(warc.arc_records(str(name)))
+    name.write_bytes(b"")
+    assert list(warc.arc_records(str(name))) == []
+
+
+def test_foreign_arc_files_become_warc(spark, tmp_path):
+    """Plain and one-member files of both versions, and a payload of several MB, through the whole converter."""
+    pages = [f"page {k}" for k in range(3)] + ["long " * 800_000, "page 1"]
+    paths = []
+    for version, form in ((1, "plain"), (2, "one"), (1, "each"), (2, "cut")):
+        paths.append(f"{tmp_path}/{version}{form}.arc")
+        Path(paths[-1]).write_bytes(archive(version, [warc.http_block(k, x.encode()) for k, x in enumerate(pages)], form))
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    resolved = warc.resolve(common.stage(warc.scan_arc(files), "f1"))
+    got = common.stage(warc.scan_warc(common.stage(warc.convert(resolved, common.new_folder(spark, "f-warc")), "f2")), "f3").collect()
+    assert Counter((r["page_id"], r["payload_digest"]) for r in got) == Counter((k, warc.digest(x.encode())) for k, x in enumerate(pages) for _ in paths)
+    assert Counter(r["record_type"] for r in got) == {"response": 4, "revisit": 16}
 
 
 def convert(spark, pages, least=0):
@@ -438,6 +473,116 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(df, "other").where("doc_id = 2").first()["text"] != got[2]["text"]
 
 
+def brute_round(key: str, kind: str, i: int, value: int) -> int:
+    return int(hashlib.sha256(f"{key}|{kind}|{i}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def brute_feistel(a: int, b: int, na: int, nb: int, key: str, kind: str) -> tuple[int, int]:
+    for i in range(8):
+        if i % 2:
+            b = (b + brute_round(key, kind, i, a)) % nb
+        else:
+            a = (a + brute_round(key, kind, i, b)) % na
+    return a, b
+
+
+def brute_digits(d: str, key: str, kind: str) -> str:
+    h = len(d) // 2
+    a, b = brute_feistel(int(d[:h] or 0), int(d[h:] or 0), 10**h, 10 ** (len(d) - h), key, kind)
+    return (f"{a:0{h}}" if h else "") + f"{b:0{len(d) - h}}"
+
+
+def brute_like(shape: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def brute_value(m: str, key: str) -> str:
+    """The pseudonym of one candidate, in plain Python."""
+    import datetime
+
+    d = re.sub("[^0-9]", "", m)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    if "@" in m:
+        h = sha(f"{key}|mail|{m.lower()}")
+        return f"user.{h[:12]}@{h[12:20]}.example.invalid"
+    if '"' in m:
+        head, value = re.match(r'([^"]*")([^"]+)"', m).groups()
+        return head + (sha(f"{key}|secret|{value}") * -(-len(value) // 64))[: len(value)] + '"'
+    if "(" in m or re.fullmatch(r"\d{3}[-.]\d{3}[-.]\d{4}", m):
+        country, area, exchange, line = d[:-10], int(d[-10:-7]), int(d[-7:-4]), int(d[-4:])
+        if country not in ("", "1"):
+            return brute_like(m, country + brute_digits(d[-10:], key, "phone abroad"))
+        if area >= 200 and exchange >= 200:
+            a, b = brute_feistel((area - 200) * 100 + line // 100, (exchange - 200) * 100 + line % 100, 80_000, 80_000, key, "phone")
+            return brute_like(m, f"{country}{a // 100 + 200}{b // 100 + 200}{a % 100:02}{b % 100:02}")
+        outside = [(x, y) for x in range(1000) for y in range(1000) if x < 200 or y < 200]
+        a, b = brute_feistel(outside.index((area, exchange)), line, len(outside), 10_000, key, "phone shape")
+        return brute_like(m, f"{country}{outside[a][0]:03}{outside[a][1]:03}{b:04}")
+    if re.fullmatch(r"\d{13,19}|\d{4}([ -]\d{4}){3}", m):
+        if not luhn(d) or not d.strip("0"):
+            return m
+        body = brute_digits(d[:-1], key, "card")
+        return brute_like(m, next(body + str(c) for c in range(10) if luhn(body + str(c))))
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        o = m.split(".")
+        if any(int(x) > 255 or len(x) > 1 and x[0] == "0" for x in o):
+            return m
+        a, b = brute_feistel(int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 65536, 65536, key, "ipv4")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+        area, group, serial = map(int, m.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        if area not in areas or not group or not serial:
+            return m
+        a, b = brute_feistel(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        return f"{areas[a // 99]:03}-{a % 99 + 1:02}-{b + 1:04}"
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", m):
+        mod = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
+        if mod(m[4:] + m[:4]) != 1:
+            return m
+        tail = re.search("[0-9]{1,16}$", m[4:])
+        body = m[4:] if not tail else m[4 : 4 + tail.start()] + brute_digits(tail[0], key, "iban")
+        return f"{m[:2]}{98 - mod(body + m[:2] + '00'):02}{body}"
+    for shape in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d.%m.%Y"):
+        if re.fullmatch(r"\d{4}([-/])\d\d\1\d\d" if shape[1] == "Y" else r"\d\d([./])\d\d\1\d{4}", m):
+            try:
+                at = (datetime.datetime.strptime(m, shape).date() - datetime.date(1800, 1, 1)).days
+            except ValueError:
+                continue
+            if 0 <= at < 146_097:
+                a, b = brute_feistel(at // 773, at % 773, 189, 773, key, "date")
+                return (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).strftime(shape)
+    return m
+
+
+def brute_text(text: str | None, key: str) -> str | None:
+    return text and re.sub(pii.PATTERN, lambda m: brute_value(m[0], key), text)
+
+
+ODD_VALUES = "(123) 055-0000 (017) 555-7713 +44 (123) 055-0000 +1 (743) 555-3824 999-999-9999 555.123.4567 0000000000000000 12.12.2012 31.02.2012 1799-12-31 2199-12-31 2200-01-01 2012/12/12 00.0.0.1 1.2.3.4 256.1.1.1 666-12-1234 899-99-9999 001-01-0001 123-00-1234 GB82WEST12345698765432 GB82WEST12345698765433 NO9386011117947 4111 1111 1111 1111 4111-1111-1111-1112 6011000990139424 x@y.z a.b%c@d-e.co.uk password: \"p\" api_key=\"" + "k" * 130 + "\" 1.2 7 abc123"
+
+
+def test_pseudonyms_against_plain_python(spark):
+    """The registered query on all of sf0.01, and odd values, very long texts and repeated rows."""
+    folder = "/root/testdata/sf0.01"
+    docs = common.table(spark, folder, "documents").select("doc_id", "text").collect()
+    got = Counter((r["doc_id"], r["text"]) for r in pii.query(spark, folder).collect())
+    assert got == Counter((r["doc_id"], brute_text(r["text"], pii.KEY)) for r in docs)
+    rows = [(1, ODD_VALUES), (1, ODD_VALUES), (2, "x " * 300_000 + ODD_VALUES + " y" * 300_000)]
+    got = Counter((r["doc_id"], r["text"]) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k2").collect())
+    assert got == Counter((k, brute_text(t, "k2")) for k, t in rows)
+
+
+def test_the_owner_of_the_key_can_undo_numbers_and_dates(spark):
+    text = re.sub(r"x@y.*api_key=\S+", "", ODD_VALUES)
+    df = spark.createDataFrame([(1, text), (2, "4111 1111 1111 1111 on 2024-02-29"), (3, None)], "doc_id long, text string")
+    hidden = pii.pseudonymise(df, "k")
+    assert hidden.where("doc_id = 2").first()["text"] != "4111 1111 1111 1111 on 2024-02-29"
+    assert [r["text"] for r in pii.restore(hidden, "k").orderBy("doc_id").collect()] == [text, "4111 1111 1111 1111 on 2024-02-29", None]
+    assert pii.restore(hidden, "other").where("doc_id = 2").first()["text"] != "4111 1111 1111 1111 on 2024-02-29"
+
+
 def test_permutations_are_one_to_one(spark):
     days = spark.range(146_097 // 40).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (F.col("id") * 40).cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymise(days, "k").select("text").distinct().count() == days.count()
@@ -503,6 +648,42 @@ def test_topk_exact_with_ties_and_bad_rows(spark):
     assert topk.search(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_topk_over_groups_and_blocks(spark, monkeypatch):
+    """Several blocks of queries, several groups a task, ragged vectors, repeated and clashing rows; few rows leave the tasks."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 512)
+    monkeypatch.setattr(topk, "GROUP", 64)
+    r = np.random.default_rng(2)
+    vecs = [(k, r.normal(size=8 - (k % 7 == 0)).tolist()) for k in range(900)] + [(5, r.normal(size=8).tolist()), (50, r.normal(size=8).tolist())]
+    df = topk.quantised(spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("score", F.lit(1)))
+    seen = {}
+    kept = topk.stage
+    monkeypatch.setattr(topk, "stage", lambda x, name, **kw: seen.setdefault(name, kept(x, name, **kw)))
+    got = defaultdict(list)
+    for row in topk.search(df, df.where("vec_id % 50 = 0"), n_pivots=6).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append((row["vec_id"], row["score"]))
+    pad = [(k, np.floor(256 * np.array([*v, *[0.0] * (8 - len(v))])).astype(int)) for k, v in vecs]
+    for q in range(100, 900, 50):
+        x = next(v for k, v in pad if k == q)
+        assert got[q] == [(v, -s) for s, v in sorted((-int(x @ y), k) for k, y in pad if k != q)[:5]]
+    assert len(got[50]) == 5  # two rows ask under one identifier: the best of both
+    assert seen["found"].count() < 0.4 * 19 * 5 * 902 / 64
+
+
+@pytest.mark.parametrize("value", [1e30, 1e12])
+def test_scores_beyond_64_bits_are_an_error(spark, value):
+    df = topk.quantised(spark.createDataFrame([(0, [value, 1.0]), (1, [value, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df, df.where("vec_id = 0")).collect()
+
+
+def test_large_scores_are_exact(spark):
+    rows = [(k, [4_000_000.0 + k, 3.0 * k]) for k in range(8)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    x = [[int(256 * c) for c in v] for _, v in rows]
+    assert got == [(v, -s) for s, v in sorted((-(x[0][0] * x[v][0] + x[0][1] * x[v][1]), v) for v in range(1, 8))[:5]]
+
+
 # --- 8 packing
 
 

@@ -1,8 +1,8 @@
 """Legacy ARC archives: writing, parsing by version, and conversion to WARC.
 
 `write_arc` puts each page into an ARC file as an HTTP response, one gzip member a record, under a version block that
-names the fields of version 1 or 2. `scan_arc` parses the header lines by the version block's field list and takes
-declared lengths. `convert` makes WARC records of them: a version-5 UUID from the ARC file and offset as identifier, the
+names the fields of version 1 or 2. `scan_arc` walks any ARC file (plain, one gzip member, or one for each record) by the
+lengths that its header lines declare, and parses these lines by the version block's field list. `convert` makes WARC records of them: a version-5 UUID from the ARC file and offset as identifier, the
 14-digit date as WARC-Date, types response or revisit, and SHA-1 digests of block and payload. `scan_warc` reads the
 WARC files back.
 
@@ -52,23 +52,54 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(path: str) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the gzip members of a file, one in memory at a time; a file without gzip is one member."""
-    with stream(path) as file:
-        at, offset, z, parts, data = 0, 0, None, [], b""
-        while True:
-            if not data and not (data := file.read(1 << 20)):
-                break
-            if z is None:
-                z, parts, offset = zlib.decompressobj(31), [], at
-            parts.append(z.decompress(data))
-            at += len(data) - len(z.unused_data)
-            data = z.unused_data
-            if z.eof:
-                yield offset, b"".join(parts)
-                z = None
-        if z is not None:
-            raise ValueError(f"{path} ends within a record at {offset}")
+class Content:
+    """What a plain or gzip file (of any number of members) holds, as one stream; `at` is the place in it."""
+
+    def __init__(self, file, name: str) -> None:
+        self.file, self.name, self.at = file, name, 0
+        self.held, self.begin, self.rest, self.gzip, self.z = bytearray(), 0, b"", None, None
+
+    def more(self) -> bool:
+        data = self.rest or self.file.read(1 << 20)
+        self.rest = b""
+        if self.gzip is None:
+            self.gzip = data[:2] == b"\x1f\x8b"
+        if self.gzip and self.z is None:
+            data = data.lstrip(b"\0") if self.at else data  # padding between members
+        if not data:
+            if self.z is not None:
+                raise ValueError(f"{self.name} ends within a gzip member")
+            return False
+        if self.begin > 1 << 20:
+            del self.held[: self.begin]
+            self.begin = 0
+        if not self.gzip:
+            self.held += data
+            return True
+        self.z = self.z or zlib.decompressobj(31)
+        self.held += self.z.decompress(data, 4 << 20)
+        self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        self.z = None if self.z.eof else self.z
+        return True
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer only at the end."""
+        while len(self.held) - self.begin < n and self.more():
+            pass
+        out = bytes(self.held[self.begin : self.begin + n])
+        self.begin += len(out)
+        self.at += len(out)
+        return out
+
+    def line(self) -> bytes:
+        """Up to the next line feed and with it; empty at the end."""
+        seen = self.begin
+        while (end := self.held.find(b"\n", seen)) < 0:
+            seen = len(self.held) - self.begin
+            if not self.more():
+                return self.take(len(self.held) - self.begin)
+            seen += self.begin
+        return self.take(end + 1 - self.begin)
 
 
 def http_block(page_id: int | None, payload: bytes) -> bytes:
@@ -97,31 +128,61 @@ def arc_record(version: int, name: str, offset: int, url: str, block: bytes) ->
     return line + b"\n" + block + b"\n"
 
 
-def arc_fields(content: bytes, names: list[str]) -> tuple[dict[str, str], bytes]:
-    """Fields of a record's header line by the names of its version, and the bytes its declared length covers."""
-    line, _, rest = content.partition(b"\n")
-    parts = line.decode("utf-8", "replace").split(" ")
-    if len(parts) != len(names):
+def arc_fields(line: bytes, names: list[str]) -> dict[str, str]:
+    """Fields of a record's header line by the names of its version. Only the URL, which comes first, may hold spaces."""
+    parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+    if len(parts) < len(names):
         raise ValueError(f"{len(parts)} fields in an ARC header line of {len(names)}")
-    found = dict(zip(names, parts, strict=True))
-    n = int(found["Archive-length"])
-    if len(rest) < n:
-        raise ValueError("an ARC record is shorter than it declares")
-    return found, rest[:n]
+    more = len(parts) - len(names) + 1
+    return dict(zip(names, [" ".join(parts[:more]), *parts[more:]], strict=True))
 
 
 def arc_records(path: str) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of the records after the version block."""
+    """(offset in the uncompressed archive, header fields, block) of the records after the version block; none in an empty file."""
     names: list[str] | None = None
-    for offset, content in members(path):
-        if names is None:
-            line, _, rest = content.partition(b"\n")
-            body = rest[: int(line.rsplit(b" ", 1)[1])].decode().split("\n")
-            if body[0].split(" ")[0] not in ("1", "2"):
-                raise ValueError(f"{path} has ARC version {body[0]}")
-            names = body[1].split(" ")
-        else:
-            yield (offset, *arc_fields(content, names))
+    with stream(path) as file:
+        content = Content(file, path)
+        while True:
+            offset, line = content.at, content.line()
+            if not line:
+                return
+            if not line.strip():
+                continue  # between records
+            head = arc_fields(line, names) if names else {"Archive-length": line.split()[-1].decode()}
+            n = int(head["Archive-length"])
+            block = content.take(n)
+            if len(block) < n:
+                raise ValueError(f"{path}: the record at {offset} is shorter than it declares")
+            if names:
+                yield offset, head, block
+                continue
+            version, fields = (block.decode("utf-8", "replace").split("\n") + [""])[:2]
+            if version.split(" ")[0] not in ("1", "2") or "Archive-length" not in fields:
+                raise ValueError(f"{path} has ARC version {version}")
+            names = fields.strip().split(" ")
+
+
+def warc_records(path: str) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset in the uncompressed archive, header fields, block) of all records, by their declared lengths."""
+    with stream(path) as file:
+        content = Content(file, path)
+        while True:
+            offset, line = content.at, content.line()
+            if not line:
+                return
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"{path} has no WARC record at {offset}")
+            head = {}
+            while (line := content.line()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            n = int(head["content-length"])
+            block = content.take(n)
+            if len(block) < n:
+                raise ValueError(f"{path}: the record at {offset} is shorter than it declares")
+            yield offset, head, block
 
 
 def write_arc(pages: DataFrame, folder: str) -> DataFrame:
@@ -131,13 +192,13 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
         k = TaskContext.get().partitionId()
         version, name, n = 1 + k % 2, f"pages-{k:06d}.arc.gz", 0
         with written(f"{folder}/{name}") as out:
-            first = _member(version_block(name, version))
-            out.write(first)
+            first = version_block(name, version)
+            out.write(_member(first))
             at = len(first)
             for batch in batches:
                 for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    data = _member(arc_record(version, name, at, url or "", http_block(page_id, (html or "").encode())))
-                    out.write(data)
+                    data = arc_record(version, name, at, url or "", http_block(page_id, (html or "").encode()))
+                    out.write(_member(data))
                     at += len(data)
                     n += 1
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n]})
@@ -170,7 +231,7 @@ def scan_arc(files: DataFrame) -> DataFrame:
             for offset, head, block in arc_records(path):
                 fields, at = http_fields(block)
                 payload, page = block[at:], fields.get("x-page-id")
-                own = f"urn:uuid:{uuid.uuid5(_SPACE, f'{path.rpartition("/")[2]}#{offset}')}"
+                own = f"urn:uuid:{uuid.uuid5(_SPACE, f'{path}#{offset}')}"
                 yield path, offset, own, None if page is None else int(page), "" if head["URL"] == "-" else head["URL"], head["Archive-date"], head["Content-type"], len(payload), digest(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +277,7 @@ def convert(resolved: DataFrame, folder: str) -> DataFrame:
         one = next(todo, None)
         while one is not None:
             arc, n = one[0], 0
-            name = f"{folder}/{arc.rpartition('/')[2].removesuffix('.arc.gz')}.warc.gz"
+            name = f"{folder}/{arc.rpartition('/')[2].removesuffix('.gz').removesuffix('.arc')}-{zlib.crc32(arc.encode()):08x}.warc.gz"
             with written(name) as out:
                 info = b"software: textquarry\r\nformat: WARC File Format 1.1\r\n"
                 out.write(_member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (str(uuid.uuid5(_SPACE, name.rpartition("/")[2])).encode(), warc_date(_DATE).encode(), len(info), info)))
@@ -241,11 +302,9 @@ def scan_warc(files: DataFrame) -> DataFrame:
 
     def rows(paths: Iterator[str]) -> Iterator[tuple]:
         for path in paths:
-            for offset, content in members(path):
-                head, at = http_fields(content)
-                if head["warc-type"] == "warcinfo":
+            for offset, head, block in warc_records(path):
+                if head["warc-type"] not in ("response", "revisit"):
                     continue
-                block = content[at : at + int(head["content-length"])]
                 fields, start = http_fields(block)
                 page, full = fields.get("x-page-id"), head["warc-payload-digest"].removeprefix("sha1:")
                 if digest(block) != head["warc-block-digest"].removeprefix("sha1:") or head["warc-type"] == "response" and digest(block[start:]) != full:
