@@ -618,6 +618,20 @@ def test_substrings_against_all_windows(spark, docs, none):
     assert substrings.remove(none).count() == 0
 
 
+def test_substrings_of_hot_anchors_and_slabs(spark, monkeypatch):
+    """Common strings in many contexts are dealt out, slabs and gathering are small: the same bytes go."""
+    for name, value in (("SLAB", 50), ("HOT", 8), ("GATHER", 300), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(substrings, name, value)
+    own = random.Random(6)
+    common = "the very same words stand in very many texts here"
+    letters = lambda n: "".join(own.choice("abcdefgh ") for _ in range(n))
+    around = [letters(40) for _ in range(6)]
+    rows = [(k, f"{letters(30)}{own.choice(around)}{common[own.randrange(9):]}{own.choice(around)}{letters(30)}") for k in range(120)]
+    rows += [(200 + k, "ab" * (40 + k)) for k in range(20)] + [(300, None), (301, ""), (302, rows[3][1]), (3, rows[4][1]), (None, rows[5][1]), (5, rows[5][1])]
+    got = Counter(tuple(r) for r in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("kept").collect())
+    assert got == brute_removed(rows, 50)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 1), min_size=1, max_size=120), st.integers(1, 50))
 def test_deep_shallow_order(bits, depth):

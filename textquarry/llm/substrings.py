@@ -5,14 +5,17 @@ suffix of the corpus would move many times its bytes, so suffixes are sampled by
 
 1. Anchors: every window of `size` bytes has a minimal 20-byte substring (by hash), so equal windows have equal anchors
    at the same offset. An anchor's context is all bytes of windows that can have it (up to 80).
-2. Anchors are grouped by hash. An occurrence whose whole context also occurs in a smaller document is settled at once.
-   What is left of a group with two or more different contexts goes on, one document for each context.
+2. Anchors are grouped by hash. An occurrence whose whole context also occurs in a smaller document is settled at once,
+   by the task that finds it if that has seen both, so a very common passage is shuffled as one row a task. What is left
+   of a group with two or more different contexts goes on, one document for each context.
 3. The windows of these contexts are ordered by deep-shallow sorting: multikey quicksort by 8-byte digits down to a
    shallow depth, then blind tries over the groups that still share a long prefix, which look at branching digits only.
    Neighbours equal to full depth form a class, and all but the smallest document's windows in it are removed.
 
 Whole copies of a smaller document's text are settled before step 1. Ordering within a task goes in slabs of whole anchor
-groups; a large group is ordered one offset at a time.
+groups; a large group is ordered one offset at a time. The anchors with the most contexts (at most HOT_KEYS) are dealt
+over tasks SIDES times, each time for the windows whose anchor stands in one part of the offsets, by the bytes on both
+sides that all these windows hold, so windows that are equal still meet.
 
 Cases: a null text is empty; a null doc_id is smaller and larger than none, so its text stays and removes nothing;
 repeated rows (same doc_id and text) get equal results and don't remove one another; rows that share a doc_id with other
@@ -31,11 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import salted_join, spread, stage, table
+from .common import hot_keys, salted_join, spread, stage, table
 
 ANCHOR = 20
 SHALLOW = 16
 SLAB = 40_000
+#: Anchors that a task gathers before it settles what it can by itself; contexts of one anchor beyond which it is dealt out.
+GATHER, HOT = 1_000_000, 4096
+#: Parts of the offsets of an anchor in its windows.
+SIDES = 4
 #: A side of at most so many rows is broadcast after it has been counted.
 BROADCAST_ROWS = 100_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -126,19 +133,40 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int, group: np.ndar
 
 
 def candidate_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(h, ctx, doc_id, pos) of all anchors; docs: doc_id, text, tag. pos has the tag in its upper half."""
+    """(h, ctx, doc_id, pos, done) of all anchors; docs: doc_id, text, tag. pos has the tag in its upper half.
+
+    done: the task has seen the same context in a smaller document. h then only deals the row to some task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, ctx, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+            order = np.argsort(ctx, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], ctx[order][1:] != ctx[order][:-1])))
+            least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.concatenate((first, [len(order)]))))
+            done = np.zeros(len(h), bool)
+            done[order] = doc[order] > least
+            h = np.where(done, K.mix(pos.view(np.uint64) + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
+            for a in range(0, len(h), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ctx[part].view(np.int64)), pa.array(doc[part]), pa.array(pos[part]), pa.array(done[part])], ["h", "ctx", "doc_id", "pos", "done"])
+
+        rows = 0
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, _, buf, offs in K.chunks(batch.column(1)):
                 text, pos, h, ctx = anchors(buf, offs, size)
-                for a in range(0, len(text), 100_000):
-                    part = slice(a, a + 100_000)
-                    row = text[part] + lo
-                    yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ctx[part].view(np.int64)), pa.array(ids[row]), pa.array(tags[row] << 32 | pos[part])], ["h", "ctx", "doc_id", "pos"])
+                held.append((h, ctx, ids[text + lo], tags[text + lo] << 32 | pos))
+                rows += len(h)
+                if rows >= GATHER:
+                    yield from out()
+                    held, rows = [], 0
+        if rows:
+            yield from out()
 
-    return docs.select("doc_id", "text", "tag").mapInArrow(run, "h long, ctx long, doc_id long, pos long")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "h long, ctx long, doc_id long, pos long, done boolean")
 
 
 def settle(found: DataFrame) -> DataFrame:
@@ -161,9 +189,13 @@ def settle(found: DataFrame) -> DataFrame:
             return np.repeat(many, np.diff(np.concatenate((first, [len(h)]))))
 
         for batch in batches:
-            if not batch.num_rows:
+            done = batch.column(4).to_numpy(zero_copy_only=False)
+            given = [c.to_numpy() for c in batch.columns[:4]]
+            yield from out(given, done, True)
+            given = [c[~done] for c in given]
+            if not len(given[0]):
                 continue
-            rows = [np.concatenate((r, c.to_numpy())) for r, c in zip(rest, batch.columns, strict=True)]
+            rows = [np.concatenate(x) for x in zip(rest, given, strict=True)]
             h, ctx, doc, _ = rows
             first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]))))
             least = np.repeat(doc[first], np.diff(np.concatenate((first, [len(h)]))))
@@ -211,19 +243,27 @@ def contexts(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     return given.mapInArrow(batched, "h long, doc_id long, pos long, before int, context binary")
 
 
-def compare(ctx: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tag, lo, hi): byte ranges that are removed because of windows in these contexts."""
+def compare(ctx: DataFrame, hot: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tag, lo, hi): byte ranges that are removed because of windows in these contexts.
+
+    hot: (h, _slices) of the anchors that are dealt out. Windows with `first` to `last` bytes left of their anchor hold the
+    `first` bytes before it and the size - ANCHOR - last behind it.
+    """
     schema = "doc_id long, tag long, lo long, hi long"
+    each_side = -(-(size - ANCHOR + 1) // SIDES)
+    parts_of = [(lo, min(lo + each_side - 1, size - ANCHOR)) for lo in range(0, size - ANCHOR + 1, each_side)]
 
-    def ordered(h, doc, pos, before, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def ordered(run_of: np.ndarray, side: np.ndarray, doc, pos, before, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         length = np.array([len(x) for x in data], np.int64)
         base = np.cumsum(length) - length
         buf = np.frombuffer(b"".join(data) + b"\0" * (size + 16), np.uint8)
         count = np.maximum(length - size + 1, 0)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(np.arange(len(h)), count)
-        starts, offset = base[row] + step, before[row] - step
-        runs = np.concatenate(([0], np.cumsum(h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(doc)), count)
+        offset = before[row] - step
+        mine = (side[row] == 0) | (side[row] == offset // each_side + 1)
+        row, step, offset = row[mine], step[mine], offset[mine]
+        starts, runs = base[row] + step, run_of
         gone = np.zeros(len(starts), bool)
         parts = [np.arange(len(starts))] if len(starts) < 31 * SLAB * 2 else [np.flatnonzero(offset == o) for o in np.unique(offset)]
         for part in parts:
@@ -243,27 +283,46 @@ def compare(ctx: DataFrame, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array((pos >> 32)[row[a]]), pa.array(place + step[a]), pa.array(place + step[b] + size)], ["doc_id", "tag", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+
+        def new_runs(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+            """Whether a row's anchor, side or slice differs from the row's before."""
+            keys = [t.column(k).to_numpy() for k in (0, 1, 2)]
+            return np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
 
-        def go(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [t.column(k).to_numpy() for k in range(4)]
-            yield from ordered(cols[0], cols[1], cols[2], cols[3].astype(np.int64), t.column(4).to_pylist())
+        def go() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            yield from ordered(np.cumsum(new_runs(t)), t.column(1).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy().astype(np.int64), t.column(6).to_pylist())
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows >= SLAB:
-                h = rest.column(0).to_numpy()
-                cut = int(np.searchsorted(h, h[-1], "left"))
-                if cut:
-                    yield from go(rest.slice(0, cut))
-                    rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from go(rest)
-
-    dealt = ctx.repartition(spread(ctx.sparkSession), "h").sortWithinPartitions("h")
+            if sum(b.num_rows for b in held) + batch.num_rows >= SLAB:
+                cuts = np.flatnonzero(new_runs(batch))
+                at = int(cuts[-1])
+                if not at and held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in (0, 1, 2)):
+                    held.append(batch)  # all of it goes on with the last run
+                    continue
+                if at:
+                    held.append(batch.slice(0, at))
+                if held:
+                    yield from go()
+                held = [batch.slice(at)]
+            else:
+                held.append(batch)
+        if held:
+            yield from go()
+
+    end = F.octet_length("context") - F.col("before") - ANCHOR
+    of_side = []
+    for k, (first, last) in enumerate(parts_of):
+        bytes_ = F.xxhash64(F.substr("context", F.col("before") - first + 1, F.lit(first)), F.substr("context", F.col("before") + ANCHOR + 1, F.lit(size - ANCHOR - last)))
+        of_side.append(F.when((F.col("before") >= first) & (end >= size - ANCHOR - last), F.struct(F.lit(k + 1).alias("side"), bytes_.alias("slice"))))
+    alone = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("slice")))
+    sides = F.when(F.col("_slices").isNull(), alone).otherwise(F.array_compact(F.array(*of_side)))
+    each = ctx.join(F.broadcast(hot), "h", "left").withColumn("_x", F.explode(sides)).select("*", "_x.*")
+    dealt = each.select("h", F.col("side").cast("long").alias("side"), "slice", "doc_id", "pos", "before", "context")
+    dealt = dealt.repartition(spread(ctx.sparkSession), "h", "side", "slice").sortWithinPartitions("h", "side", "slice")
     return dealt.mapInArrow(run, schema)
 
 
@@ -282,7 +341,8 @@ def remove(docs: DataFrame, size: int = 50) -> DataFrame:
 
     fresh = given.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= size)).withColumn("sha", F.sha2("text", 256)).join(small(copies), ["doc_id", "sha"], "left_anti").drop("sha")
     marks = stage(settle(candidate_anchors(tagged(fresh), size)), "anchors")
-    ranges = stage(compare(contexts(tagged(fresh), marks, size), size), "ranges")
+    hot = stage(hot_keys(marks.where("NOT settled"), "h", HOT), "hot-anchors", narrow=True)
+    ranges = stage(compare(contexts(tagged(fresh), marks, size), hot, size), "ranges")
     width = size - ANCHOR + 1
     settled = marks.where("settled").select("doc_id", F.shiftright("pos", 32).alias("tag"), F.col("pos").bitwiseAND(F.lit(2**32 - 1)).alias("pos"))
     spans = settled.select("doc_id", "tag", F.greatest(F.lit(0), F.col("pos") - (width - 1)).alias("lo"), (F.col("pos") + size).alias("hi")).unionByName(ranges)
