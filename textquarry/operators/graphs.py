@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reach(edges: DataFrame, rounds: int) -> DataFrame:
-    """(src, dst) of all ways of up to 2**rounds steps; it ends early once nothing is new.
+def reach(edges: DataFrame) -> DataFrame:
+    """(src, dst) of all ways of any length: lengths double each round until nothing is new.
 
     Each round's pairs are written to the checkpoint folder, so the plan doesn't grow. Nodes that have only ways in or only
     ways out are stripped before, round by round.
@@ -21,9 +21,7 @@ def reach(edges: DataFrame, rounds: int) -> DataFrame:
         now, done, n = less, m == n, m
         if done:
             break
-    for _ in range(rounds):
-        if not n:
-            break
+    while n:
         more = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         now = _kept(now.unionByName(more).distinct())
         m = now.count()

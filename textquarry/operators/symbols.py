@@ -2,42 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, trimmed
 from ..rules import symbols as S
 from ..rules.lines import LAYER_RULES, word
 from ..sources.corpus import lines_of
-from .ranking import resolved_import
+from .ranking import batches, resolved_import
 
 PATH_END = r"\.[^./]+$"
 
 
-def symbols(files: DataFrame, kinds: list[str] | None = None, language: str | None = None, directory: str | None = None) -> DataFrame:
-    """path, name, kind, line_no, language, signature: the first place of each (name, kind), by pattern order and line.
+SYMBOLS = "path string, name string, kind string, line_no long, language string, signature string"
+BODIES = "path string, name string, line_no long, params long, content string"
+
+
+def _rules(kinds: list[str] | None) -> dict[str, list[tuple[str, re.Pattern]]]:
+    """Patterns by language, in their order; they see whole texts, and ^ is the begin of a line."""
+    out: dict[str, list[tuple[str, re.Pattern]]] = {}
+    for lang, kind, pattern in S.RULES:
+        if kinds is None or kind in kinds:
+            out.setdefault(lang, []).append((kind, re.compile(pattern, re.M | re.ASCII)))
+    return out
+
 
-    Patterns of the file's language go over its lines in one array expression; the choice of the first place is an
-    aggregation within (path, name, kind).
+def places(content: str, rules: list[tuple[str, re.Pattern]]) -> Iterator[tuple[str, str, int, str]]:
+    """name, kind, line, signature: the first place of each (name, kind) by pattern order, then by offset.
+
+    A match may cross lines; its line is that of its first character that is no white space, and the signature is that
+    line without white space around it, cut at 200 characters.
     """
+    feeds = [m.start() for m in re.finditer("\n", content)]
+    seen = set()
+    for kind, pattern in rules:
+        for m in pattern.finditer(content):
+            name = m[1]
+            if not name or len(name) < 2 or (name, kind) in seen:
+                continue
+            seen.add((name, kind))
+            own = m[0]
+            line = bisect_left(feeds, m.start() + len(own) - len(own.lstrip()))
+            start, end = feeds[line - 1] + 1 if line else 0, feeds[line] if line < len(feeds) else len(content)
+            yield name, kind, line + 1, content[start:end].strip()[:200]
+
+
+def _of_files(files: DataFrame, kinds: list[str] | None, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """rows(path, language, content, patterns of the language) of each file, in Arrow batches; nothing is shuffled."""
+    types = {"string": pa.string(), "long": pa.int64()}
+    arrow = pa.schema([(n, types[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _rules(kinds)
+        return batches((x for b in it for p, lang, c in zip(*(k.to_pylist() for k in b.columns), strict=True) for x in rows(p, lang, c, by.get(lang, by.get(S.GENERIC, [])) if lang in S.LANGUAGES else by.get(S.GENERIC, []))), arrow)
+
+    return files.where("content IS NOT NULL").select("path", "language", "content").mapInArrow(run, schema)
+
+
+def symbols(files: DataFrame, kinds: list[str] | None = None, language: str | None = None, directory: str | None = None) -> DataFrame:
+    """A row of SYMBOLS for the first place of each (name, kind) of a file; a null content has none."""
     given = files
     if language:
         given = given.where(F.col("language") == language)
     if directory:
         given = given.where(F.col("path").startswith(directory.rstrip("/") + "/"))
-    rules = [r for r in S.RULES if kinds is None or r[1] in kinds]
-    known = sorted({r[0] for r in rules if r[0] != S.GENERIC})
-    rule_language = F.when(F.col("language").isin(known), F.col("language")).otherwise(F.lit(S.GENERIC))
-    lines = given.withColumn("_rules", rule_language).select("path", "language", "_rules", F.posexplode(F.split("content", "\n")).alias("k", "text"))
+    return _of_files(given, kinds, lambda path, lang, content, rules: ((path, name, kind, line, lang, text) for name, kind, line, text in places(content, rules)), SYMBOLS)
 
-    def hits(o: int, lang: str, kind: str, p: str) -> Column:
-        names = F.when(F.col("_rules") == lang, F.regexp_extract_all("text", F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>"))
-        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.lit(o).alias("ord")))
 
-    found = F.concat(*[hits(o, *rule) for o, rule in enumerate(rules)])
-    each = lines.select("path", "language", (F.col("k") + 1).alias("line_no"), F.substr(trimmed(F.col("text")), F.lit(1), F.lit(200)).alias("signature"), F.inline(found)).where(F.length("name") >= 2)
-    first = each.groupBy("path", "language", "name", "kind").agg(F.min(F.struct("ord", "line_no", "signature")).alias("x"))
-    return first.select("path", "name", "kind", F.col("x.line_no").cast("long").alias("line_no"), "language", "x.signature")
+def _bodies(path: str, language: str, content: str, rules: list[tuple[str, re.Pattern]]) -> Iterator[tuple]:
+    lines = content.split("\n")
+    for name, _, line, _ in places(content, rules):
+        depth, opened, end = 0, False, line - 1
+        for end in range(line - 1, len(lines)):
+            depth += lines[end].count("{") - lines[end].count("}")
+            opened = opened or "{" in lines[end]
+            if opened and depth <= 0:
+                break
+        inner = re.search(r"\(([^)]*)\)", lines[line - 1])
+        if end - line + 1 >= 3:
+            yield path, name, line, inner[1].count(",") + 1 if inner and inner[1].strip() else 0, "\n".join(lines[line - 1 : end + 1])
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """A row of BODIES for each function and class of more than three lines: its text from its line to the closing brace."""
+    return _of_files(files, ["function", "class"], _bodies, BODIES)
 
 
 def symbol_search(table: DataFrame, name: str, kind: str | None = None, per_kind: int = 100) -> DataFrame:
@@ -85,16 +138,15 @@ def import_edges(files: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return edges.join(files.select(stem.alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
-def on_cycles(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """node, cycle: nodes that reach themselves, with the smallest node of their cycle group. Self-loops are not cycles.
 
-    Reachability doubles its length each round, so `rounds` rounds cover cycles of 2**rounds nodes. Nodes without a way in
-    or out can't lie on a cycle and leave first, so that only cyclic parts and what joins them are squared.
+    Reachability doubles its length each round until nothing is new. Nodes without a way in or out can't lie on a cycle
+    and leave first, so that only cyclic parts and what joins them are squared.
     """
     from .graphs import reach
 
-    core = edges.where("src <> dst").distinct()
-    pairs = reach(core, rounds)
+    pairs = reach(edges.where("src <> dst").distinct())
     both = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
     return both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("cycle"))
 
@@ -134,16 +186,26 @@ def imported_names(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.array_distinct(names)).alias("name")).where("name <> ''").distinct()
 
 
+def _word_places(files: DataFrame, place: list[str]) -> DataFrame:
+    """name, least, most: the two ends of the places (path, or path and line) that hold a word; a common word is one row a task."""
+    if place == ["path"]:
+        each = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    else:
+        each = lines_of(files).select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    at = F.struct(*place)
+    return each.groupBy("name").agg(F.min(at).alias("least"), F.max(at).alias("most"))
+
+
 def dead_exports(files: DataFrame) -> DataFrame:
     """path, name, line_no, kind of exported symbols that no file imports and no other file's text holds as a word.
 
-    Both tests are anti-joins on names: first imported names, then the words of all other files.
+    Words are aggregated by name before the join: a word stands elsewhere if the least or the most of its paths is another.
     """
     source = files.where(~F.col("path").rlike(r"(?i)(test|spec|__test__|\.d\.ts)"))
     exported = symbols(source).where(F.col("signature").rlike(word("export"))).where(~F.lower("name").isin(S.ENTRY_NAMES) & ~F.col("path").rlike(S.ENTRY_PATHS))
-    left = exported.join(imported_names(source), "name", "left_anti")
-    used = files.select(F.col("path").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
-    return left.join(used, (left["name"] == used["name"]) & (left["path"] != used["other"]), "left_anti").groupBy("path", "name").agg(F.min(F.struct("line_no", "kind")).alias("x")).select("path", "name", "x.line_no", "x.kind")
+    left = exported.join(imported_names(source), "name", "left_anti").join(_word_places(files, ["path"]), "name", "left")
+    alone = left.where("least IS NULL OR least.path = path AND most.path = path")
+    return alone.groupBy("path", "name").agg(F.min(F.struct("line_no", "kind")).alias("x")).select("path", "name", "x.line_no", "x.kind")
 
 
 def orphan_files(files: DataFrame) -> DataFrame:
@@ -157,9 +219,9 @@ def orphan_files(files: DataFrame) -> DataFrame:
 
 def find_dead_code(files: DataFrame) -> DataFrame:
     """Exported symbols that are named on no other line than their own."""
-    own = symbols(files).where(F.col("signature").rlike(word("export|pub|public")))
-    used = lines_of(files).select(F.col("path").alias("p"), F.col("line_no").alias("l"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
-    return own.join(used, (own["name"] == used["name"]) & ((own["path"] != used["p"]) | (own["line_no"] != used["l"])), "left_anti").select("path", "name", "kind", "line_no")
+    own = symbols(files).where(F.col("signature").rlike(word("export|pub|public"))).join(_word_places(files, ["path", "line_no"]), "name", "left")
+    here = lambda end: (F.col(f"{end}.path") == F.col("path")) & (F.col(f"{end}.line_no") == F.col("line_no"))
+    return own.where(F.col("least").isNull() | here("least") & here("most")).select("path", "name", "kind", "line_no")
 
 
 def updated(table: DataFrame, changed: DataFrame, key: str = "path") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Patterns of symbols and imports by language, for single lines."""
+"""Patterns of symbols and imports by language, for whole texts."""
 
 from __future__ import annotations
 
@@ -134,6 +134,8 @@ RULES: list[tuple[str, str, str]] = [
     (GENERIC, "export", r"(?:export|pub|public)\s+(?:\w+\s+)*(\w+)"),
 ]
 
+LANGUAGES = {rule[0] for rule in RULES} - {GENERIC}
+
 # Language, pattern whose first group is what a file imports.
 IMPORTS: list[tuple[str, str]] = [
     ("javascript", r"import\s+.*?\s+from\s+['\"](.+?)['\"]"),
