@@ -21,15 +21,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one of smallest doc_id stays, once."""
+    """Of each class of linked documents the one of smallest doc_id stays, once.
+
+    Rows that share a doc_id are one document: it goes if any of them is linked with a smaller doc_id, else it stays as
+    its row of smallest text. Rows without a doc_id all stay.
+    """
     found = stage(jaccard.classes(docs), "classes")
     gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone.hint("merge"), "doc_id", "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    if not again:
-        once = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        left = once.unionByName(left.where("doc_id IS NULL"))
-    return left.select(*docs.columns)
+    left = docs.join(F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return left
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), whole.alias("row"))).alias("x")).select("x.row.*")
+    return once.unionByName(left.where("doc_id IS NULL"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
