@@ -137,3 +137,39 @@ def test_empty_inputs(spark):
     none = files(spark).limit(0)
     for df in (search.search(none, "x"), scans.security_scan(none), metrics.line_types(none), symbols.symbols(none), symbols.imports(none), scans.functions_of(none), ranking.chunks(none), ranking.concept_search(none, "license", ["path"], text="content")):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("name", ["app", "c++", "a.b (1)"])
+def test_paths_of_a_tree_whose_name_comes_twice(spark, tmp_path, name):
+    root = tmp_path / name / "x" / name
+    (root / name).mkdir(parents=True)
+    (root / "a.py").write_text("1")
+    (root / name / "b.py").write_text("22")
+    got = {r["path"]: (r["root"], r["size"]) for r in corpus.read_tree(spark, str(root)).collect()}
+    assert got == {"a.py": (name, 1), f"{name}/b.py": (name, 2)}
+    assert [r["path"] for r in corpus.read_tree(spark, str(root), glob="a.*").collect()] == ["a.py"]
+    assert corpus.read_tree(spark, str(root), max_bytes=1).count() == 1
+
+
+def test_symbols_over_lines(spark):
+    """Matches that cross lines, as hand-derived; names once for each kind, at their first place."""
+    files = spark.createDataFrame(
+        [
+            ("a.c", "c", "int\nmain(int argc,\n     char **argv)\n{\n}\n\nvoid f0(int x)\n{\n}\n"),
+            ("b.py", "python", "__all__ = [\n  'one']\n\nasync def run(\n    x):\n    pass\n\ndef run(): pass\n"),
+            ("c.java", "java", "class A {\n\n  public int\n  size() { }\n}\n"),
+            ("n", "python", None),
+            ("e", "python", ""),
+        ],
+        "path string, language string, content string",
+    )
+    got = {(r["path"], r["name"], r["kind"], r["line_no"]) for r in symbols.symbols(files).collect()}
+    assert {("a.c", "main", "function", 1), ("a.c", "f0", "function", 7), ("b.py", "run", "function", 4), ("c.java", "size", "function", 3)} <= got
+    assert sum(x[:3] == ("b.py", "run", "function") for x in got) == 1 and not any(x[0] in ("n", "e") for x in got)
+
+
+def test_cycles_far_apart(spark):
+    n = 70
+    e = spark.createDataFrame([(k, (k + 1) % n) for k in range(n)] + [(n - 1, 100), (100, 101), (101, 100), (101, 200), (7, 7), (None, 1)], "src long, dst long")
+    got = {r["node"]: r["cycle"] for r in symbols.on_cycles(e).collect()}
+    assert got == dict.fromkeys(range(n), 0) | {100: 100, 101: 100}

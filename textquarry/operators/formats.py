@@ -161,3 +161,32 @@ def bundle_stats(files: DataFrame, most: int = 15) -> DataFrame:
     x = F.from_json("content", "struct<assets: array<struct<name: string, size: bigint>>>")
     rows = files.select("path", F.inline(x["assets"])).withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("size"), "name"))).where(F.col("_k") <= most)
     return rows.select("path", "name", "size", F.when(F.col("size") > 500_000, "critical").when(F.col("size") > 200_000, "warning").otherwise("info").alias("severity"))
+
+
+# Tool, ending of the file that shows it, text that the file must hold, pattern of its globs within the part that the text begins.
+WORKSPACE_FILES: list[tuple[str, str, str | None, str | None]] = [
+    ("npm-workspaces", "package.json", r'"workspaces"\s*:', r'"([^"{}\[\]:]+)"'),
+    ("pnpm-workspaces", "pnpm-workspace.yaml", r"packages\s*:", r"-\s*['\"]?([^'\"\s]+)"),
+    ("cargo-workspaces", "Cargo.toml", r"\[workspace\]", r'"([^"]+)"'),
+    ("lerna", "lerna.json", None, None),
+    ("nx", "nx.json", None, None),
+    ("turborepo", "turbo.json", None, None),
+]
+
+
+def workspaces(files: DataFrame) -> DataFrame:
+    """path, tool, globs (sorted, joined by spaces) of the files that make a tree a monorepo."""
+    name, found = F.regexp_extract("path", "[^/]*$", 0), []
+    for tool, ending, begins, glob in WORKSPACE_FILES:
+        part = F.regexp_extract("content", rf"(?s){begins}\s*(?:\{{[^\[]*)?(?:members\s*=\s*)?(\[[^\]]*\]|(?:\s*-[^\n]*)+)", 1) if begins else F.lit("")
+        globs = F.regexp_extract_all(part, F.lit(glob), F.lit(1)) if glob else F.array().cast("array<string>")
+        shows = (name == ending) & (F.col("content").rlike(begins) if begins else F.lit(True))
+        found.append(F.when(shows, F.struct(F.lit(tool).alias("tool"), F.array_join(F.array_sort(globs), " ").alias("globs"))))
+    return files.select("path", F.explode(F.array_compact(F.array(*found))).alias("x")).select("path", "x.*")
+
+
+def workspace_cycles(edges: DataFrame) -> DataFrame:
+    """node, cycle: packages of a workspace that need one another. edges: workspace_edges()."""
+    from .symbols import on_cycles
+
+    return on_cycles(edges.toDF("src", "dst", *edges.columns[2:]).select("src", "dst"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import counted, half_up, is_code, trimmed, words
 from ..rules import lines as R
 from ..rules.languages import COMMENTS
+from ..sources.corpus import lines_of
 
 
-def line_types(files: DataFrame) -> DataFrame:
-    """path, language, lines, code, comment, blank; block comments are a state carried from line to line in a fold."""
+def line_types(files: DataFrame, *more: Column) -> DataFrame:
+    """path, language, lines, code, comment, blank, and columns of `more`; block comments are a state carried from line to line in a fold."""
     map_of = lambda k, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for lang, c in COMMENTS.items() for x in (lang, c[k] or "")]), F.col("language")), F.lit(other))
-    given = files.select("path", "language", F.transform(F.split("content", "\n"), trimmed).alias("_lines"), map_of(0, "//").alias("_one"), map_of(1, "").alias("_open"), map_of(2, "").alias("_close"))
+    given = files.select("path", "language", *more, F.transform(F.split("content", "\n"), trimmed).alias("_lines"), map_of(0, "//").alias("_one"), map_of(1, "").alias("_open"), map_of(2, "").alias("_close"))
     zero = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("comment"), F.lit(0).cast("long").alias("blank"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -26,7 +27,8 @@ def line_types(files: DataFrame) -> DataFrame:
         inside = F.when(blank, acc["inside"]).when(acc["inside"], ~F.contains(x, close)).otherwise(opens & ~shut_here)
         return F.struct(inside.alias("inside"), (acc["code"] + F.when(blank | comment, 0).otherwise(1)).alias("code"), (acc["comment"] + F.when(comment, 1).otherwise(0)).alias("comment"), (acc["blank"] + F.when(blank, 1).otherwise(0)).alias("blank"))
 
-    return given.select("path", "language", F.size("_lines").cast("long").alias("lines"), F.aggregate("_lines", zero, step).alias("n")).select("path", "language", "lines", "n.code", "n.comment", "n.blank")
+    own = [c for c in given.columns if c not in ("path", "language", "_lines", "_one", "_open", "_close")]
+    return given.select("path", "language", F.size("_lines").cast("long").alias("lines"), F.aggregate("_lines", zero, step).alias("n"), *own).select("path", "language", "lines", "n.code", "n.comment", "n.blank", *own)
 
 
 def complexity(content: Column) -> Column:
@@ -40,9 +42,7 @@ def cyclomatic(content: Column) -> Column:
 
 def code_metrics(files: DataFrame) -> DataFrame:
     """path, language, lines, code, comment, blank, complexity, comment_ratio."""
-    extra = files.select("path", complexity(F.col("content")).alias("complexity"))
-    # both sides come from one scan of unique paths
-    return line_types(files).join(extra, "path").withColumn("comment_ratio", F.round(F.try_divide("comment", F.col("code") + F.col("comment")), 6))
+    return line_types(files, complexity(F.col("content")).alias("complexity")).withColumn("comment_ratio", F.round(F.try_divide("comment", F.col("code") + F.col("comment")), 6))
 
 
 def _balance(x: Column) -> Column:
@@ -93,6 +93,15 @@ def heatmap(files: DataFrame, lines: DataFrame) -> DataFrame:
     return per.join(cognitive(lines), "path").withColumn("score", score).withColumn("grade", grade(F.col("score")))
 
 
+def heatmap_functions(files: DataFrame, top: int = 20) -> DataFrame:
+    """path, name, line_no, params, cyclomatic, cognitive, nesting, loc, score, grade of the `top` functions and classes, worst first."""
+    from .symbols import bodies
+
+    own = bodies(files).withColumn("_of", F.struct("path", "name", "line_no", "params")).select("_of", F.to_json("_of").alias("path"), "content")
+    scored = heatmap(own, lines_of(own)).join(own.select("path", "_of"), "path").drop("path")
+    return scored.select("_of.*", "cyclomatic", "cognitive", "nesting", "loc", "score", "grade").orderBy(F.desc("score"), "path", "line_no", "name").limit(top)
+
+
 def heat_summary(map_: DataFrame) -> DataFrame:
     return map_.agg(F.count(F.lit(1)).alias("files"), half_up(F.avg("score")).alias("avg_score"), F.count_if(F.col("grade").isin("D", "F")).alias("hot"), F.count_if(F.col("grade").isin("A", "B")).alias("healthy"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import expanded, terms, terms_of, token_estimate
 from ..sources.corpus import lines_of
+from .shared import checkpointed
 
 # Lines that begin a definition.
 DEFINITION = r"^(?:export\s+)?(?:async\s+)?(?:function|class|def|fn|func|pub\s+fn|pub\s+async\s+fn|module|impl)(?![A-Za-z0-9_])"
@@ -56,7 +57,10 @@ def concept_search(parts: DataFrame, query: str, key: list[str], text: str = "ch
     """
     wanted = expanded(query)
     array = F.array(*[F.lit(w) for w in wanted]) if wanted else F.array().cast("array<string>")
-    own = parts.select(*key, F.array_intersect(terms(F.col(text)), array).alias("terms"), F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n").alias("snippet"))
+    # without quotes a term is a run of letters and digits of the text, so a text without any of the words need not be taken apart
+    some = F.lower(text).rlike("|".join(["['\"`]", *wanted])) if wanted else F.lit(False)
+    found = F.when(some, F.array_intersect(terms(F.col(text)), array)).otherwise(F.array().cast("array<string>"))
+    own = checkpointed(parts.select(*key, found.alias("terms"), F.when(some, F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n")).alias("snippet")))
     weights = inverse_frequency(own).select("term", F.when(F.col("idf") == 0, 1.0).otherwise(F.col("idf")).alias("weight"))
     table = F.broadcast(weights.agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w")))
     scored = own.where(F.size("terms") > 0).join(table).withColumn("score", F.round(F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.element_at("w", t)), 6))

@@ -35,7 +35,10 @@ def security_scan(files: DataFrame, rules: list[RuleRow] | None = None, severity
     p = lambda r: ("(?i)" if r[4] else "") + r[3]
     t = trimmed(F.col("text"))
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p(r)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity"))) for r in used]))
-    found = lines_of(files).where(~t.rlike(r"^(//|#|\*)")).select("path", "line_no", F.explode(hits).alias("x"), F.substr(t, F.lit(1), F.lit(120)).alias("snippet"))
+    any_rule = F.lit(False)
+    for r in used:
+        any_rule = any_rule | F.col("content").rlike(p(r))
+    found = lines_of(files.where(any_rule)).where(~t.rlike(r"^(//|#|\*)")).select("path", "line_no", F.explode(hits).alias("x"), F.substr(t, F.lit(1), F.lit(120)).alias("snippet"))
     return found.select("path", "line_no", "x.rule", "x.category", "x.severity", "snippet")
 
 

@@ -24,10 +24,10 @@ def search(files: DataFrame, pattern: str, regex: bool = False, ignore_case: boo
     Files are filtered by path and by content before their lines are made; only a limit per file sorts within files.
     """
     p = matcher(pattern, regex, ignore_case, whole_word)
-    given = files.where(F.col("content").rlike(p))
-    if glob:
-        given = given.where(F.col("path").rlike(glob_pattern(glob)))
-    hits = lines_of(given).where(F.col("text").rlike(p))
+    plain = not (regex or ignore_case or whole_word)  # no regular expression until the column is asked for
+    holds = lambda c: F.col(c).contains(pattern) if plain else F.col(c).rlike(p)
+    given = files.where(F.col("path").rlike(glob_pattern(glob))) if glob else files
+    hits = lines_of(given.where(holds("content"))).where(holds("text"))
     if per_file is not None:
         hits = hits.withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where(F.col("_k") <= per_file).drop("_k")
     return hits.select("path", "line_no", F.regexp_instr("text", F.lit(p)).cast("long").alias("column"), F.regexp_replace("text", r"[ \t\r]+$", "").alias("text"))
@@ -65,13 +65,6 @@ def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576, 1), F.lit(" MB")))
 
 
-def relative_age(then: Column, now: Column) -> Column:
-    """How long before now: just now, minutes, hours, days."""
-    s = F.unix_timestamp(now) - F.unix_timestamp(then)
-    part = lambda size, unit: F.concat(F.floor(s / size).cast("string"), F.lit(f"{unit} ago"))
-    return F.when(s < 60, "just now").when(s < 3600, part(60, "m")).when(s < 86400, part(3600, "h")).otherwise(part(86400, "d"))
-
-
 def file_tree(files: DataFrame, max_depth: int = 3) -> DataFrame:
     """dir, name, depth, size in bytes, shown size; ordered names with folders first when sorted by (dir, name)."""
     size = F.octet_length("content").cast("long")

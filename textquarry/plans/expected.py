@@ -774,6 +774,38 @@ ROWS: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
             ('web/école.js', 'while', 'function', 3),
         ],
     ),
+    "workspaces": (
+        [("path", "string"), ("tool", "string"), ("globs", "string")],
+        [
+            ('package.json', 'npm-workspaces', 'apps/web packages/*'),
+            ('old/package.json', 'npm-workspaces', 'libs/*'),
+            ('pnpm-workspace.yaml', 'pnpm-workspaces', 'packages/* tools'),
+            ('Cargo.toml', 'cargo-workspaces', 'crates/a crates/b'),
+            ('turbo.json', 'turborepo', ''),
+            ('nx.json', 'nx', ''),
+        ],
+    ),
+    "workspace_cycles": (
+        [("node", "string"), ("cycle", "string")],
+        [
+            ('pkg-a', 'pkg-a'),
+            ('pkg-b', 'pkg-a'),
+        ],
+    ),
+    "iac_summary": (
+        [("platform", "string"), ("resources", "bigint"), ("types", "bigint"), ("issues", "bigint")],
+        [
+            ('docker', 2, 1, 3),
+            ('kubernetes', 1, 1, 2),
+            ('terraform', 4, 4, 3),
+        ],
+    ),
+    "heatmap_functions": (
+        [("path", "string"), ("name", "string"), ("line_no", "bigint"), ("params", "bigint"), ("cyclomatic", "bigint"), ("cognitive", "bigint"), ("nesting", "bigint"), ("loc", "bigint"), ("score", "bigint"), ("grade", "string")],
+        [
+            ('src/runner.ts', 'run', 9, 1, 3, 3, 2, 7, 10, 'A'),
+        ],
+    ),
     "blame": (
         [("path", "string"), ("line_no", "bigint"), ("hash", "string"), ("author", "string"), ("date", "string")],
         [

@@ -113,6 +113,10 @@ MAKE: dict[str, Make] = {
     "heavy_dependencies": lambda s: formats.heavy_dependencies(formats.package_dependencies(paths(s))),
     "monorepo_edges": lambda s: formats.workspace_edges(formats.package_dependencies(paths(s))),
     "version_mismatches": lambda s: formats.version_mismatches(formats.package_dependencies(paths(s))),
+    "workspaces": lambda s: formats.workspaces(pairs(s, samples.WORKSPACES)),
+    "workspace_cycles": lambda s: formats.workspace_cycles(formats.workspace_edges(formats.package_dependencies(paths(s)))),
+    "iac_summary": lambda s: settings.iac_summary(settings.iac(pairs(s, samples.IAC))),
+    "heatmap_functions": lambda s: metrics.heatmap_functions(code(s).where("path = 'src/runner.ts'")),
     "cpu_profile": lambda s: formats.cpu_profile(pairs(s, samples.PROFILES)),
     "bundle_stats": lambda s: formats.bundle_stats(pairs(s, samples.BUNDLES)),
     "db_columns": lambda s: parsers.db_columns(pairs(s, samples.SCHEMAS)),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import expanded, terms, token_estimate
-from ..operators import change, metrics, ranking, scans, search
+from ..operators import change, metrics, ranking, scans, search, symbols
 from ..rules import lines as R
+from ..rules import symbols as S
 from ..rules.concepts import STOP_WORDS
 from ..sources.corpus import lines_of
 from .common import DOCS, LINES, PAGES, USAGE, doc_files, mark_count, page_files, quoted, table, trimmed, usage, word_count
@@ -79,7 +80,7 @@ register("find_large_files", lambda s, d: search.large_files(doc_files(s, d), 20
 RULE = "SELECT path, line_no, text FROM lines WHERE regexp_matches(text, {p})"
 for _name, _pattern, _re2 in (("find_todos", R.TODOS, R.TODOS.replace("(?![A-Za-z0-9_])", r"\b")), ("find_debug_logs", R.DEBUG_LOGS, R.DEBUG_LOGS), ("find_secrets", R.SECRETS, R.SECRETS)):
     register(_name, lambda s, d, p=_pattern: scans.line_rule(doc_files(s, d), p), f"WITH {DOCS}, {LINES} {RULE.format(p=quoted('(?i)' + _re2))}")
-register("find_duplicate_lines", lambda s, d: search.search(doc_files(s, d), "under the", ignore_case=False).select("path", "line_no"), f"WITH {DOCS}, {LINES} SELECT path, line_no FROM lines WHERE contains(text, 'under the')")
+register("search_pattern_places", lambda s, d: search.search(doc_files(s, d), "under the", ignore_case=False).select("path", "line_no"), f"WITH {DOCS}, {LINES} SELECT path, line_no FROM lines WHERE contains(text, 'under the')")
 
 
 def _security_sql(files: str) -> str:
@@ -145,7 +146,28 @@ register(
     fold AS (SELECT 0 AS k, 0::BIGINT AS used, false AS kept UNION ALL SELECT t.k, CASE WHEN used + tokens <= 4000 THEN used + tokens ELSE used END, used + tokens <= 4000 FROM fold f JOIN top t ON t.k = f.k + 1)
     SELECT path, score, tokens, row_number() OVER (ORDER BY t.k) AS rank FROM fold f JOIN top t USING (k) WHERE kept""",
 )
-register("chunks", lambda s, d: ranking.chunks(doc_files(s, d)).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("end_line").alias("end_line")), None)
+# the fold over a file's lines: how many lines the open chunk holds before a line, and whether the line begins a new one
+_IS_DEF = f"(regexp_matches({trimmed('text')}, {quoted(ranking.DEFINITION.replace('(?![A-Za-z0-9_])', chr(92) + 'b'))}) OR regexp_matches(text, {quoted(ranking.METHOD)}))"
+register(
+    "chunks",
+    lambda s, d: ranking.chunks(doc_files(s, d)).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.max("end_line").alias("end_line")),
+    f"""WITH RECURSIVE {DOCS}, {LINES}, marks AS (SELECT path, line_no, {_IS_DEF} AS d FROM lines),
+    fold AS (SELECT path, 0::BIGINT AS line_no, 0 AS held, 1 AS chunks FROM files UNION ALL
+      SELECT m.path, m.line_no, CASE WHEN (d AND held > {ranking.SOFT}) OR held >= {ranking.HARD} THEN 1 ELSE held + 1 END, chunks + CASE WHEN (d AND held > {ranking.SOFT}) OR held >= {ranking.HARD} THEN 1 ELSE 0 END FROM fold f JOIN marks m ON m.path = f.path AND m.line_no = f.line_no + 1)
+    SELECT path, max(chunks)::BIGINT AS chunks, max(line_no)::BIGINT AS end_line FROM fold GROUP BY path""",
+)
+
+# symbols of pages by the patterns for any language, over whole texts
+register(
+    "symbol_names_pages",
+    lambda s, d: symbols.symbols(page_files(s, d)).select("path", "name", "kind"),
+    f"WITH {PAGES} SELECT DISTINCT path, name, kind FROM ({' UNION ALL '.join(f'SELECT path, {quoted(kind)} AS kind, unnest(regexp_extract_all(content, {quoted(p)}, 1)) AS name FROM files' for lang, kind, p in S.RULES if lang == S.GENERIC)}) WHERE length(name) >= 2",
+)
+register(
+    "symbol_kinds_pages",
+    lambda s, d: symbols.symbols(page_files(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files")),
+    f"WITH {PAGES}, f AS (SELECT DISTINCT path, name, kind FROM ({' UNION ALL '.join(f'SELECT path, {quoted(kind)} AS kind, unnest(regexp_extract_all(content, {quoted(p)}, 1)) AS name FROM files' for lang, kind, p in S.RULES if lang == S.GENERIC)}) WHERE length(name) >= 2) SELECT kind, count(*) AS symbols, count(DISTINCT path) AS files FROM f GROUP BY kind",
+)
 
 # metrics
 _complexity = " + ".join([*(word_count("content", w) for w in R.DECISION_WORDS), *(mark_count("content", m) for m in R.DECISION_MARKS)])

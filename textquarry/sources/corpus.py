@@ -10,29 +10,34 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import language_of
+from ..functions.text import glob_pattern, language_of
 
 # Folders that are not read.
 EXCLUDED = ["node_modules", ".git", "dist", "build", "out", ".next", "coverage", "vendor", "target", "bin", "obj", ".cache", "__pycache__", ".venv", "venv"]
 
 
-def read_tree(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int = 64 << 20, max_depth: int | None = None, hidden: bool = False) -> DataFrame:
-    """files(root, path, language, size, mtime, content) of a folder on any file system Spark reads.
+def read_tree(spark: SparkSession, root: str, excluded: list[str] | None = None, max_bytes: int | None = None, max_depth: int | None = None, hidden: bool = False, glob: str | None = None) -> DataFrame:
+    """files(root, path, language, size, mtime, content) of a folder on any file system Spark reads; path is relative to it.
 
-    Excluded and hidden paths, and files beyond max_bytes, are filtered on metadata before their content is read. Content that
-    isn't UTF-8 has replacement characters.
+    Excluded and hidden paths, a glob's misses and, if asked for, files beyond max_bytes are filtered on metadata before
+    their content is read; nothing else is left out. Content that isn't UTF-8 has replacement characters.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    name = base.rsplit("/", 1)[-1]
-    rows = raw.withColumn("path", F.regexp_extract("path", f".*?/{name}/(.*)$", 1)).where(F.col("length") <= max_bytes)
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = raw.withColumn("path", F.substr("path", F.lit(len(full) + 2)))
+    if max_bytes is not None:
+        rows = rows.where(F.col("length") <= max_bytes)
     for folder in EXCLUDED if excluded is None else excluded:
         rows = rows.where(~F.concat(F.lit("/"), "path").contains(f"/{folder}/"))
+    if glob:
+        rows = rows.where(F.col("path").rlike(glob_pattern(glob)))
     if max_depth is not None:
         rows = rows.where(F.size(F.split("path", "/")) <= max_depth)
     if not hidden:
         rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
-    return rows.select(F.lit(name).alias("root"), "path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+    return rows.select(F.lit(full.rsplit("/", 1)[-1]).alias("root"), "path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
 
 
 def allowed(path: str, roots: list[str]) -> str:
@@ -74,18 +79,3 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
-
-
-def inline_sql(name: str, rows: list[tuple], columns: list[str]) -> str:
-    """The same rows as a common table expression."""
-
-    def literal(x: object) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).lower()
-        if isinstance(x, (int, float)):
-            return repr(x)
-        return "'" + str(x).replace("'", "''") + "'"
-
-    return f"{name}({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)})"

@@ -117,6 +117,17 @@ PIPELINES: list[tuple[str, str]] = [
     (".circleci/config.yml", "version: 2\njobs:\n  unit:\n    docker: x\nworkflows:\n  all:\n    jobs: [unit]\n"),
 ]
 
+WORKSPACES: list[tuple[str, str]] = [
+    ("package.json", '{"name": "root", "workspaces": ["packages/*", "apps/web"], "devDependencies": {"x": "1"}}'),
+    ("old/package.json", '{"workspaces": {"packages": ["libs/*"]}}'),
+    ("other/package.json", '{"name": "plain"}'),
+    ("pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - tools\n"),
+    ("Cargo.toml", '[workspace]\nmembers = ["crates/a", "crates/b"]\n'),
+    ("one/Cargo.toml", '[package]\nname = "one"\n'),
+    ("turbo.json", "{}"),
+    ("nx.json", "{}"),
+]
+
 BLAME = (
     "0123456789abcdef0123456789abcdef01234567 1 1 2\nauthor Ann\nauthor-time 1704067200\nsummary first\n\tline one\n"
     "0123456789abcdef0123456789abcdef01234567 2 2\n\tline two\n"
