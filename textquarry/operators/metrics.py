@@ -33,11 +33,23 @@ def line_types(files: DataFrame, *more: Column) -> DataFrame:
 
 def complexity(content: Column) -> Column:
     """1 and the decisions of a text."""
-    return counted(content, [*words(R.DECISION_WORDS), *R.DECISION_MARKS]) + 1
+    return counted(content, [*_few_words(R.DECISION_WORDS), *_few_marks(R.DECISION_MARKS)]) + 1
 
 
 def cyclomatic(content: Column) -> Column:
-    return counted(content, [*words(R.CYCLOMATIC_WORDS), *R.CYCLOMATIC_MARKS]) + 1
+    return counted(content, [*_few_words(R.CYCLOMATIC_WORDS), *_few_marks(R.CYCLOMATIC_MARKS)]) + 1
+
+
+def _few_words(patterns: list[str]) -> list[str]:
+    """Whole words can't overlap, so one pattern counts them all; those of several words stay by themselves."""
+    return words(["|".join(p for p in patterns if p.isalpha()), *(p for p in patterns if not p.isalpha())])
+
+
+def _few_marks(patterns: list[str]) -> list[str]:
+    """Marks of other first characters can't overlap, so one pattern counts the first of each."""
+    first: dict[str, str] = {}
+    rest = [p for p in patterns if first.setdefault(p[:2], p) != p]
+    return ["|".join(first.values()), *rest]
 
 
 def code_metrics(files: DataFrame) -> DataFrame:
