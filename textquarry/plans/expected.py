@@ -774,6 +774,38 @@ ROWS: dict[str, tuple[list[tuple[str, str]], list[tuple]]] = {
             ('web/école.js', 'while', 'function', 3),
         ],
     ),
+    "symbol_docs": (
+        [("path", "string"), ("name", "string"), ("summary", "string"), ("deprecated", "boolean")],
+        [
+            ('src/runner.ts', 'run', 'Runs a job.', True),
+        ],
+    ),
+    "dependency_counts": (
+        [("direct", "bigint"), ("total", "bigint"), ("lockfile_found", "boolean")],
+        [
+            (4, 4, False),
+        ],
+    ),
+    "coverage_location": (
+        [("path", "string"), ("format", "string")],
+        [
+            ('coverage/coverage-final.json', 'istanbul'),
+        ],
+    ),
+    "coverage_of_file": (
+        [("file", "string"), ("percent", "bigint")],
+        [
+            ('src/a.ts', 67),
+        ],
+    ),
+    "test_files": (
+        [("path", "string")],
+        [
+            ('lib/spec_a.rb',),
+            ('tests/runner.test.ts',),
+            ('tests/test_x.py',),
+        ],
+    ),
     "workspaces": (
         [("path", "string"), ("tool", "string"), ("globs", "string")],
         [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import category_of, is_code, language_of
-from ..operators import change, formats, metrics, parsers, scans, settings, symbols
+from ..operators import change, formats, metrics, parsers, project, scans, settings, symbols
 from ..sources import samples
 from .expected import ROWS
 
@@ -131,6 +131,11 @@ MAKE: dict[str, Make] = {
     "cicd_needs": lambda s: settings.cicd(pairs(s, samples.PIPELINES)).where("what = 'needs'").select("path", "job", F.col("value").alias("needs")),
     "cicd_facts": lambda s: settings.cicd(pairs(s, samples.PIPELINES)),
     "code_docs": lambda s: parsers.docs(code(s)),
+    "symbol_docs": lambda s: parsers.docs(code(s), symbol="run").select("path", "name", "summary", "deprecated"),
+    "dependency_counts": lambda s: project.dependency_counts(paths(s)),
+    "coverage_location": lambda s: project.report_location(pairs(s, [("lcov.info", ""), ("a/b/lcov.info", ""), ("coverage/coverage-final.json", "{}"), ("coverage/coverage-summary.json", "{}")])),
+    "coverage_of_file": lambda s: project.file_coverage(formats.lcov(report(s, "lcov.info")), "/work/src/a.ts").select("file", "percent"),
+    "test_files": lambda s: project.test_files(pairs(s, [*((p, "") for p, _, _ in samples.CODE), *((p, "") for p, _ in samples.PATHS), ("node_modules/x.test.js", ""), ("lib/spec_a.rb", "")])),
     "undocumented": lambda s: parsers.undocumented(code(s), symbols.symbols(code(s))),
     "blame": lambda s: change.blame(pairs(s, [("f", samples.BLAME)])).withColumn("date", F.col("date").cast("string")),
 }

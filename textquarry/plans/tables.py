@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import expanded, terms, token_estimate
-from ..operators import change, metrics, ranking, scans, search, symbols
+from ..operators import change, metrics, project, ranking, scans, search, symbols
 from ..rules import lines as R
 from ..rules import symbols as S
 from ..rules.concepts import STOP_WORDS
@@ -288,6 +288,22 @@ def _commits(s, d):
 COMMITS = "commits AS (SELECT md5(o_orderkey::VARCHAR) AS hash, c_name AS author, o_orderdate AS date, o_orderpriority AS message FROM orders JOIN customer ON o_custkey = c_custkey)"
 register("commit_log", lambda s, d: change.log(_commits(s, d)), f"WITH {COMMITS} SELECT hash, author, date, message FROM commits ORDER BY date DESC, hash LIMIT 15")
 register("commit_log_author", lambda s, d: change.log(_commits(s, d), author="customer#00000001", since="1995-01-01"), f"WITH {COMMITS} SELECT hash, author, date, message FROM commits WHERE contains(lower(author), 'customer#00000001') AND date >= TIMESTAMP '1995-01-01' ORDER BY date DESC, hash LIMIT 15")
+register(
+    "commit_log_with_files",
+    lambda s, d: project.log_with_files(_commits(s, d), table(s, d, "lineitem").select(F.md5(F.col("l_orderkey").cast("string")).alias("hash"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"))).withColumn("files", F.array_join("files", " ")),
+    f"""WITH {COMMITS}, latest AS (SELECT * FROM commits ORDER BY date DESC, hash LIMIT 10), own AS (SELECT md5(l_orderkey::VARCHAR) AS hash, list_sort(list_distinct(list('part/' || l_partkey::VARCHAR))) AS files FROM lineitem GROUP BY 1)
+    SELECT hash, author, date, message, coalesce(array_to_string(files, ' '), '') AS files FROM latest LEFT JOIN own USING (hash)""",
+)
+register(
+    "search_truncated",
+    lambda s, d: project.truncated(search.search(doc_files(s, d), "license"), ["path", "line_no"], 20)[1],
+    f"WITH {DOCS}, {LINES}, n AS (SELECT count(*) AS total FROM lines WHERE regexp_matches(text, '(?i)license')) SELECT total, least(total, 20)::BIGINT AS shown, total > 20 AS truncated FROM n",
+)
+register(
+    "shown_tree",
+    lambda s, d: project.shown_tree(doc_files(s, d)),
+    f"WITH {DOCS} SELECT DISTINCT '0' || split_part(path, '/', 1) AS place, split_part(path, '/', 1) || '/' AS line FROM files UNION ALL SELECT '0' || split_part(path, '/', 1) || '/1' || split_part(path, '/', 2), '  ' || split_part(path, '/', 2) FROM files",
+)
 register("contributors", lambda s, d: change.contributors(_commits(s, d)), f"WITH {COMMITS} SELECT author, count(*) AS commits, min(date) AS first, max(date) AS last FROM commits GROUP BY author")
 register(
     "change_churn",
