@@ -53,7 +53,8 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, kept)
     schema = df.schema
-    tidy(spark)
+    if not narrow:
+        tidy(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -63,7 +64,8 @@ def gathered(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now rather than at the next chance collection."""
+    """Lets Spark's cleaner drop the shuffle files and broadcasts of finished jobs now rather than at the next chance
+    collection. It takes a good part of a second, so narrow tables, whose files are small, go without it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
