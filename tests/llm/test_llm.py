@@ -900,3 +900,43 @@ def test_query_gives_the_rows_of_its_sql(spark, small, name):
 
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+# --- words that collide under sums of powers
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_words_of_one_structure_stay_apart(spark, n):
+    word, other = thue_morse(n)
+    tail = " ".join(f"t{k}" for k in range(30))
+    texts = [word, other, f"{tail} {word}", f"{tail} {other}", f"xxxxxxxx{word}", f"xxxxxxxx{other}", f"{word}\n{other}\n{word}", (f"{word} b c d e f g h ") + (f"{other} b c d e f g h ")]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.classes(docs).select("doc_id", "n_shingles", "component_id").collect()) == Counter(brute_classes(rows))
+    own = tokens.UnitIds(tokens.default_vocabulary())
+    ids = [own.encode.encode(t, add_special_tokens=False).ids + [tokens.END] for t in texts]
+    assert [x.tolist() for _, x in tokens.encoded(pa.array(texts), tokens.default_vocabulary())] == ids
+    crcs = {k: zlib.crc32(np.array(x, "<u4").tobytes()) for k, x in enumerate(ids)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in sstable.documents(sstable.write(docs, common.new_folder(spark, "sstable"))).collect()} == crcs
+    if max(map(len, ids)) <= 4096:
+        assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs).collect()} == crcs
+    x = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality.score(docs, quality.Model({})).collect()}
+    assert x[6] == (1, 0) and x[7] == (0, 0)
+    assert Counter(tuple(r) for r in substrings.remove(docs).drop("kept").collect()) == brute_removed(rows, 50)
+
+
+def test_units_whose_hashes_are_equal_stay_apart(monkeypatch):
+    texts = [" ".join(f"unit{k}x{j}y" for j in range(50)) for k in range(4)]
+    monkeypatch.setattr(tokens.K, "span_hashes", lambda buf, a, b: (b - a).astype(np.uint64) * np.uint64(2))
+    own = tokens.UnitIds(tokens.default_vocabulary())
+    for _ in range(2):
+        for t in texts:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            assert own.texts(raw, np.array([0, len(raw)]))[0].tolist() == own.encode.encode(t, add_special_tokens=False).ids + [tokens.END]
+    spans = np.frombuffer(b"abc abd abc", np.uint8)
+    assert tokens.K.span_classes(spans, np.array([0, 4, 8]), np.array([3, 7, 11])).tolist() == [0, 1, 0]

@@ -10,28 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(20260101)
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = 0x9E3779B97F4A7C15
-_RINV = pow(_R, -1, 2**64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, r in enumerate((_R, _RINV)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+#: Spans of more bytes are hashed one by one; the others 8 bytes at a time, all spans at once.
+LONG = 128
+_LOW_BYTES = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,13 +67,73 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs, "left")
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For each place of buf the 8 bytes from there on; behind the end stand zeros."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))
+
+
+def digits(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place as one integer, without those beyond the `left` that a span still has."""
+    return eight[at].view("<u8").ravel() & _LOW_BYTES[np.minimum(left, 8)]
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_CODE[buf] * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """A 64-bit hash of each span of bytes: its length, then 8 bytes after 8 through mix(); a long one by XXH3.
+
+    mix() is no linear map, so there are no words (as with sums of powers modulo 2**64) that collide by their structure.
+    Spans of one length up to 8 bytes never collide.
+    """
+    size, eight = ends - starts, eights(buf)
+    h = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ digits(eight, starts[live] + k, size[live] - k))
+    for d in np.flatnonzero(size > LONG).tolist():
+        h[d] = xxhash.xxh3_64_intdigest(buf[starts[d] : ends[d]].tobytes())
+    return h
+
+
+def equal_spans(buf1: np.ndarray, start1: np.ndarray, buf2: np.ndarray, start2: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of spans of equal size are the same."""
+    one, two = eights(buf1), eights(buf2)
+    same = np.ones(len(size), bool)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        left = size[live] - k
+        same[live] &= digits(one, start1[live] + k, left) == digits(two, start2[live] + k, left)
+    for d in np.flatnonzero(size > LONG).tolist():
+        same[d] = np.array_equal(buf1[start1[d] : start1[d] + size[d]], buf2[start2[d] : start2[d] + size[d]])
+    return same
+
+
+def span_classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for spans of the same bytes and for no others."""
+    size = ends - starts
+    _, first, number = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    model = first[number]
+    same = size == size[model]
+    fit = np.flatnonzero(same & (model != np.arange(len(size))))
+    same[fit] = equal_spans(buf, starts[fit], buf, starts[model[fit]], size[fit])
+    if same.all():
+        return number
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(buf[a:b].tobytes(), len(seen)) for a, b in zip(starts, ends, strict=True)], np.int64)
+
+
+def doubled_classes(number: np.ndarray, times: int) -> np.ndarray:
+    """Of classes of single items the classes of each 2**times consecutive ones, without hashing."""
+    for k in range(times):
+        step = 1 << k
+        number = np.unique(number[:-step] * (int(number.max(initial=0)) + 1) + number[step:], return_inverse=True)[1]
+    return number
 
 
 def lower(buf: np.ndarray) -> np.ndarray:

@@ -97,8 +97,10 @@ def signals(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     eight = K.windows(h, 8) if len(h) >= 8 else np.zeros(0, np.uint64)
     for d in np.flatnonzero(n_words >= 9):
         x = eight[first[d] : first[d + 1] - 7]
-        _, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
-        if len(count) < len(x):
+        if len(np.unique(x)) < len(x):
+            own = slice(first[d], first[d + 1])
+            x = K.doubled_classes(K.span_classes(buf, starts[own], ends[own]), 3)
+            _, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
             hit = np.zeros(n_words[d] + 1, np.int64)
             at = np.flatnonzero(count[inverse] > 1)
             np.add.at(hit, at, 1)
@@ -113,7 +115,7 @@ def signals(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         a, b = a[solid], b[solid]
         if len(a) > 1:
             text = buf[offs[d] : offs[d + 1]]
-            lines = K.span_hashes(text, a - offs[d], b - offs[d])
+            lines = K.span_classes(text, a - offs[d], b - offs[d])
             dup[d] = len(lines) - len(np.unique(lines))
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
 

@@ -58,8 +58,11 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(y[: len(y) - rest], y[rest:]) if rest else y
 
 
-def range_hashes(total: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (total[b] - total[a]) * down[a]
+def rolled(buf: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place on: of 8, 8 and 4 bytes, each through mix()."""
+    eight = K.eights(buf)[: len(buf)].view("<u8").ravel()
+    n = len(buf) - ANCHOR + 1
+    return K.mix(K.mix(K.mix(eight[:n] ^ np.uint64(0x9FB21C651E98DF25)) ^ eight[8 : n + 8]) ^ (eight[16 : n + 16] & np.uint64(2**32 - 1)))
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +70,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, n
     n, width = len(buf), size - ANCHOR + 1
     if n < size:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    up, down = K.powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(K._CODE[buf] * up[:-1], out=total[1:])
-    h = K.mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: n - ANCHOR + 1]) | np.uint64(1)
+    h = rolled(buf) | np.uint64(1)
     least = _slide(h, width, np.minimum)
     length = np.diff(offs)
     ends = np.repeat(offs[1:], length)
@@ -81,7 +81,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, n
     text = np.searchsorted(offs, at, "right") - 1
     a, b = np.maximum(at - (width - 1), offs[text]), np.minimum(at + size, offs[text + 1])
     shape = (at - a).astype(np.uint64) * np.uint64(1009) + (b - at).astype(np.uint64)
-    ctx = K.mix(range_hashes(total, down, a, b) + shape * np.uint64(0x9FB21C651E98DF25))
+    ctx = K.mix(K.span_hashes(buf, a, b) + shape * np.uint64(0x9FB21C651E98DF25))
     return text, at - offs[text], h[at], ctx
 
 
@@ -144,7 +144,8 @@ def candidate_anchors(docs: DataFrame, size: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             h, ctx, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
             order = np.argsort(ctx, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], ctx[order][1:] != ctx[order][:-1])))
+            c, a = ctx[order], h[order]
+            first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]))))
             least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.concatenate((first, [len(order)]))))
             done = np.zeros(len(h), bool)
             done[order] = doc[order] > least

@@ -83,7 +83,10 @@ def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class UnitIds:
-    """Ids of units, kept in one growing array and found by an open table of 64-bit hashes and first bytes."""
+    """Ids of units, kept in one growing array and found by an open table of 64-bit hashes.
+
+    A unit that is found has the same bytes: they are kept beside its ids and compared, so equal hashes never decide.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -101,8 +104,9 @@ class UnitIds:
         return [x for a, b in zip(starts, ends, strict=True) for x in self.piece(low[a:b].tobytes())]
 
     def reset(self) -> None:
-        self.keys, self.lead, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.count, self.used = 1, 1
+        self.keys, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.count, self.used, self.held = 1, 1, 0
+        self.bytes, self.at, self.length = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.ids[0], self.size[0] = END, 1  # place 0 is the end of a text
@@ -111,15 +115,15 @@ class UnitIds:
         text = raw.decode("ascii") if raw.isascii() else raw.decode("latin-1").translate(_AS_CHARACTER)
         return [t.id for t in self.model.tokenize(text)]
 
-    def find(self, keys: np.ndarray, lead: np.ndarray) -> np.ndarray:
-        """Places of units, -1 where they aren't known."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of units by their hashes, -1 where they aren't known."""
         out = np.full(len(keys), -1, np.int64)
         slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
         todo = None
         while True:
             k = keys if todo is None else keys[todo]
             there = self.keys[slot]
-            hit = (there == k) & (self.lead[slot] == (lead if todo is None else lead[todo]))
+            hit = there == k
             if todo is None:
                 out[hit] = self.place[slot[hit]]
             else:
@@ -130,19 +134,26 @@ class UnitIds:
             todo = np.flatnonzero(go) if todo is None else todo[go]
             slot = (slot[go] + 1) & (SLOTS - 1)
 
-    def insert(self, keys: np.ndarray, lead: np.ndarray, places: np.ndarray) -> None:
-        """New units, all different; those that meet in a slot go on to the next one."""
+    def insert(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """New units of different hashes; those that meet in a slot go on to the next one."""
         slot, todo = (keys & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(keys))
         while len(todo):
             free = np.flatnonzero(self.keys[slot] == 0)
             _, one = np.unique(slot[free], return_index=True)
             win = free[one]
             at = slot[win]
-            self.keys[at], self.lead[at], self.place[at] = keys[todo[win]], lead[todo[win]], places[todo[win]]
+            self.keys[at], self.place[at] = keys[todo[win]], places[todo[win]]
             rest = np.ones(len(todo), bool)
             rest[win] = False
             todo, slot = todo[rest], (slot[rest] + 1) & (SLOTS - 1)
 
+    def same(self, places: np.ndarray, text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes kept at the places are those of the spans of text."""
+        out = self.length[places] == size
+        fit = np.flatnonzero(out)
+        out[fit] = K.equal_spans(self.bytes[: self.held], self.at[places[fit]], text, starts[fit], size[fit])
+        return out
+
     def add(self, raw: list[bytes], whole: np.ndarray) -> None:
         """Ids of new units go to the next places."""
         got: list = [None] * len(raw)
@@ -165,6 +176,14 @@ class UnitIds:
         self.size[new] = size
         self.start[new] = self.used + np.cumsum(size) - size
         self.used += len(flat)
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        while self.held + int(length.sum()) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros_like(self.bytes)))
+        while self.count + len(raw) > len(self.at):
+            self.at, self.length = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.length, np.zeros_like(self.length)))
+        self.bytes[self.held : self.held + int(length.sum())] = np.frombuffer(b"".join(raw), np.uint8)
+        self.at[new], self.length[new] = self.held + np.cumsum(length) - length, length
+        self.held += int(length.sum())
         self.count += len(raw)
 
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,27 +194,33 @@ class UnitIds:
             low = buf
             starts, ends, first = K.word_spans(buf, offs)
             whole = np.ones(len(starts), bool)
-        keys = K.span_hashes(low, starts, ends)
-        if whole.any():
+        keys, size = K.span_hashes(low, starts, ends), ends - starts
+        text = low
+        if whole.any():  # words for encode() as they stand, behind the lower-cased text
             keys[whole] = K.span_hashes(buf, starts[whole], ends[whole]) ^ np.uint64(0x5851F42D4C957F2D)
+            text, starts = np.concatenate((low, buf)), starts + len(low) * whole
         keys |= np.uint64(1)
-        lead = np.concatenate((low, np.zeros(8, np.uint8)))
-        lead = np.lib.stride_tricks.as_strided(lead, (max(1, len(low)), 8), (1, 1))[starts].view("<u8").ravel()
-        lead &= np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(ends - starts, 8)).astype(np.uint64))
-        place = self.find(keys, lead)
-        if (place < 0).any():
+        place = self.find(keys)
+        known = np.flatnonzero(place >= 0)
+        odd = known[~self.same(place[known], text, starts[known], size[known])]
+        if (place < 0).any() or len(odd):
             new = np.flatnonzero(place < 0)
             _, at, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
-            if self.count + len(at) > CACHE_UNITS and self.count > 1:
+            one = new[at]
+            differ = size[new] != size[one[inverse]]
+            fit = np.flatnonzero(~differ)
+            differ[fit] = ~K.equal_spans(text, starts[new[fit]], text, starts[one[inverse[fit]]], size[new[fit]])
+            alone = np.concatenate((odd, new[differ]))  # another unit has their hash
+            if self.count + len(one) + len(alone) > CACHE_UNITS and self.count > 1:
                 self.reset()
                 return self.texts(buf, offs)
-            one = new[at]
-            base, raw_low, raw = self.count, low.tobytes(), buf.tobytes()
-            odd = whole[one]
-            self.add([(raw if w else raw_low)[a:b] for a, b, w in zip(starts[one].tolist(), ends[one].tolist(), odd.tolist(), strict=True)], odd)
+            base, raw = self.count, text.tobytes()
+            every = np.concatenate((one, alone))
+            self.add([raw[a : a + n] for a, n in zip(starts[every].tolist(), size[every].tolist(), strict=True)], whole[every])
             if self.count <= SLOTS // 2:
-                self.insert(keys[one], lead[one], np.arange(base, base + len(one)))
+                self.insert(keys[one], np.arange(base, base + len(one)))
             place[new] = base + inverse
+            place[alone] = base + len(one) + np.arange(len(alone))
         n = len(offs) - 1
         every = np.insert(place, first[1:], 0) if len(place) else np.zeros(n, np.int64)
         size = self.size[every].astype(np.int64)
