@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import math
 import random
 import re
 import sys
@@ -13,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import database, same  # noqa: E402
 
-from textquarry.llm import common, components, jaccard, licences, mixing, packing, pii, quality, registry, sstable, substrings, tokens, topk, warc  # noqa: E402
+from textquarry.llm import common, components, importance, jaccard, lexical, licences, mixing, packing, pii, quality, registry, simhash, sstable, substrings, tokens, topk, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -890,6 +892,180 @@ def _unsalted(docs, monkeypatch):
     return mixing.mix(docs, rounds=2)
 
 
+# --- 11 importance resampling
+
+
+def ascii_lower(t: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def brute_resampled(docs, target, n, width, percent, least):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def features(t):
+        w = word.findall(ascii_lower(t or ""))
+        return w, [zlib.crc32(" ".join(w[i : i + k]).encode()) % width for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+
+    found = [(k, *features(t)) for k, t in docs]
+    s, t = Counter(b for _, _, f in found for b in f), Counter(b for x in target for b in features(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + width) / ((s[b] + 1) * (t_all + width))))
+    rows = []
+    for k, w, f in found:
+        weight = sum(map(gain, f))
+        h = int(hashlib.sha256(f"2024:{k}".encode()).hexdigest()[:8], 16)
+        rows.append((k, len(w), len(f), weight, None if k is None else weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    order = sorted((r for r in rows if r[1] >= least and r[0] is not None), key=lambda r: (-r[4], r[0], r[2]))
+    drawn = percent * len(order) // 100
+    out = Counter((*r, k + 1 if k < drawn else None) for k, r in enumerate(order))
+    return out + Counter((*r, None) for r in rows if r[1] < least or r[0] is None)
+
+
+ODD_TEXTS = [(500, "Under_score; \u00c9t\u00e9 \u0130stanbul\u00a0x2 A" * 5), (501, "\u0000\u0001 1\u00002 [a] {B}"), (502, "q" * 5000), (503, "Z z Z " * 4000)]
+
+
+@pytest.mark.parametrize(("n", "width", "percent"), [(1, 10_000, 10), (3, 70_000, 50)])
+def test_resampling_against_plain_python(spark, docs, none, monkeypatch, n, width, percent):
+    monkeypatch.setattr(importance, "FOLD", 1000)
+    rows = [r[:2] for r in corpus_rows()] + ODD_TEXTS
+    target = [BASE[3][:300], BASE[5], None, "", "w1 w2 W3"]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rank", F.lit("clash")).repartition(3)
+    got = importance.resample(given, spark.createDataFrame([(t,) for t in target], "text string"), n, width, percent)
+    assert Counter(tuple(r) for r in got.collect()) == brute_resampled(rows, target, n, width, percent, 20)
+    empty = spark.createDataFrame([], "text string")
+    assert importance.resample(none, empty).count() == 0
+    assert Counter(tuple(r) for r in importance.resample(given, empty).collect()) == brute_resampled(rows, [], 1, 10_000, 10, 20)
+
+
+def test_resampling_of_the_table_against_plain_python(spark, small):
+    rows = [tuple(r) for r in common.table(spark, small, "documents").select("doc_id", "text").collect()]
+    target = [r["text"] for r in common.table(spark, small, "benchmark").collect()]
+    want = Counter((r[0], r[2], r[3], r[4], r[5]) for r in brute_resampled(rows, target, 1, 10_000, 10, 20).elements())
+    assert Counter(tuple(r) for r in importance.query(spark, small).collect()) == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="abZ9 _\u00e9-", max_size=60), st.integers(1, 4))
+def test_ring_gives_the_crcs_of_runs(text, n):
+    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", ascii_lower(text))
+    want = [[zlib.crc32(" ".join(w[i - k + 1 : i + 1]).encode()) for k in range(1, min(n, i + 1) + 1)] for i in range(len(w))]
+    assert list(importance.ring(ascii_lower(text).encode(), n)) == want
+
+
+# --- 12 lexical search
+
+
+def brute_search(docs, queries, k):
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    tf = [(d, Counter(term.findall(ascii_lower(t or "")))) for d, t in docs if d is not None]
+    tf = [(d, c, sum(c.values())) for d, c in tf if c]
+    total, df = sum(n for _, _, n in tf), Counter(t for _, c, _ in tf for t in c)
+    out = []
+    for item, text in queries:
+        found = []
+        for d, c, n in tf:
+            m = 50 + 50 * n * len(tf) // total
+            found.append((-sum(math.floor(1000 * math.log((2 * len(tf) + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in set(term.findall(ascii_lower(text or ""))) if c[t]), d))
+        out += [(item, r + 1, d, -s) for r, (s, d) in enumerate(sorted(x for x in found if x[0] < 0)[:k])]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_search_against_plain_python(spark, docs, none, monkeypatch, k):
+    monkeypatch.setattr(lexical, "SHARD", 3000)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 40)
+    rows = [r[:2] for r in corpus_rows()] + ODD_TEXTS
+    asked = [(1, BASE[2][:200]), (2, "w1 W1 \u00c9t\u00e9 nowhere"), (3, None), (4, "..."), (5, "unknown"), (6, BASE[5] + " " + BASE[6])]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).repartition(3)
+    queries = spark.createDataFrame([*asked, (None, "w1")], "item_id long, text string")
+    index = lexical.build(given)
+    got = lexical.search(index, queries, k)
+    assert Counter(tuple(r) for r in got.collect()) == brute_search(rows, asked, k)
+    if k == 1:
+        assert lexical.search(lexical.build(none), queries).count() == 0
+        assert lexical.search(index, queries.limit(0)).count() == 0
+
+
+def test_bounds_hold_and_rule_most_documents_out():
+    own = np.random.default_rng(3)
+    shard = lexical.Shard({f"t{k}": int(own.integers(0, 9000)) for k in range(30)})
+    n = 2000
+    m = lexical.lengths_weight(own.integers(1, 5000, n), n, 2_500_000)
+    shard.add(None, np.arange(n).astype("<i8").tobytes(), b"", m.astype("<i8").tobytes())
+    for t in shard.weights:
+        places = np.flatnonzero(own.random(n) < 0.3)
+        tf = own.geometric(0.3, len(places))
+        shard.add(t, places.astype("<u4").tobytes(), (-(-lexical.impact(tf, m[places]) // lexical.STEP)).astype("<u1").tobytes(), tf.astype("<u4").tobytes())
+    low, high = shard.bounds(list(shard.terms))
+    exact = shard.exact(list(shard.terms), np.arange(n))
+    assert (low <= exact).all() and (exact <= high).all()
+    assert (high >= np.sort(low)[-50]).sum() < 100
+
+
+# --- 13 fingerprints
+
+
+def brute_fingerprint(text, n):
+    w = [x for x in WORD.findall(ascii_lower(text or ""))]
+    sh = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_near(prints, radius):
+    """prints: (doc_id, fp) of documents with an identifier; the component of each fingerprint."""
+    fps = sorted({f for _, f in prints})
+    label = {f: f for f in fps}
+    moved = True
+    linked = [(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= radius]
+    while moved:
+        moved = False
+        for a, b in linked:
+            low = min(label[a], label[b])
+            moved |= label[a] != label[b]
+            label[a] = label[b] = low
+    least: dict = {}
+    for d, f in prints:
+        least[label[f]] = min(d, least.get(label[f], d))
+    return {f: least[label[f]] for f in fps}
+
+
+def test_fingerprints_against_plain_python(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 100)
+    rows = [r[:2] for r in corpus_rows()] + ODD_TEXTS
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    prints = [(d, brute_fingerprint(t, 4)) for d, t in rows]
+    of = brute_near([p for p in prints if p[0] is not None], 4)
+    got = simhash.near_duplicates(given)
+    assert Counter(tuple(r) for r in got.collect()) == Counter((d, f"{f:016x}", None if d is None else of[f]) for d, f in prints)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "clusters", "dense"])
+def test_trees_find_all_links(spark, monkeypatch, kind):
+    for name, value in (("SHARD", 40), ("PART", 25), ("GROUP", 8), ("PAIRS", 64)):
+        monkeypatch.setattr(simhash, name, value)
+    own = random.Random(8)
+    if kind == "random":
+        fps = {own.getrandbits(64) & 0xFFFF0000FFFF for _ in range(500)}
+    else:
+        centres, spread, each = ([own.getrandbits(64) for _ in range(30)], 6, 15) if kind == "clusters" else ([0, 2**64 - 1], 5, 150)
+        fps = {c ^ sum(1 << own.randrange(64) for _ in range(own.randrange(spread))) % 2**64 for c in centres for _ in range(each)}
+    fps = sorted(fps)
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f, f) for f in signed], "node long, fp long").repartition(3)
+    found = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(nodes, len(fps), 4).collect()]
+    assert all(a != b for a, b in found) and len(found) <= 40 * len(fps)
+    label = {f: f for f in fps}
+    for _ in range(len(fps)):
+        before = dict(label)
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert label == brute_near([(f, f) for f in fps], 4)
+
+
 # --- registered queries
 
 
@@ -898,8 +1074,8 @@ def test_query_gives_the_rows_of_its_sql(spark, small, name):
     same(registry.QUERIES[name](spark, small), database(small), registry.ORACLES[name])
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 # --- words that collide under sums of powers

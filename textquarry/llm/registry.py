@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, packing, pii, quality, sstable, substrings, topk, warc
+from . import importance, jaccard, lexical, licences, mixing, packing, pii, quality, simhash, sstable, substrings, topk, warc
 
 QUERIES = {
     "op1_license_scan": licences.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_residual_packing": packing.query,
     "op9_quality_rules": quality.query,
     "op10_raked_mixing": mixing.query,
+    "op11_importance_resampling": importance.query,
+    "op12_lexical_search": lexical.query,
+    "op13_simhash_vantage_points": simhash.query,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.ORACLE_SQL,
     "op7_pivot_topk": topk.ORACLE_SQL,
     "op10_raked_mixing": mixing.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
 }
