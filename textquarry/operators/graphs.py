@@ -1,37 +1,82 @@
-"""Reachability by squaring."""
+"""Strongly connected parts of directed graphs, with state linear in nodes and edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 
-def reach(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all ways of any length: lengths double each round until nothing is new.
+#: Steps of a propagation that one job takes.
+STEPS = 3
 
-    Each round's pairs are written to the checkpoint folder, so the plan doesn't grow. Nodes that have only ways in or only
-    ways out are stripped before, round by round.
-    """
-    now = _kept(edges.select("src", "dst").distinct())
-    n = now.count()
-    while True:
-        ends = now.select(F.col("src").alias("dst")).distinct()
-        less = _kept(now.join(ends, "dst", "left_semi").select("src", "dst").join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = less.count()
-        now, done, n = less, m == n, m
-        if done:
-            break
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) without those of nodes that have no way in or no way out, again and again until none is left over."""
+    n = edges.count()
     while n:
-        more = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        now = _kept(now.unionByName(more).distinct())
-        m = now.count()
+        less = edges
+        for _ in range(STEPS):
+            less = less.join(less.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            less = less.join(less.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        edges = checkpointed(less)
+        m = edges.count()
         if m == n:
             break
         n = m
-    return now
+    return edges
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from .shared import checkpointed
+def coloured(edges: DataFrame) -> DataFrame:
+    """node, colour: the least node that reaches a node, itself included. A round hands on the least colours along all edges."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", F.col("node").alias("colour"))
+    while True:
+        new = nodes
+        for _ in range(STEPS):
+            handed = new.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("_c"))
+            new = new.join(handed, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", "_c").alias("colour"))
+        new = checkpointed(new)
+        if new.join(nodes, ["node", "colour"], "left_anti").isEmpty():
+            return new
+        nodes = new
+
 
-    return checkpointed(df)
+def roots_and_what_reaches_them(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """node, colour of nodes that reach the node of their colour by edges (src, dst, colour) of that colour."""
+    found = frontier = checkpointed(colours.where("node = colour"))
+    while True:
+        before = frontier.withColumnRenamed("node", "dst").join(edges, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+        frontier = checkpointed(before.join(found, ["node", "colour"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component: nodes that lie on a cycle of two or more nodes, with the least node of their component.
+
+    Trimming takes what leads to no cycle or from none; each node then gets the least node that reaches it, and what
+    reaches that node back is a component of it. The rest goes on within its colours. Each table that is kept between
+    rounds has a row a node or a row an edge. Self-loops, repeated edges and nulls change nothing.
+    """
+    left = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    parts: list[DataFrame] = []
+    while True:
+        left = trimmed(left)
+        if left.isEmpty():
+            break
+        colours = coloured(left)
+        one = left.join(colours.select(F.col("node").alias("src"), "colour"), "src")
+        inner = checkpointed(one.join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_to")), "dst").where("colour = _to").select("src", "dst", "colour"))
+        found = checkpointed(roots_and_what_reaches_them(inner, colours))
+        parts.append(found)
+        gone = found.select("node")
+        left = inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        left = checkpointed(left)
+    if not parts:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    several = every.groupBy("colour").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return every.join(several, "colour").select("node", F.col("colour").alias("component"))

@@ -139,16 +139,10 @@ def import_edges(files: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """node, cycle: nodes that reach themselves, with the smallest node of their cycle group. Self-loops are not cycles.
+    """node, cycle: nodes that lie on a cycle, with the smallest node of their strongly connected part. Self-loops are not cycles."""
+    from .graphs import strongly_connected
 
-    Reachability doubles its length each round until nothing is new. Nodes without a way in or out can't lie on a cycle
-    and leave first, so that only cyclic parts and what joins them are squared.
-    """
-    from .graphs import reach
-
-    pairs = reach(edges.where("src <> dst").distinct())
-    both = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    return both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("cycle"))
+    return strongly_connected(edges).withColumnRenamed("component", "cycle")
 
 
 def self_imports(edges: DataFrame) -> DataFrame:
