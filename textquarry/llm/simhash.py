@@ -1,11 +1,13 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
 1. `fingerprints`: a text's fingerprint has a bit where over half of its shingles' 64-bit hashes have it.
-2. Equal fingerprints are one node. A tree of vantage points is grown from a bounded sample of the nodes: each inner
-   vertex has a vantage point and the median distance from it. Its leaves are the shards.
-3. Each node is a member of the shard that its distances lead to. By the triangle inequality a node within `radius` of
-   another has distances from any point that differ by `radius` at most, so a node asks beyond a boundary only if it lies
-   that near to it. It asks shards to the right of its own only, which finds every pair once.
+2. Equal fingerprints are one node. The bits fall into PARTS parts; two nodes within `radius` are within radius // PARTS
+   in one of them at least. (Over all 64 bits nearly all distances lie near 32, and most nodes near any boundary.)
+3. For each part a tree of vantage points is grown from a bounded sample of the nodes: each inner vertex has a vantage
+   point and the median distance from it in that part. Its leaves are the shards. Each node is a member of the shard that
+   its distances lead to. By the triangle inequality the distances of two near nodes from any point differ by no more
+   than they do from each other, so a node asks beyond a boundary only if it lies that near to it. It asks shards to the
+   right of its own only, which finds every pair of a part once.
 4. A task holds the members of a shard, or of a part of a large one, and streams what asks there past them. Within the
    task the members are a vantage-point tree too, down to groups of GROUP, where distances are computed. Of the linked
    pairs a task reports a spanning forest: at most a row a node, however many pairs a group of copies has.
@@ -31,6 +33,8 @@ from . import kernels as K
 from .common import salted_join, spread, stage, table
 from .components import components
 
+#: Parts of the bits, each with a tree of its own.
+PARTS = 3
 #: Nodes from which the vantage points of shards are chosen, and the most vertices of that tree (16 bytes each).
 SAMPLE, VERTICES = 1 << 18, 1 << 14
 #: Members that a shard is planned for, members that a task holds at a time, and members that are compared without a tree.
@@ -80,32 +84,38 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).astype(np.int16)
+def masks(parts: int) -> list[np.uint64]:
+    """64 bits in parts of about equal size."""
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def distance(x: np.ndarray, y: np.ndarray, mask: np.uint64) -> np.ndarray:
+    return np.bitwise_count((x ^ y) & mask).astype(np.int16)
 
 
 class Tree:
-    """Vertices in preorder: vantage point, median distance, right child (0: a leaf), and of leaves their number."""
+    """Vertices in preorder: vantage point, median distance in the mask's bits, right child (0: a leaf), and a leaf's number."""
+
+    def __init__(self, sample: np.ndarray, leaves: int, mask: np.uint64) -> None:
+        self.mask, self.point, self.median, self.right, self.leaf, self.leaves = mask, [], [], [], [], 0
+        self._grow(np.sort(sample), 1.5 * max(16, -(-len(sample) // max(1, leaves))))
 
-    def __init__(self, sample: np.ndarray, leaves: int) -> None:
-        self.point, self.median, self.right, self.leaf, self.leaves = [], [], [], [], 0
-        least = max(16, -(-len(sample) // max(1, leaves)))
-        self._grow(np.sort(sample), 1.5 * least)
+    def _split(self, x: np.ndarray) -> tuple[np.uint64, int]:
+        """Of a few points the one from which distances vary most, and the distance that halves the nodes best."""
+        trial = x[:: max(1, len(x) // 8)][:8]
+        v = max(trial, key=lambda t: float(distance(x, t, self.mask).std()))
+        d = distance(x, v, self.mask)
+        mid = int(np.median(d))
+        return v, min((mid - 1, mid), key=lambda m: abs(float((d <= m).mean()) - 0.5))
 
     def _grow(self, x: np.ndarray, most: float) -> None:
         me = len(self.point)
-        # the point of a first guess that the nodes' distances vary most from splits them best
-        trial = x[:: max(1, len(x) // 8)][:8] if len(x) > most else x[:0]
-        spreads = [float(distance(x, t).std()) for t in trial]
-        v = trial[int(np.argmax(spreads))] if len(trial) else np.uint64(0)
-        d = distance(x, v)
-        mid = int(np.median(d)) if len(trial) else 0
-        if mid and (d > mid).mean() < 0.25:
-            mid -= 1
-        left = d <= mid
+        v, mid = self._split(x) if len(x) > most else (np.uint64(0), 0)
+        left = distance(x, v, self.mask) <= mid
         for column, value in ((self.point, v), (self.median, mid), (self.right, 0), (self.leaf, -1)):
             column.append(value)
-        if not len(trial) or not left.any() or left.all():
+        if len(x) <= most or not left.any() or left.all():
             self.leaf[me] = self.leaves
             self.leaves += 1
             return
@@ -113,9 +123,10 @@ class Tree:
         self.right[me] = len(self.point)
         self._grow(x[~left], most)
 
-    def homes(self, x: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows of x, whether they are members) of all leaves; the others ask there."""
-        stack = [(0, np.arange(len(x)), np.ones(len(x), bool))]
+    def homes(self, x: np.ndarray, radius: int, member: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows of x, whether they are members) of all leaves. Members end in one leaf and ask to the right of it;
+        rows that aren't members ask wherever a member within radius can be."""
+        stack = [(0, np.arange(len(x)), np.ones(len(x), bool) if member is None else member)]
         while stack:
             k, rows, member = stack.pop()
             if not len(rows):
@@ -123,10 +134,9 @@ class Tree:
             if not self.right[k]:
                 yield self.leaf[k], rows, member
                 continue
-            d = distance(x[rows], self.point[k])
-            left, mid = d <= self.median[k], self.median[k]
-            go_left = np.where(member, left, d - radius <= mid)
-            go_right = np.where(member, ~left | (d + radius > mid), d + radius > mid)
+            d, mid = distance(x[rows], self.point[k], self.mask), self.median[k]
+            left = d <= mid
+            go_left, go_right = np.where(member, left, d - radius <= mid), np.where(member & ~left, True, d + radius > mid)
             stack.append((k + 1, rows[go_left], member[go_left]))
             stack.append((self.right[k], rows[go_right], (member & ~left)[go_right]))
 
@@ -149,33 +159,19 @@ def join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, high, low)
 
 
-def near(members: np.ndarray, asking: np.ndarray, first: int, parent: np.ndarray, radius: int) -> None:
-    """Joins in parent all members (its first entries) and askers (from `first` on) with members that are near to them."""
-    tree = Tree(members, -(-len(members) // GROUP))
+def near(members: np.ndarray, asking: np.ndarray, parent: np.ndarray, radius: int, mask: np.uint64) -> None:
+    """Joins in parent all members (its first entries) and askers (its next) that are near to a member."""
     every = np.concatenate((members, asking))
-    place = np.concatenate((np.arange(len(members)), first + np.arange(len(asking))))
-    # askers enter at the root as such
-    stack = [(0, np.arange(len(every)), np.arange(len(every)) < len(members))]
-    while stack:
-        k, rows, member = stack.pop()
-        if not member.any():
-            continue
-        if not tree.right[k]:
-            own = rows[member]
-            step = max(1, PAIRS // len(own))
-            for lo in range(0, len(rows), step):
-                some = rows[lo : lo + step]
-                i, j = np.nonzero(np.bitwise_count(every[some][:, None] ^ every[own][None]) <= radius)
-                a, b = place[some[i]], place[own[j]]
-                fresh = a != b
-                join(parent, a[fresh], b[fresh])
-            continue
-        d = distance(every[rows], tree.point[k])
-        left, mid = d <= tree.median[k], tree.median[k]
-        go_left = np.where(member, left, d - radius <= mid)
-        go_right = np.where(member, ~left | (d + radius > mid), d + radius > mid)
-        stack.append((k + 1, rows[go_left], member[go_left]))
-        stack.append((tree.right[k], rows[go_right], (member & ~left)[go_right]))
+    tree = Tree(members, -(-len(members) // GROUP), mask)
+    for _, rows, member in tree.homes(every, radius // PARTS, np.arange(len(every)) < len(members)):
+        own = rows[member]
+        step = max(1, PAIRS // max(1, len(own)))
+        for lo in range(0, len(rows) if len(own) else 0, step):
+            some = rows[lo : lo + step]
+            i, j = np.nonzero(np.bitwise_count(every[some][:, None] ^ every[own][None]) <= radius)
+            a, b = some[i], own[j]
+            fresh = a != b
+            join(parent, a[fresh], b[fresh])
 
 
 def links(nodes: DataFrame, count: int, radius: int) -> DataFrame:
@@ -183,14 +179,16 @@ def links(nodes: DataFrame, count: int, radius: int) -> DataFrame:
     spark = nodes.sparkSession
     leaves = min(VERTICES, -(-count // SHARD))
     sample = nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(5)), "fp").limit(min(SAMPLE, 64 * leaves + 1024)).toArrow()["fp"].to_numpy()
-    shared = spark.sparkContext.broadcast(Tree(sample.astype(np.int64).view(np.uint64), leaves))
+    trees = [Tree(sample.astype(np.int64).view(np.uint64), leaves, mask) for mask in masks(PARTS)]
+    shared = spark.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for leaf, rows, member in shared.value.homes(fp.view(np.uint64), radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), pa.array(~member), pa.array(node[rows]), pa.array(fp[rows])], ["shard", "asks", "node", "fp"])
+                for k, tree in enumerate(shared.value):
+                    for leaf, rows, member in tree.homes(fp.view(np.uint64), radius // PARTS):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf * PARTS + k)), pa.array(~member), pa.array(node[rows]), pa.array(fp[rows])], ["shard", "asks", "node", "fp"])
 
     dealt = stage(nodes.select("node", "fp").mapInArrow(deal, "shard long, asks boolean, node long, fp long"), "shards", narrow=True)
     # a shard of more members than planned is cut into parts; each part meets what asks there, and the members of later parts
@@ -212,7 +210,7 @@ def links(nodes: DataFrame, count: int, radius: int) -> DataFrame:
             if not len(m_node):
                 return
             parent = np.arange(len(m_node) + len(a_node))
-            near(m_fp.view(np.uint64), a_fp.view(np.uint64), len(m_node), parent, radius)
+            near(m_fp.view(np.uint64), a_fp.view(np.uint64), parent, radius, masks(PARTS)[of[0] % PARTS])
             root, node = roots(parent, np.arange(len(parent))), np.concatenate((m_node, a_node))
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
