@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import history, inline, tables
+from .plans import history, inline, streams, tables
 
-QUERIES: dict = tables.QUERIES | history.QUERIES | inline.QUERIES
-ORACLES: dict[str, str] = tables.ORACLES | history.ORACLES | inline.ORACLES
+QUERIES: dict = tables.QUERIES | history.QUERIES | streams.QUERIES | inline.QUERIES
+ORACLES: dict[str, str] = tables.ORACLES | history.ORACLES | streams.ORACLES | inline.ORACLES

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..sources.corpus import events_as_usage
 
 
-def usage_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """usage rows of an events folder as they arrive; the schema is taken from the files that are there."""
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """Rows of an events folder or file as they arrive; the schema is taken from the files that are there."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     raw = reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else reader.parquet(path)
-    return events_as_usage(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def usage_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """usage rows of an events folder as they arrive."""
+    return events_as_usage(events_stream(spark, path, files_per_trigger))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
