@@ -755,7 +755,7 @@ def test_best_fit_over_counts_is_best_fit(sizes):
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_packing_of_clustered_lengths_is_best_fit_over_all(spark, monkeypatch, broadcast):
     """Long texts in one partition and short ones in others: as tight as best-fit over all pieces at once."""
-    monkeypatch.setattr(packing, "BROADCAST_COUNTS", broadcast, raising=False)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", broadcast)
     own = random.Random(3)
     long = [(k, " ".join(["w"] * own.randrange(33, 47))) for k in range(5000)]
     short = [(10_000 + k, " ".join(["w"] * own.randrange(4, 23))) for k in range(9000)]
@@ -770,6 +770,25 @@ def test_packing_of_clustered_lengths_is_best_fit_over_all(spark, monkeypatch, b
     assert len(fills) == len(packing.best_fit([r["length"] for r in rows], 64))
 
 
+@pytest.mark.parametrize(("at_once", "most"), [(1500, 1.02), (300, 1.05)])
+def test_underfull_sequences_are_merged_up_a_tree(spark, monkeypatch, at_once, most):
+    monkeypatch.setattr(packing, "AT_ONCE", at_once)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 100)
+    own = random.Random(9)
+    texts = [(k % 2500, " ".join(["w"] * (own.randrange(30, 60) if k < 1500 else own.randrange(1, 25)))) for k in range(6000)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2), room=64, slack=0).collect()
+    at = defaultdict(list)
+    for r in rows:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in at.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 64
+    assert len(rows) == 6000 and len(at) <= most * len(packing.best_fit([r["length"] for r in rows], 64))
+
+
 # --- 9 quality
 
 

@@ -1,12 +1,18 @@
-"""Best-fit packing of token pieces into sequences over the counts of their lengths.
+"""Hierarchical best-fit packing of token pieces into sequences.
 
-A length is at most `room`, so the pieces of any input are at most `room` counts. Best-fit, largest first, over these
-counts gives kinds of sequences (how many of which lengths, and how many such sequences), the same as best-fit over all
-pieces at once; a piece then takes the slot that its rank among all pieces of its length has. Nothing is cut off: memory
-depends on `room` alone, however long and short pieces lie in the files.
+1. Pieces are dealt by a hash of their place over groups of about AT_ONCE. Each group is packed by best-fit, largest
+   first, in its task; as pieces of one length are alike, the plan is made over counts of lengths.
+2. Sequences with no more than `slack` tokens left are done. The underfull ones go on as items of their fill: they are
+   dealt over fewer groups and packed by best-fit again, up a tree, until one group is left at its root (or a round over
+   several groups joins hardly any, as when all are over half full).
+3. A piece's place is that in its first sequence, moved by those of the items that this one became part of.
+
+Memory is that of a group in each task; the driver only counts. Groups are alike however long and short texts lie in the
+files, so sequences are about as many as by best-fit over all pieces; with one group they are the same.
 
 Cases: a null or empty text is the end id alone; a null doc_id is packed like any other; repeated rows are packed each
-by itself; an empty table gives no rows. Ties of equal length go in order of partition and arrival.
+by itself; a text longer than `room` tokens is cut into pieces, however long; an empty table gives no rows; other columns
+are ignored, whatever their names. Pieces of equal length take places in no fixed order.
 """
 
 from __future__ import annotations
@@ -17,15 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import stage, table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A table of so many counts at most is broadcast after it has been counted; beyond that the join is a merge.
-BROADCAST_COUNTS = 50_000
+#: Items that a group is planned for.
+AT_ONCE = 16_384
+#: A table of so many rows at most is broadcast after it has been counted; beyond that the join is a merge.
+BROADCAST_ROWS = 50_000
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -111,47 +119,80 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, room: int = 4096) -> DataFrame:
-    """Per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    path = vocabulary or tokens.default_vocabulary()
-    piece = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    cut_schema = pa.schema([*piece, ("part", pa.int32()), ("nth", pa.int64())])
-    out_schema = pa.schema([*piece, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+def packed(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, offset, fill of the sequence) of items by best-fit, largest first."""
+    values, count = np.unique(sizes, return_counts=True)
+    size, first, each, sequence, at = np.ascontiguousarray(slots(dict(zip(values.tolist(), count.tolist(), strict=True)), room).T)
+    order = np.argsort(sizes, kind="stable")
+    rank = np.empty(len(sizes), np.int64)
+    rank[order] = np.arange(len(sizes)) - np.repeat(np.cumsum(count) - count, count)
+    k = np.searchsorted(size << 48 | first, sizes << 48 | rank, "right") - 1
+    q, r = np.divmod(rank - first[k], each[k])
+    into, offset = sequence[k] + q, at[k] + r * sizes
+    return into, offset, np.bincount(into, weights=sizes).astype(np.int64)[into]
+
+
+def by_groups(items: DataFrame, size: str, groups: int, room: int) -> DataFrame:
+    """items with bin, offset and fill, packed within groups by a hash of `item`, the items' identifier."""
+    kept = items.columns
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in items.schema)}, bin long, offset long, fill long"
+
+    def run(rows: pa.Table) -> pa.Table:
+        into, offset, fill = packed(rows.column(size).to_numpy().astype(np.int64), room)
+        number = rows.column("_group")[0].as_py() << 32
+        out = rows.select(kept)
+        for name, column in (("bin", into + number), ("offset", offset), ("fill", fill)):
+            out = out.append_column(name, pa.array(column))
+        return out
+
+    dealt = items.withColumn("_group", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("long"))
+    return dealt.groupBy("_group").applyInArrow(run, schema)
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, room: int = 4096, slack: int | None = None) -> DataFrame:
+    """Per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    slack: tokens that may be left in a sequence that is done, a 128th of room if not given.
+    """
+    path, slack = vocabulary or tokens.default_vocabulary(), room // 128 if slack is None else slack
+    cut_schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("item", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            part, seen = TaskContext.get().partitionId(), [0] * (room + 1)
+            item = TaskContext.get().partitionId() << 40
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 for k, ids in tokens.encoded(batch.column(1), path):
                     for n, lo in enumerate(range(0, len(ids), room)):
                         own = ids[lo : lo + room]
-                        yield doc_ids[k], n, lo, len(own), tokens.crc(own), part, seen[len(own)]
-                        seen[len(own)] += 1
+                        yield doc_ids[k], n, lo, len(own), tokens.crc(own), item
+                        item += 1
 
         return _batches(rows(), cut_schema)
 
-    pieces = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECE}, part int, nth long"), "pieces")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts", narrow=True)
-    sizes = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    table_of_slots = slots({r["length"]: r["n"] for r in sizes}, room)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, first, each, sequence, at = np.ascontiguousarray(table_of_slots.T)
-        keys = size << 48 | first
-        for batch in batches:
-            if batch.num_rows:
-                length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-                k = np.searchsorted(keys, length << 48 | rank, "right") - 1
-                q, r = np.divmod(rank - first[k], each[k])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[k] + q), pa.array(at[k] + r * length)], schema=out_schema)
-
-    base = counts.select("part", "length", "base")
-    base = F.broadcast(base) if sum(r["rows"] for r in sizes) <= BROADCAST_COUNTS else base.hint("merge")
-    ranked = pieces.join(base, ["part", "length"]).select(*out_schema.names[:5], (F.col("nth") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(place, f"{PIECE}, sequence_id long, offset long")
+    groups_of = lambda n: max(1, -(-n // AT_ONCE))
+    pieces = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECE}, item long"), "pieces")
+    groups = groups_of(pieces.count())
+    placed = stage(by_groups(pieces, "length", groups, room), "packed", narrow=True)
+    rounds: list[DataFrame] = []  # (item, bin, offset): where underfull sequences went
+    left = placed.where((F.col("offset") == 0) & (F.col("fill") < room - slack)).select(F.col("bin").alias("item"), "fill")
+    while groups > 1:
+        n = left.count()
+        groups = min(groups - 1, groups_of(n))
+        # numbers of a round's sequences don't meet those of rounds before
+        merged = by_groups(left.withColumnRenamed("fill", "size"), "size", groups, room).withColumn("bin", F.col("bin") + F.lit((len(rounds) + 1) << 56))
+        merged = stage(merged, "merged", narrow=True)
+        rounds.append(merged.select("item", "bin", "offset"))
+        fresh = merged.where("offset = 0")
+        if groups > 1 and fresh.count() > 0.99 * n:
+            break
+        left = fresh.where(F.col("fill") < room - slack).select(F.col("bin").alias("item"), "fill")
+    out = placed.select(*cut_schema.names[:5], F.col("bin").alias("sequence_id"), "offset")
+    for moved in rounds:
+        step = moved.select(F.col("item").alias("sequence_id"), F.col("bin").alias("_bin"), F.col("offset").alias("_offset"))
+        step = F.broadcast(step) if step.count() <= BROADCAST_ROWS else step.hint("merge")
+        out = out.join(step, "sequence_id", "left").select(*cut_schema.names[:5], F.coalesce("_bin", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_offset", F.lit(0))).alias("offset"))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
