@@ -8,6 +8,7 @@ suffix of the corpus would move many times its bytes, so suffixes are sampled by
 2. Anchors are grouped by hash. An occurrence whose whole context also occurs in a smaller document is settled at once,
    by the task that finds it if that has seen both, so a very common passage is shuffled as one row a task. What is left
    of a group with two or more different contexts goes on, one document for each context.
+   Contexts are the same here if both their anchors' and their own 64-bit hashes are.
 3. The windows of these contexts are ordered by deep-shallow sorting: multikey quicksort by 8-byte digits down to a
    shallow depth, then blind tries over the groups that still share a long prefix, which look at branching digits only.
    Neighbours equal to full depth form a class, and all but the smallest document's windows in it are removed.
@@ -85,51 +86,103 @@ def anchors(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, n
     return text, at - offs[text], h[at], ctx
 
 
+class Digits:
+    """The 8 bytes of suffixes from a depth on as integers that order as the bytes do; bytes beyond the full depth are cut off."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, depth: int) -> None:
+        self.eight, self.starts, self.depth = np.lib.stride_tricks.sliding_window_view(buf, 8), starts, depth
+
+    def __call__(self, which: np.ndarray, d: np.ndarray) -> np.ndarray:
+        key = np.ascontiguousarray(self.eight[self.starts[which] + d]).view(">u8").ravel().astype(np.uint64)
+        return key >> (8 * np.maximum(0, d + 8 - self.depth)).astype(np.uint64)
+
+
+def _several(live: np.ndarray, fresh: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+    """Of the places those whose segment has other members and isn't known up to depth."""
+    begins = fresh[live]
+    alone = begins & np.concatenate((begins[1:], [True]))
+    return live[~alone & (known[live] < depth)]
+
+
+def multikey_quicksort(digit: Digits, order: np.ndarray, fresh: np.ndarray, known: np.ndarray, depth: int) -> None:
+    """Orders the suffixes of each segment up to depth. A round parts every open segment in three around a pivot digit of
+    its own: those below and above it go on at the same depth, those equal to it 8 bytes deeper.
+
+    order: suffixes; fresh: whether a segment begins at a place; known: how deep the suffix there is known. All change.
+    """
+    live = _several(np.arange(len(order)), fresh, known, depth)
+    while len(live):
+        first = np.flatnonzero(fresh[live])
+        size = np.diff(np.concatenate((first, [len(live)])))
+        of = np.repeat(np.arange(len(first)), size)
+        key = digit(order[live], known[live])
+        pivot = np.sort(np.stack((key[first], key[first + size // 2], key[first + size - 1])), axis=0)[1][of]
+        side = 1 + (key > pivot) - (key < pivot).astype(np.int64)
+        cell = of * 3 + side
+        count = np.bincount(cell, minlength=3 * len(first))
+        base = np.cumsum(count) - count
+        to = np.empty(len(live), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            own = of[mine]
+            began = np.searchsorted(own, np.arange(len(first)))
+            to[mine] = base[cell[mine]] + np.arange(len(mine)) - began[own]
+        place = live[to]
+        order[place], known[place] = order[live], known[live] + 8 * (side == 1)
+        fresh[live[base[count > 0]]] = True
+        live = _several(live, fresh, known, depth)
+
+
+def blind_tries(digit: Digits, order: np.ndarray, fresh: np.ndarray, known: np.ndarray, depth: int) -> None:
+    """Orders the suffixes of each segment to full depth by tries that keep no text: only where, and by which digit, suffixes branch.
+
+    A round takes the first suffix of every open segment as a spine and finds how far each other one follows it. A suffix
+    that leaves it at some depth hangs there by its branching digit: in order, those below the spine from its top down,
+    the spine with all that equal it, those above it from its end up. Suffixes that hang by the same digit are a subtrie
+    and go on as a segment with a spine of their own.
+    """
+    live = _several(np.arange(len(order)), fresh, known, depth)
+    while len(live):
+        first = np.flatnonzero(fresh[live])
+        size = np.diff(np.concatenate((first, [len(live)])))
+        of = np.repeat(np.arange(len(first)), size)
+        mine, spine = order[live], order[live[first]][of]
+        leaves, branch, side = known[live].copy(), np.zeros(len(live), np.uint64), np.ones(len(live), np.int64)
+        follows = np.flatnonzero(mine != spine)
+        while len(follows):
+            key, along = digit(mine[follows], leaves[follows]), digit(spine[follows], leaves[follows])
+            off = key != along
+            gone = follows[off]
+            branch[gone], side[gone] = key[off], np.where(key[off] < along[off], 0, 2)
+            follows = follows[~off]
+            leaves[follows] += 8
+            follows = follows[leaves[follows] < depth]
+        leaves[side == 1] = depth
+        o = np.lexsort((branch, np.where(side == 2, -leaves, leaves), side, of))
+        order[live], known[live] = mine[o], np.where(side == 1, depth, leaves + 8)[o]
+        cells = np.stack((of[o], side[o], leaves[o]))
+        apart = (cells[:, 1:] != cells[:, :-1]).any(0) | (branch[o][1:] != branch[o][:-1])
+        fresh[live[1:][apart]] = True
+        live = _several(live, fresh, known, depth)
+
+
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int, group: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at starts by their first depth bytes (within ascending groups), and a class number for each
     in that order; equal numbers mean equal to full depth. buf has 8 bytes of padding at least behind the last suffix.
+
+    Multikey quicksort up to the shallow depth, then blind tries for what shares a longer prefix.
     """
     n = len(starts)
-    order = np.arange(n)
-    cls = np.zeros(n, np.int64) if group is None else group.astype(np.int64)
-    if group is not None and n:
-        order = np.argsort(cls, kind="stable")
-        cls = cls[order]
-        cls = np.concatenate(([0], np.cumsum(cls[1:] != cls[:-1])))
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-
-    def digit(which: np.ndarray, d: int) -> np.ndarray:
-        key = np.ascontiguousarray(eight[starts[which] + d]).view(">u8").ravel().astype(np.uint64)
-        return key >> np.uint64(8 * max(0, d + 8 - depth))
-
-    live = np.arange(n)  # places in order whose class has other members
-    for d in range(0, depth, 8):
-        if n < 2:
-            break
-        c = cls[live]
-        same = np.concatenate(([False], c[1:] == c[:-1]))
-        same[:-1] |= same[1:].copy()
-        live = live[same]
-        if not len(live):
-            break
-        c, key = cls[live], digit(order[live], d)
-        if d >= shallow:
-            # blind trie: a node exists only where a group's members differ; the others skip this digit unsorted
-            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            branch = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
-            inside = np.repeat(branch, np.diff(np.concatenate((first, [len(c)]))))
-            places, c, key = live[inside], c[inside], key[inside]
-        else:
-            places = live
-        if not len(places):
-            continue
-        o = np.lexsort((key, c))
-        order[places] = order[places][o]
-        key = key[o]
-        split = np.zeros(n, np.int64)
-        split[places[1:]] = (c[1:] == c[:-1]) & (key[1:] != key[:-1])
-        cls = cls + np.cumsum(split)
-    return order, cls
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.arange(n) if group is None else np.argsort(group, kind="stable")
+    fresh, known, digit = np.zeros(n, bool), np.zeros(n, np.int64), Digits(buf, starts, depth)
+    fresh[0] = True
+    if group is not None:
+        fresh[1:] = group[order][1:] != group[order][:-1]
+    multikey_quicksort(digit, order, fresh, known, min(shallow, depth))
+    blind_tries(digit, order, fresh, known, depth)
+    return order, np.cumsum(fresh) - 1
 
 
 def candidate_anchors(docs: DataFrame, size: int) -> DataFrame:
