@@ -74,6 +74,17 @@ def test_salted_join_is_a_join(spark):
         assert got == Counter(tuple(r) for r in left.join(right, "key", how).select("id", "key", "v").collect())
 
 
+def test_all_of_many_hot_keys_are_dealt_out(spark):
+    """1,000 hot keys: no slice of a key has far more than its share of rows."""
+    left = spark.range(200_000).select("id", F.pmod("id", F.lit(1000)).alias("key"))
+    hot = common.hot_keys(left, "key", 50)
+    assert Counter(r["_slices"] for r in hot.collect()) == {4: 1000}
+    dealt = left.join(hot, "key").withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")))
+    assert dealt.groupBy("key", "_slice").count().agg(F.max("count")).first()[0] <= 2 * 50
+    right = spark.range(1000).select(F.col("id").alias("key"), F.lit(1).alias("v"))
+    assert common.salted_join(left, right, "key", ["id"], slice_rows=50).count() == 200_000
+
+
 def test_components_against_union_find(spark):
     r = random.Random(3)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 230)] + [(500, k) for k in range(501, 540)] + [(7, 7), (None, 1)]

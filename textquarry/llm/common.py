@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys kept in a hot list. Any key outside the list has at most 1/(HOT_KEYS+1) of the rows.
-HOT_KEYS = 256
+#: Keys in a hot list at most, a few MB of broadcast. Every key of more than a slice's rows is in it, unless there are more
+#: of these than HOT_KEYS; then a key outside the list has at most 1/(HOT_KEYS+1) of the rows.
+HOT_KEYS = 100_000
 #: Rows of one hot key that go to one slice.
 SLICE_ROWS = 2048
 #: Separators of words: space and the ASCII controls tab to carriage return.
@@ -71,17 +72,17 @@ def tidy(spark: SparkSession) -> None:
 
 
 def hot_keys(left: DataFrame, key: str, slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """(key, _slices) of the keys with the most rows: at most `most` rows, whatever the input's size."""
+    """(key, _slices) of the keys with more than slice_rows rows: the `most` largest of them, whatever the input's size."""
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n"), F.col(key)).limit(most).where(F.col("_n") > slice_rows)
+    top = counts.where(F.col("_n") > slice_rows).orderBy(F.desc("_n"), F.col(key)).limit(most)
     return top.select(key, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_on: list[str], how: str = "inner", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """left many-to-one right on key. Rows of hot keys are dealt over slices by a hash of salt_on; right's rows of these keys are repeated once a slice.
 
-    The hot list has at most HOT_KEYS rows, so its broadcast is bounded; every other key has at most 1/(HOT_KEYS+1) of
-    the rows. Null keys match nothing; a left join keeps them, dealt out by the same hash.
+    The hot list has at most HOT_KEYS rows, so its broadcast is bounded; every other key has at most slice_rows rows (or
+    1/(HOT_KEYS+1) of all, if that is more). Null keys match nothing; a left join keeps them, dealt out by the same hash.
     """
     hot = hot_keys(left, key, slice_rows)
     mine = left.join(F.broadcast(hot), key, "left").withColumn("_slice", F.when(F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*salt_on), F.col("_slices"))).when(F.col(key).isNull(), F.xxhash64(*salt_on)).otherwise(F.lit(0)).cast("long")).drop("_slices")

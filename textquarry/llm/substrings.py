@@ -14,7 +14,7 @@ suffix of the corpus would move many times its bytes, so suffixes are sampled by
    Neighbours equal to full depth form a class, and all but the smallest document's windows in it are removed.
 
 Whole copies of a smaller document's text are settled before step 1. Ordering within a task goes in slabs of whole anchor
-groups; a large group is ordered one offset at a time. The anchors with the most contexts (at most HOT_KEYS) are dealt
+groups; a large group is ordered one offset at a time. The anchors with more than HOT contexts are dealt
 over tasks SIDES times, each time for the windows whose anchor stands in one part of the offsets, by the bytes on both
 sides that all these windows hold, so windows that are equal still meet.
 
