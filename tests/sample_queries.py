@@ -1,4 +1,4 @@
-"""Queries over the sample trees; their oracles are the expected rows as VALUES."""
+"""Operators over small sample trees, and the rows that are expected of them (tests/sample_rows.py)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import category_of, is_code, language_of
-from ..operators import change, formats, metrics, parsers, project, scans, settings, symbols
-from ..sources import samples
-from .expected import ROWS
+import sample_trees as samples
+from sample_rows import ROWS
+
+from textquarry.functions.text import category_of, is_code, language_of
+from textquarry.operators import change, formats, metrics, parsers, project, scans, settings, symbols
 
 Make = Callable[[SparkSession], DataFrame]
 
@@ -157,5 +158,4 @@ def _values(columns: list[tuple[str, str]], rows: list[tuple]) -> str:
     return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
 
 
-QUERIES = {name: lambda s, d, make=make: make(s) for name, make in MAKE.items()}
 ORACLES = {name: _values(*ROWS[name]) for name in MAKE if name in ROWS}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expanded, terms, terms_of, token_estimate
+from ..rules.concepts import CONCEPTS
 from ..sources.corpus import lines_of
 from .shared import checkpointed
 
@@ -132,3 +133,11 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Itera
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def expanded_queries(queries: DataFrame) -> DataFrame:
+    """query, term: the terms of each query and all synonyms of the concepts that they belong to; many queries at once."""
+    spark = queries.sparkSession
+    concepts = F.broadcast(spark.createDataFrame([(t, synonyms) for c, synonyms in CONCEPTS.items() for t in dict.fromkeys([c, *synonyms])], "term string, synonyms array<string>"))
+    own = queries.select("query").distinct().select("query", F.explode(terms(F.col("query"))).alias("term"))
+    return own.union(own.join(concepts, "term").select("query", F.explode("synonyms"))).distinct()

@@ -8,7 +8,7 @@ from ..functions.text import expanded, terms, token_estimate
 from ..operators import change, metrics, project, ranking, scans, search, symbols
 from ..rules import lines as R
 from ..rules import symbols as S
-from ..rules.concepts import STOP_WORDS
+from ..rules.concepts import CONCEPTS, STOP_WORDS
 from ..sources.corpus import lines_of
 from .common import DOCS, LINES, PAGES, USAGE, doc_files, mark_count, page_files, quoted, table, trimmed, usage, word_count
 
@@ -126,7 +126,12 @@ register(
     idf AS (SELECT term, CASE WHEN ln(n / (1 + df)) = 0 THEN 1 ELSE ln(n / (1 + df)) END AS w FROM (SELECT unnest(terms) AS term, count(*) AS df FROM own GROUP BY 1), (SELECT count(*) AS n FROM files))
     SELECT path, round(sum(w), 6) AS score, string_agg(term, ' ' ORDER BY term) AS matched FROM (SELECT path, unnest(terms) AS term FROM own) JOIN idf USING (term) GROUP BY path HAVING sum(w) > 0 ORDER BY score DESC, path LIMIT 20""",
 )
-register("expand_query", lambda s, d: s.createDataFrame([(w,) for w in expanded(QUERY)], "term string"), f"SELECT unnest([{_WANTED}]) AS term")
+_SYNONYMS = ", ".join(f"({quoted(t)}, [{', '.join(map(quoted, synonyms))}])" for c, synonyms in CONCEPTS.items() for t in dict.fromkeys([c, *synonyms]))
+register(
+    "expand_query",
+    lambda s, d: ranking.expanded_queries(table(s, d, "events").select(F.concat_ws(" ", "event_type", F.lit("cache")).alias("query"))),
+    f"WITH c(term, synonyms) AS (VALUES {_SYNONYMS}), q AS (SELECT DISTINCT event_type || ' cache' AS query, unnest([event_type, 'cache']) AS term FROM events) SELECT * FROM q UNION SELECT query, unnest(synonyms) FROM q JOIN c USING (term)",
+)
 register("token_estimates", lambda s, d: doc_files(s, d).select("path", token_estimate(F.col("content")).alias("tokens")), f"WITH {DOCS} SELECT path, ceil(length(content) / 4)::BIGINT AS tokens FROM files")
 REGIONS = "regions AS (SELECT path, greatest(1, line_no - 2) AS start_line, line_no + 2 AS end_line FROM lines WHERE contains(text, 'that'))"
 register(
