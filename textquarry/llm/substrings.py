@@ -39,9 +39,11 @@ from .common import hot_keys, salted_join, spread, stage, table
 
 ANCHOR = 20
 SHALLOW = 16
-SLAB = 40_000
+SLAB = 10_000
 #: Anchors that a task gathers before it settles what it can by itself; contexts of one anchor beyond which it is dealt out.
-GATHER, HOT = 1_000_000, 4096
+GATHER, HOT = 500_000, 4096
+#: Bytes of text whose anchors are found at a time.
+ANCHOR_CHUNK = 1 << 18
 #: Parts of the offsets of an anchor in its windows.
 SIDES = 4
 #: A side of at most so many rows is broadcast after it has been counted.
@@ -210,7 +212,7 @@ def candidate_anchors(docs: DataFrame, size: int) -> DataFrame:
         rows = 0
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for lo, _, buf, offs in K.chunks(batch.column(1)):
+            for lo, _, buf, offs in K.chunks(batch.column(1), ANCHOR_CHUNK):
                 text, pos, h, ctx = anchors(buf, offs, size)
                 held.append((h, ctx, ids[text + lo], tags[text + lo] << 32 | pos))
                 rows += len(h)
