@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import change, formats, metrics, parsers, project, settings, symbols
+from ..operators import books, change, formats, metrics, parsers, project, routers, settings, symbols
 from ..rules import web as W
 from . import tree as T
 from .common import quoted, table
@@ -405,3 +405,48 @@ register(
     m AS (SELECT DISTINCT 'src/' || a.folder || '/p' || a.k::VARCHAR || '.ts' AS path, '../' || b.folder || '/p' || b.k::VARCHAR AS import_path, a.folder AS f, b.folder AS t FROM x JOIN g a USING (k) JOIN g b ON b.k = x.dst WHERE l_discount = 0)
     SELECT path, import_path, 'no-controller-in-model' AS rule, 'error' AS severity FROM m WHERE f = 'controllers' AND t = 'models' UNION ALL SELECT path, import_path, 'no-upward-dependency', 'warning' FROM m WHERE f = 'utils' AND t = 'controllers'""",
 )
+
+
+# cells of the notebooks, whatever shape their outputs have
+def _cells(s, d) -> DataFrame:
+    return books.cells(_notebooks(s, d))
+
+
+CELLS = """cells AS (SELECT 'c' || conv_id::VARCHAR || '.ipynb' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS cell, turn, role = 'assistant' AS code, text, length(text) AS len,
+CASE WHEN role = 'assistant' AND length(text) % 5 <> 0 THEN CASE WHEN length(text) % 11 = 0 THEN 1 ELSE turn + 1 END END AS nr FROM conversations)"""
+register(
+    "notebook_cells",
+    lambda s, d: _cells(s, d).withColumn("source", F.sha2("source", 256)),
+    f"""WITH {CELLS} SELECT path, cell, CASE WHEN code THEN 'code' ELSE 'markdown' END AS kind, sha256(CASE WHEN code THEN 'import m' || turn::VARCHAR || chr(10) || 'x = 1' ELSE text END) AS source, nr AS execution_count,
+    CASE WHEN code AND len % 7 = 0 THEN 'error' ELSE '' END AS outputs, CASE WHEN code AND len % 7 = 0 THEN 'E: v' ELSE '' END AS error FROM cells""",
+)
+register(
+    "notebook_code",
+    lambda s, d: books.extracted_code(_cells(s, d)),
+    f"WITH {CELLS} SELECT path, string_agg('# cell ' || cell::VARCHAR || chr(10) || 'import m' || turn::VARCHAR || chr(10) || 'x = 1', chr(10) || chr(10) ORDER BY cell) AS code FROM cells WHERE code GROUP BY path",
+)
+register(
+    "notebook_disorder",
+    lambda s, d: books.execution_order(_cells(s, d)),
+    f"WITH {CELLS}, w AS (SELECT path, cell, nr AS execution_count, max(nr) OVER (PARTITION BY path ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cells WHERE nr IS NOT NULL) SELECT * FROM w WHERE execution_count <= before",
+)
+
+
+# routers: an application mounts one for each region, that one for each nation, and that has a route for each customer
+def _routers(s, d) -> DataFrame:
+    region, nation = table(s, d, "region"), table(s, d, "nation")
+    uses = lambda kind, k: _text("const ", kind, k, "Router = require('./", kind, k, "');\napp.use('/", kind, k, "', ", kind, k, "Router);")
+    head, tail = "const express = require('express');\nconst app = express.Router();\n", "\nmodule.exports = app;"
+    top = region.agg(_text(head, _joined(uses("r", F.col("r_regionkey"))), tail).alias("content")).select(F.lit("web/app.js").alias("path"), "content")
+    middle = nation.groupBy("n_regionkey").agg(_text(head, _joined(uses("n", F.col("n_nationkey"))), tail).alias("content")).select(_text("web/r", F.col("n_regionkey"), ".js").alias("path"), "content")
+    line = F.when(F.col("method") == "patch", _text("app.route('", F.col("route"), "').get(read).patch(write);")).otherwise(_text("app.", F.col("method"), "('", F.col("route"), "', handler);"))
+    leaves = _customers(s, d).groupBy("c_nationkey").agg(_text(head, _joined(line), tail).alias("content")).select(_text("web/n", F.col("c_nationkey"), ".js").alias("path"), "content")
+    return top.unionByName(middle).unionByName(leaves)
+
+
+register(
+    "mounted_routes",
+    lambda s, d: routers.mounted_routes(_routers(s, d)),
+    f"""WITH c AS (SELECT 'web/n' || c_nationkey::VARCHAR || '.js' AS path, {_METHOD} AS method, '/r' || n_regionkey::VARCHAR || '/n' || n_nationkey::VARCHAR || '/c/' || c_custkey::VARCHAR AS route FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT path, upper(method) AS method, route FROM c UNION ALL SELECT path, 'GET', route FROM c WHERE method = 'patch'""",
+)
