@@ -29,15 +29,24 @@ def security_scan(files: DataFrame, rules: list[RuleRow] | None = None, severity
     """path, line_no, rule, category, severity, snippet of every rule that a line breaks.
 
     Lines that begin as comments are skipped. All rules are one array expression, so each line is read once; rules of
-    plugins are rows added to `rules`. Files that no rule matches at all leave before their lines are made.
+    plugins are rows added to `rules`. A rule's pattern is tried only on files and lines that hold one of its literals
+    (rules.lines.LITERALS), and files that no rule matches at all leave before their lines are made.
     """
     used = [r for r in rules or R.SECURITY if (severity is None or r[2] == severity) and (category is None or r[1] == category)]
     p = lambda r: ("(?i)" if r[4] else "") + r[3]
     t = trimmed(F.col("text"))
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p(r)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity"))) for r in used]))
+
+    def breaks(r: RuleRow, text: Column) -> Column:
+        literals, own = R.LITERALS.get(r[0], []), F.lower(text) if r[4] else text
+        held = F.lit(not literals)
+        for x in literals:
+            held = held | F.contains(own, F.lit(x))
+        return held & text.rlike(p(r))
+
+    hits = F.array_compact(F.array(*[F.when(breaks(r, F.col("text")), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity"))) for r in used]))
     any_rule = F.lit(False)
     for r in used:
-        any_rule = any_rule | F.col("content").rlike(p(r))
+        any_rule = any_rule | breaks(r, F.col("content"))
     found = lines_of(files.where(any_rule)).where(~t.rlike(r"^(//|#|\*)")).select("path", "line_no", F.explode(hits).alias("x"), F.substr(t, F.lit(1), F.lit(120)).alias("snippet"))
     return found.select("path", "line_no", "x.rule", "x.category", "x.severity", "snippet")
 

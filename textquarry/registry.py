@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import history, reports, streams, tables, tree
+from .plans import history, reports, stored, streams, tables, tree
 
-QUERIES: dict = tables.QUERIES | history.QUERIES | streams.QUERIES | tree.QUERIES | reports.QUERIES
-ORACLES: dict[str, str] = tables.ORACLES | history.ORACLES | streams.ORACLES | tree.ORACLES | reports.ORACLES
+QUERIES: dict = tables.QUERIES | history.QUERIES | streams.QUERIES | tree.QUERIES | reports.QUERIES | stored.QUERIES
+ORACLES: dict[str, str] = tables.ORACLES | history.ORACLES | streams.ORACLES | tree.ORACLES | reports.ORACLES | stored.ORACLES

@@ -33,6 +33,25 @@ SECURITY: list[tuple[str, str, str, str, bool]] = [
     ("JWT without verification", "auth", "high", r"jwt\.decode\s*\([^)]*verify\s*=\s*False|algorithms\s*=\s*\[\s*['\"]none['\"]", False),
 ]
 
+#: Of each security rule literals of which a line that breaks it holds one; in lower case if the rule ignores case.
+LITERALS: dict[str, list[str]] = {
+    "SQL injection risk": ["${", "%s", "%d", "+"],
+    "Command injection risk": ["exec", "spawn", "system", "popen", "subprocess."],
+    "Potential XSS via innerHTML": [".innerHTML", "dangerouslySetInnerHTML", "v-html"],
+    "Hardcoded secret/credential": ["password", "secret", "api_key", "apikey", "token", "private_key", "access_key"],
+    "Credential in URL": ["://"],
+    "Insecure randomness": ["Math.random()", "random.random()", "rand()"],
+    "Weak hash algorithm (MD5/SHA1)": ["createHash", "hashlib.", "MD5", "SHA1"],
+    "Dangerous eval() usage": ["eval", "Function"],
+    "CORS wildcard origin": ["Access-Control-Allow-Origin", "cors"],
+    "Open redirect risk": ["redirect", "location"],
+    "TLS/SSL verification disabled": ["verify", "rejectUnauthorized", "NODE_TLS_REJECT_UNAUTHORIZED"],
+    "Debug mode enabled": ["DEBUG", "debug"],
+    "Swallowed security exception": ["catch", "except:"],
+    "Path traversal risk": ["path.join", "path.resolve"],
+    "JWT without verification": ["jwt.decode", "algorithms"],
+}
+
 # Files that should not be in a tree; all high, secrets.
 INSECURE_FILES = [".env", "id_rsa", "id_ed25519", ".npmrc", ".pypirc"]
 
