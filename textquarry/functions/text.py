@@ -60,11 +60,17 @@ def category_of(language: Column) -> Column:
 QUOTED = r"'[^']*'|\"[^\"]*\"|`[^`]*`"
 
 
+#: A run of letters and digits up to where a capital follows a small letter.
+TERM = r"[A-Za-z0-9](?:[a-z0-9]|(?<![a-z])[A-Z])*"
+
+
 def terms(text: Column) -> Column:
-    """Distinct lower-case terms of more than two characters: quoted spans go, camel case and punctuation split."""
-    x = F.regexp_replace(text, QUOTED, "")
-    x = F.regexp_replace(F.regexp_replace(x, "([a-z])([A-Z])", "$1 $2"), "[^a-zA-Z0-9]+", " ")
-    return F.array_distinct(F.array_except(F.filter(F.split(F.lower(x), " +"), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP_WORDS])))
+    """Distinct lower-case terms of more than two characters: quoted spans go, camel case and punctuation split.
+
+    Words are made distinct before they are lower-cased and compared with the stop words.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, QUOTED, ""), F.lit(TERM), F.lit(0)))
+    return F.array_except(F.transform(F.filter(words, lambda w: F.length(w) > 2), F.lower), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def terms_of(text: str) -> list[str]:
