@@ -96,7 +96,7 @@ MAKE: dict[str, Make] = {
     "security_scan_code": lambda s: scans.security_scan(code(s)),
     "plugin_rules": _plugin_rules,
     "diff_symbols": lambda s: change.changed_symbols(diffs(s)),
-    "categorize_diff": lambda s: change.categorised(diffs(s)),
+    "categorize_diff": lambda s: change.categorised(diffs(s)).drop("indicators"),
     "change_impact": _impact,
     "affected_tests": lambda s: change.affected_tests(code(s), _impact(s), s.createDataFrame([("src/runner.ts",)], "path string")),
     "change_risk": lambda s: change.risk(_impact(s), _changed(s)[1]),

@@ -76,3 +76,15 @@ def test_needles_by_line_and_in_several_passes(spark, monkeypatch):
         assert {tuple(r) for r in needles.holds(files, asked).collect()} == {("a", 1, 2), ("a", 6, 2), ("a", 2, 2), ("a", 3, 3), ("b", 2, 1), ("d", 7, 1)}
         assert {tuple(r) for r in needles.holds(files, asked, True).where("path = 'a'").collect()} == {("a", 1, 1, 1), ("a", 1, 2, 1), ("a", 6, 1, 1), ("a", 6, 2, 1), ("a", 2, 1, 1), ("a", 2, 2, 1), ("a", 3, 3, 3)}
     assert needles.holds(files, asked.limit(0)).count() == 0
+
+
+def test_bodies_end_where_they_end(spark):
+    from textquarry.operators import symbols
+
+    python = "\n".join(f"def f{k}(a, b):\n    x = {{1: a}}\n\n    return x\n" for k in range(300))
+    script = "function aa(x) {\n  if (x) {\n    y();\n  }\n}\nconst g = 1;\nfunction bb()\n{\n  z();\n}\n"
+    files = spark.createDataFrame([("m.py", "python", python), ("s.js", "javascript", script)], "path string, language string, content string")
+    found = symbols.bodies(files).where("path = 'm.py'").collect()
+    assert len(found) == 300 and all(r["content"].count("\n") == 3 and r["content"].endswith("return x") and r["params"] == 2 for r in found)
+    js = {r["name"]: r["content"] for r in symbols.bodies(files).where("path = 's.js'").collect()}
+    assert js["aa"].endswith("}\n}") and js["aa"].count("\n") == 4

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, half_up
+from ..rules import changes as R
 from ..sources.corpus import lines_of
 
 # Definitions that a diff line adds or removes.
@@ -80,21 +81,21 @@ def changed_symbols(diffs: DataFrame) -> DataFrame:
 
 
 def categorised(diffs: DataFrame) -> DataFrame:
-    """diff_id, category, confidence: scores of refactor, bugfix, feature and breaking; the first of the highest wins."""
-    lines = F.split("content", "\n")
-    up, down = F.size(F.filter(lines, lambda x: x.startswith("+"))), F.size(F.filter(lines, lambda x: x.startswith("-")))
-    has = lambda p: F.col("content").rlike(f"(?i){p}")
-    balanced = (up > 0) & (down > 0) & (F.abs(up - down) < F.greatest(up, down) * 0.3)
-    scores = [
-        ("refactor", F.when(balanced, 3).otherwise(0)),
-        ("bugfix", F.when(has("fix|bug|patch|hotfix|issue|error|crash|null|undefined|NaN"), 2).otherwise(0)),
-        ("feature", F.when(up > down * 3, 3).otherwise(0) + F.when(has("feat|feature|add|new|implement|create|introduce"), 2).otherwise(0)),
-        ("breaking", F.when(has("BREAKING|removed|deprecated|renamed"), 3).otherwise(0)),
-    ]
-    best = F.greatest(*(s for _, s in scores))
-    category = F.coalesce(*[F.when(s == best, F.lit(n)) for n, s in scores])
-    total = sum((s for _, s in scores), F.lit(0))
-    return diffs.select("diff_id", category.alias("category"), F.when(total > 0, half_up(best * 100 / total)).otherwise(F.lit(0).cast("long")).alias("confidence"))
+    """diff_id, category, confidence, indicators: the category with the most points of rules.changes, and its share of all points.
+
+    What speaks for a diff is an array of (category, points, indicator); points are summed a category. Without any points
+    the first category stands with no confidence.
+    """
+    count = lambda sign: F.size(F.filter(F.split("content", "\n"), lambda x: x.startswith(sign)))
+    given = diffs.withColumns({"up": count("+"), "down": count("-")})
+    sign = lambda category, points, indicator: F.struct(F.lit(category).alias("category"), F.lit(points).alias("points"), F.lit(indicator).alias("indicator"))
+    seen = [F.when(F.expr(condition), sign(*rest)) for *rest, condition in R.MEASURES] + [F.when(F.col("content").rlike(f"(?i){words}"), sign(*rest)) for *rest, words in R.WORDS]
+    said = given.select("diff_id", F.array_compact(F.array(*seen)).alias("signs"))
+    of = lambda category: F.aggregate(F.filter("signs", lambda x: x["category"] == category), F.lit(0), lambda n, x: n + x["points"])
+    ranked = F.array(*[F.struct(of(c).alias("points"), F.lit(-k).alias("place"), F.lit(c).alias("category")) for k, c in enumerate(R.CATEGORIES)])
+    best, total = F.array_max(ranked), F.aggregate("signs", F.lit(0), lambda n, x: n + x["points"])
+    found = said.select("diff_id", best.alias("best"), total.alias("total"), F.transform("signs", lambda x: x["indicator"]).alias("indicators"))
+    return found.select("diff_id", F.col("best.category"), F.when(F.col("total") > 0, half_up(F.col("best.points") * 100 / F.col("total"))).otherwise(F.lit(0).cast("long")).alias("confidence"), "indicators")
 
 
 def stem(path: Column) -> Column:

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpointed
 
-#: Steps of a propagation that one job takes.
-STEPS = 3
+#: Steps of a propagation that one job takes; a plan has a table twice a step, so it doubles with each.
+STEPS = 2
+#: Edges that one task finishes; a graph of more is taken apart by joins.
+FEW = 200_000
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges (src, dst) without those of nodes that have no way in or no way out, again and again until none is left over."""
     n = edges.count()
     while n:
-        less = edges
-        for _ in range(STEPS):
-            less = less.join(less.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            less = less.join(less.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        edges = checkpointed(less)
+        less = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = checkpointed(less.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = edges.count()
         if m == n:
             break
@@ -52,14 +55,68 @@ def roots_and_what_reaches_them(edges: DataFrame, colours: DataFrame) -> DataFra
         found = found.unionByName(frontier)
 
 
+def components_of(edges: list[tuple]) -> dict:
+    """node -> least node of its component, of few edges: nodes in order of their ends, then backwards from the last one."""
+    ahead: dict = {}
+    back: dict = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    ended: list = []
+    seen: set = set()
+    for start in ahead:
+        stack = [(start, iter(ahead[start]))] if start not in seen else []
+        seen.add(start)
+        while stack:
+            node, rest = stack[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                ended.append(node)
+                stack.pop()
+            else:
+                seen.add(step)
+                stack.append((step, iter(ahead.get(step, ()))))
+    out: dict = {}
+    for start in reversed(ended):
+        if start not in out:
+            group, todo = {start}, [start]
+            while todo:
+                fresh = [x for x in back.get(todo.pop(), ()) if x not in out and x not in group]
+                group.update(fresh)
+                todo += fresh
+            out |= dict.fromkeys(group, min(group))
+    return out
+
+
+def _by_one_task(edges: DataFrame) -> DataFrame:
+    """node, component of a graph of at most FEW edges, components of one node left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, kind = [], None
+        for b in batches:
+            kind = b.schema.field(0).type
+            pairs += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        found = components_of(pairs)
+        size = Counter(found.values())
+        rows = [(n, c) for n, c in found.items() if size[c] > 1]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*rows, strict=True)], ["node", "component"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """node, component: nodes that lie on a cycle of two or more nodes, with the least node of their component.
 
     Trimming takes what leads to no cycle or from none; each node then gets the least node that reaches it, and what
     reaches that node back is a component of it. The rest goes on within its colours. Each table that is kept between
-    rounds has a row a node or a row an edge. Self-loops, repeated edges and nulls change nothing.
+    rounds has a row a node or a row an edge. A graph of at most FEW edges is done by one task. Self-loops, repeated edges
+    and nulls change nothing.
     """
     left = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    if left.limit(FEW + 1).count() <= FEW:
+        return _by_one_task(left)
     parts: list[DataFrame] = []
     while True:
         left = trimmed(left)

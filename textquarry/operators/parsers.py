@@ -198,10 +198,10 @@ def _docs(path: str, text: str) -> Iterator[tuple]:
 
 
 def docs(files: DataFrame, file: str | None = None, symbol: str | None = None) -> DataFrame:
-    """Rows of DOCS: documented symbols by block comments, docstrings and line comments; of one file or one symbol if asked for."""
+    """Rows of DOCS: documented symbols by block comments, docstrings and line comments; of one file, or of symbols whose name holds a text, if asked for."""
     given = files.where(F.col("path") == file) if file else files
     found = parsed(given, r'/\*\*|"""|\'\'\'|//', _docs, DOCS)
-    return found.where(F.col("name") == symbol) if symbol else found
+    return found.where(F.contains(F.lower("name"), F.lit(symbol.lower()))) if symbol else found
 
 
 def undocumented(files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expanded, terms, terms_of, token_estimate
+from ..rules import changes as R
 from ..rules.concepts import CONCEPTS
 from ..sources.corpus import lines_of
 from .shared import checkpointed
@@ -70,16 +71,14 @@ def concept_search(parts: DataFrame, query: str, key: list[str], text: str = "ch
 
 def relevance(path: Column, content: Column, query: str) -> Column:
     """0 to 1: query words in path and content, source files up, tests, configuration and depth down."""
-    ws = terms_of(query)
     low_path, low = F.lower(path), F.lower(content)
-    score = F.lit(0.0)
-    for w in ws:
-        hits = (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
-        score = score + F.when(low_path.contains(w), 0.3).otherwise(0.0) + F.least(hits * 0.1, F.lit(0.4))
-    score = score + F.when(path.rlike(r"\.(ts|tsx|js|jsx|py|go|rs|java)$"), 0.1).otherwise(0.0)
-    score = score - F.when(low_path.rlike("test|spec"), 0.1).otherwise(0.0) - F.when(low_path.rlike("config"), 0.05).otherwise(0.0)
-    depth = F.size(F.split(path, "/"))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score + F.greatest(F.lit(0.0), 0.1 - depth * 0.01)))
+    hits = lambda w: (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
+    if_any = lambda condition, points: F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
+    points = [p for w in terms_of(query) for p in (if_any(low_path.contains(w), R.IN_PATH), F.least(hits(w) * R.EACH_HIT, F.lit(R.MOST_HITS)))]
+    points.append(if_any(path.rlike(r"\.(ts|tsx|js|jsx|py|go|rs|java)$"), R.SOURCE_FILE))
+    points += [if_any(low_path.rlike("test|spec"), R.TEST_FILE), if_any(low_path.rlike("config"), R.CONFIG_FILE)]
+    points.append(F.greatest(F.lit(0.0), R.TOP - F.size(F.split(path, "/")) * R.EACH_FOLDER))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(points, F.lit(0.0))))
 
 
 def merged_regions(regions: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def duplicate_functions(files: DataFrame, min_lines: int = 5) -> DataFrame:
 
 
 def duplicate_texts(files: DataFrame) -> DataFrame:
-    """Texts that are equal in their first 200 normalised characters, as in the duplicate report."""
-    key = F.substr(F.regexp_replace(F.col("content"), r"[ \t\r\n\x0B\f]+", " "), F.lit(1), F.lit(200))
+    """Whole texts of more than 50 characters that are equal but for white space."""
+    key = F.regexp_replace(F.col("content"), r"[ \t\r\n\x0B\f]+", " ")
     return duplicates(files.where(F.length("content") > 50).select("path", F.md5(key).alias("key")), "key")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, trimmed
 from ..rules import symbols as S
+from ..rules.changes import TYPE_USES
 from ..rules.lines import LAYER_RULES, word
 from ..sources.corpus import lines_of
 from .ranking import batches, resolved_import
@@ -75,21 +78,33 @@ def symbols(files: DataFrame, kinds: list[str] | None = None, language: str | No
 
 
 def _bodies(path: str, language: str, content: str, rules: list[tuple[str, re.Pattern]]) -> Iterator[tuple]:
+    """A body goes to its closing brace; one that a colon opens goes on while lines are indented deeper; one of neither ends before the next definition."""
     lines = content.split("\n")
-    for name, _, line, _ in places(content, rules):
-        depth, opened, end = 0, False, line - 1
-        for end in range(line - 1, len(lines)):
-            depth += lines[end].count("{") - lines[end].count("}")
-            opened = opened or "{" in lines[end]
-            if opened and depth <= 0:
+    found = list(places(content, rules))
+    begins = sorted({line - 1 for _, _, line, _ in found})
+    for name, _, line, _ in found:
+        first, head = line - 1, lines[line - 1]
+        after = next((b for b in begins[bisect_right(begins, first) :]), len(lines))
+        indent, depth, opened, end = len(head) - len(head.lstrip()), 0, False, first
+        by_colon = head.rstrip().endswith(":")
+        for k in range(first, len(lines)):
+            text = lines[k]
+            if by_colon and k > first and text.strip() and len(text) - len(text.lstrip()) <= indent:
                 break
-        inner = re.search(r"\(([^)]*)\)", lines[line - 1])
-        if end - line + 1 >= 3:
-            yield path, name, line, inner[1].count(",") + 1 if inner and inner[1].strip() else 0, "\n".join(lines[line - 1 : end + 1])
+            depth += text.count("{") - text.count("}")
+            opened = opened or "{" in text
+            if not by_colon and not opened and k >= after:
+                break
+            end = k if not by_colon or text.strip() else end
+            if not by_colon and opened and depth <= 0:
+                break
+        inner = re.search(r"\(([^)]*)\)", head)
+        if end - first + 1 >= 3:
+            yield path, name, line, inner[1].count(",") + 1 if inner and inner[1].strip() else 0, "\n".join(lines[first : end + 1])
 
 
 def bodies(files: DataFrame) -> DataFrame:
-    """A row of BODIES for each function and class of more than three lines: its text from its line to the closing brace."""
+    """A row of BODIES for each function and class of three lines or more: its text from its line to its end, see _bodies()."""
     return _of_files(files, ["function", "class"], _bodies, BODIES)
 
 
@@ -149,6 +164,17 @@ def self_imports(edges: DataFrame) -> DataFrame:
     return edges.where("src = dst").select(F.col("src").alias("node"))
 
 
+def check_architecture(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, import_path, rule, severity) of forbidden imports and of files on circular imports, and one row: rules_checked,
+    files_tested, errors, warnings, passed."""
+    table = imports(files)
+    circles = on_cycles(import_edges(files, table))
+    found = layer_violations(table).unionByName(circles.select(F.col("node").alias("path"), F.col("cycle").alias("import_path"), F.lit("no-circular-imports").alias("rule"), F.lit("error").alias("severity")))
+    counts = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    tested = files.agg(F.count(F.lit(1)).alias("files_tested"))
+    return found, tested.join(F.broadcast(counts)).select(F.lit(len(LAYER_RULES) + 1).cast("long").alias("rules_checked"), "files_tested", "errors", "warnings", (F.col("errors") == 0).alias("passed"))
+
+
 def layer_violations(table: DataFrame) -> DataFrame:
     """path, import_path, rule, severity; the rules are expressions, so imports are read once."""
     hits = F.array_compact(F.array(*[F.when(F.col("path").contains(layer) & F.exists(F.array(*[F.lit(x) for x in banned]), lambda b: F.contains(F.col("import_path"), b)), F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"))) for rule, layer, banned, sev in LAYER_RULES]))
@@ -156,18 +182,11 @@ def layer_violations(table: DataFrame) -> DataFrame:
 
 
 def type_flow(files: DataFrame, name: str) -> DataFrame:
-    """path, line_no, kind of each line that names a type; the first kind that fits."""
-    w, t = word(name), trimmed(F.col("text"))
-    kind = (
-        F.when(t.rlike(rf"^(export\s+)?(interface|type|class|enum|struct)\s+{w}"), "definition")
-        .when(t.rlike(r"^(import|from|use|using)\s"), "import")
-        .when(t.rlike(rf"(extends|implements).*{w}"), "extends")
-        .when(t.rlike(rf"<[^>]*{w}"), "generic")
-        .when(t.rlike(rf"\)\s*:.*{name}|->\s*{name}"), "return-type")
-        .when(t.rlike(rf"\(.*:.*{name}") & t.rlike("function|def |func |fn "), "parameter")
-        .when(t.rlike(rf":\s*{name}"), "variable")
-    )
-    return lines_of(files.where(F.col("content").contains(name))).where(F.col("text").rlike(w)).select("path", "line_no", kind.alias("kind")).where("kind IS NOT NULL")
+    """path, line_no, kind of each line that names a type; the first kind of rules.changes.TYPE_USES that fits."""
+    t = trimmed(F.col("text"))
+    fits = lambda patterns: reduce(and_, [t.rlike(p.replace("WORD", word(name)).replace("NAME", name)) for p in patterns])
+    kind = F.coalesce(*[F.when(fits(patterns), F.lit(kind)) for kind, patterns in TYPE_USES])
+    return lines_of(files.where(F.col("content").contains(name))).where(F.col("text").rlike(word(name))).select("path", "line_no", kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def imported_names(files: DataFrame) -> DataFrame:

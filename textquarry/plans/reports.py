@@ -450,3 +450,23 @@ register(
     f"""WITH c AS (SELECT 'web/n' || c_nationkey::VARCHAR || '.js' AS path, {_METHOD} AS method, '/r' || n_regionkey::VARCHAR || '/n' || n_nationkey::VARCHAR || '/c/' || c_custkey::VARCHAR AS route FROM customer JOIN nation ON n_nationkey = c_nationkey)
     SELECT path, upper(method) AS method, route FROM c UNION ALL SELECT path, 'GET', route FROM c WHERE method = 'patch'""",
 )
+
+
+MET = f"""g AS (SELECT p_partkey AS k, {_FOLDER} AS folder FROM part), x AS (SELECT l_partkey AS k, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_discount FROM lineitem),
+m AS (SELECT DISTINCT a.k AS src, b.k AS dst, a.folder AS f, b.folder AS t, 'src/' || a.folder || '/p' || a.k::VARCHAR AS stem, 'src/' || b.folder || '/p' || b.k::VARCHAR AS to_stem FROM x JOIN g a USING (k) JOIN g b ON b.k = x.dst WHERE l_discount = 0),
+bad AS (SELECT stem, CASE WHEN f = 'controllers' THEN 'error' ELSE 'warning' END AS severity FROM m WHERE f = 'controllers' AND t = 'models' OR f = 'utils' AND t = 'controllers'),
+w AS (SELECT stem AS src, to_stem AS dst FROM m WHERE stem <> to_stem AND to_stem IN (SELECT stem FROM m)), reach AS (SELECT src, dst FROM w UNION SELECT r.src, w.dst FROM reach r JOIN w ON r.dst = w.src),
+circles AS (SELECT count(DISTINCT a.src) AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)"""
+register(
+    "architecture_report",
+    lambda s, d: symbols.check_architecture(_layers(s, d))[1],
+    f"""WITH RECURSIVE {MET}, e AS (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM bad)
+    SELECT 3 AS rules_checked, (SELECT count(DISTINCT stem) FROM m) AS files_tested, errors + circles.n AS errors, warnings, errors + circles.n = 0 AS passed FROM e, circles""",
+)
+_UP, _DOWN = "count(*) FILTER (l_returnflag <> 'A') + 1", "count(*) FILTER (l_returnflag <> 'R') + 1"
+register(
+    "categorize_diff",
+    lambda s, d: change.categorised(_patches(s, d)).select("diff_id", "category", "confidence"),
+    f"""WITH n AS (SELECT l_orderkey AS diff_id, {_UP} AS up, {_DOWN} AS down FROM lineitem GROUP BY l_orderkey), p AS (SELECT diff_id, CASE WHEN abs(up - down) < greatest(up, down) * 0.3 THEN 3 ELSE 0 END AS refactor, CASE WHEN up > down * 3 THEN 3 ELSE 0 END AS feature FROM n)
+    SELECT diff_id, CASE WHEN refactor >= feature THEN 'refactor' ELSE 'feature' END AS category, CASE WHEN refactor + feature > 0 THEN 100 ELSE 0 END AS confidence FROM p""",
+)

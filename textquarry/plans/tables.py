@@ -54,6 +54,11 @@ register(
     lambda s, d: search.references(doc_files(s, d), "token"),
     f"WITH {DOCS}, {LINES} SELECT path, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line FROM lines WHERE regexp_matches(text, '\\btoken\\b') GROUP BY path",
 )
+register(
+    "reference_lines",
+    lambda s, d: search.search(doc_files(s, d), "token", ignore_case=False, whole_word=True).select("path", "line_no", "text"),
+    f"WITH {DOCS}, {LINES} SELECT path, line_no, regexp_replace(text, '[ \\t\\r]+$', '') AS text FROM lines WHERE regexp_matches(text, '\\btoken\\b')",
+)
 register(
     "read_range",
     lambda s, d: search.read_range(doc_files(s, d), "src1/1", 2, 4),
@@ -247,7 +252,7 @@ register(
 register(
     "find_duplicates",
     lambda s, d: scans.duplicate_texts(doc_files(s, d)),
-    f"WITH {DOCS} SELECT md5(substr(regexp_replace(content, '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g'), 1, 200)) AS key, count(*) AS n, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM files WHERE length(content) > 50 GROUP BY 1 HAVING count(DISTINCT path) >= 2",
+    f"WITH {DOCS} SELECT md5(regexp_replace(content, '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g')) AS key, count(*) AS n, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM files WHERE length(content) > 50 GROUP BY 1 HAVING count(DISTINCT path) >= 2",
 )
 register("exact_duplicates", lambda s, d: scans.exact_duplicates(doc_files(s, d)), f"WITH {DOCS} SELECT sha256(content) AS key, count(*) AS n, count(DISTINCT path) AS n_paths, min(path) AS first_path FROM files GROUP BY 1 HAVING count(DISTINCT path) >= 2")
 

@@ -105,7 +105,7 @@ register(
 register("undocumented", lambda s, d: parsers.undocumented((t := tree(s, d)), symbols.symbols(t)), f"SELECT {_ROWS} FROM syms WHERE kind = 'interface' OR name = 'helper'")
 _DOC = "SELECT path, 'f' || k::VARCHAR AS name, 'block' AS kind, n + 3 AS line_no, 'Makes part ' || k::VARCHAR || '.' AS summary, 0 AS params, false AS deprecated FROM p"
 register("code_docs", lambda s, d: parsers.docs(tree(s, d)), _DOC)
-register("symbol_docs", lambda s, d: parsers.docs(tree(s, d), symbol="f12").select("path", "name", "summary", "deprecated"), f"SELECT path, name, summary, deprecated FROM ({_DOC}) WHERE name = 'f12'")
+register("symbol_docs", lambda s, d: parsers.docs(tree(s, d), symbol="f12").select("path", "name", "summary", "deprecated"), f"SELECT path, name, summary, deprecated FROM ({_DOC}) WHERE contains(name, 'f12')")
 register(
     "type_flow",
     lambda s, d: symbols.type_flow(tree(s, d), "I7"),
