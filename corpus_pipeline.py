@@ -2,17 +2,36 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the columns of
 documents, but for the last, which returns the packed pieces. Between stages the rows are written as Parquet to the
-shared folder and read again. Rows with a null doc_id go through every stage on their own.
+shared folder and read again. Rows with a null doc_id go through every stage on their own; texts are worked on whole,
+however long; an empty table goes through to no pieces. Further columns come out of a stage as they went in, also those
+that are named like a result of a stage: they have other names while a stage runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import jaccard, mixing, packing, pii, quality
 from textquarry.llm.common import stage, table
 
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _columns_kept(step: Stage) -> Stage:
+    """step with all columns but those of documents renamed while it runs."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in DOCUMENT else f"_given{k}" for k, c in enumerate(docs.columns)}
+        out = step(spark, docs.toDF(*names.values()), sf_dir)
+        given = {new: old for old, new in names.items()}
+        return out.toDF(*[given.get(c, c) for c in out.columns])
+
+    return run
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -52,11 +71,11 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("pseudonyms", pseudonyms),
-    ("mixing sources to target weights", mixing_weights),
-    ("best-fit packing", best_fit_packing),
+    ("quality rules", _columns_kept(quality_rules)),
+    ("n-gram Jaccard join", _columns_kept(near_duplicates)),
+    ("pseudonyms", _columns_kept(pseudonyms)),
+    ("mixing sources to target weights", _columns_kept(mixing_weights)),
+    ("best-fit packing", _columns_kept(best_fit_packing)),
 ]
 
 #: Training, set joins over hashes and tokenization have no SQL form; tests hold the stages against brute force.
