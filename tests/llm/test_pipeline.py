@@ -40,3 +40,14 @@ def test_odd_rows_go_through(spark, tmp_path):
         spark.createDataFrame([(1, 1, 0), (101, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         out = corpus_pipeline.run(spark, folder).collect()
         assert bool(out) == (name == "some")
+
+
+def test_columns_named_like_results_come_out_as_they_went_in(spark, tmp_path):
+    rows = [(*r, "mine", -1.5, f"s{k}") for k, r in enumerate(corpus_rows()[:40])]
+    docs = spark.createDataFrame(rows, f"{DOCS}, kept string, factor double, class string")
+    spark.createDataFrame([(1, 1, 0), (101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = common.stage(step(spark, docs, str(tmp_path)), "clash")
+        assert docs.columns == [*(c.split()[0] for c in DOCS.split(", ")), "kept", "factor", "class"], name
+        got = docs.collect()
+        assert got and {(r["kept"], r["factor"]) for r in got} == {("mine", -1.5)} and len({r["class"] for r in got}) == len(got)
