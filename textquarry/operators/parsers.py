@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import web as W
@@ -208,3 +208,18 @@ def undocumented(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Functions, classes, interfaces and types without documentation, private names (leading _) aside."""
     own = symbols.where(F.col("kind").isin("function", "class", "interface", "type") & ~F.col("name").startswith("_"))
     return own.join(docs(files).select("path", "name").distinct(), ["path", "name"], "left_anti").select("path", "name", "kind", "line_no")
+
+
+def migrations(files: DataFrame) -> DataFrame:
+    """path, timestamp (the first 10 to 14 digits of the path, null without), description of SQL files, in the order of their timestamps and names as `nth`."""
+    stamp = F.nullif(F.regexp_extract("path", r"(\d{10,14})", 1), F.lit(""))
+    each = files.where(F.col("path").endswith(".sql")).select("path", stamp.alias("timestamp"), F.regexp_extract("path", "[^/]*$", 0).alias("description"))
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return each.withColumn("nth", F.row_number().over(Window.partitionBy(folder).orderBy(F.asc_nulls_last("timestamp"), "path")).cast("long"))
+
+
+def schema_summary(columns: DataFrame) -> DataFrame:
+    """One row: tables, columns, relationships and the mappers that were seen. columns: db_columns()."""
+    counts = columns.agg(F.count_distinct("path", "table").alias("tables"), F.count("column").alias("columns"), F.array_join(F.array_sort(F.collect_set("orm")), " ").alias("orms"))
+    links = db_relationships(columns).agg(F.count(F.lit(1)).alias("relationships"))
+    return counts.join(F.broadcast(links)).select("tables", "columns", "relationships", "orms")

@@ -470,3 +470,24 @@ register(
     f"""WITH n AS (SELECT l_orderkey AS diff_id, {_UP} AS up, {_DOWN} AS down FROM lineitem GROUP BY l_orderkey), p AS (SELECT diff_id, CASE WHEN abs(up - down) < greatest(up, down) * 0.3 THEN 3 ELSE 0 END AS refactor, CASE WHEN up > down * 3 THEN 3 ELSE 0 END AS feature FROM n)
     SELECT diff_id, CASE WHEN refactor >= feature THEN 'refactor' ELSE 'feature' END AS category, CASE WHEN refactor + feature > 0 THEN 100 ELSE 0 END AS confidence FROM p""",
 )
+register(
+    "schema_summary",
+    lambda s, d: parsers.schema_summary(parsers.db_columns(_schemas(s, d))),
+    f"WITH {COLUMNS}, r AS (SELECT count(DISTINCT (\"table\", \"references\")) + (SELECT count(*) FROM nation) AS n FROM cols WHERE \"references\" IS NOT NULL) SELECT count(DISTINCT (path, \"table\")) AS tables, count(*) AS columns, any_value(n) AS relationships, 'sql' AS orms FROM cols, r",
+)
+
+
+# migrations: a file for each nation, stamped by its region and key
+def _migrations(s, d) -> DataFrame:
+    k = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    stamp = F.when(F.col("n_regionkey") < 4, F.concat(F.lit("2024010"), F.col("n_regionkey").cast("string"), F.lit("00"), k, F.lit("_"))).otherwise(F.lit(""))
+    return table(s, d, "nation").select(F.concat(F.lit("db/migrations/"), stamp, F.lit("n"), k, F.lit(".sql")).alias("path"))
+
+
+register(
+    "migrations",
+    lambda s, d: parsers.migrations(_migrations(s, d)),
+    """WITH m AS (SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS k, CASE WHEN n_regionkey < 4 THEN '2024010' || n_regionkey::VARCHAR || '00' || lpad(n_nationkey::VARCHAR, 2, '0') END AS timestamp FROM nation),
+    f AS (SELECT timestamp, coalesce(timestamp || '_', '') || 'n' || k || '.sql' AS description FROM m)
+    SELECT 'db/migrations/' || description AS path, timestamp, description, row_number() OVER (ORDER BY timestamp NULLS LAST, 'db/migrations/' || description) AS nth FROM f""",
+)
