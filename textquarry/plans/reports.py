@@ -120,7 +120,7 @@ register(
 
 # manifests: a package for each supplier that needs those whose lines follow its own in an order, and one large library
 def _packages(s, d) -> DataFrame:
-    following = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    following = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"))
     edges = table(s, d, "lineitem").select(F.col("l_suppkey").alias("sk"), following.alias("to"), "l_discount", "l_tax").where("l_discount = 0 AND l_tax = 0.01 AND to IS NOT NULL").select("sk", "to").distinct()
     needs = edges.groupBy("sk").agg(F.map_from_entries(F.collect_list(F.struct(_text("pkg", F.col("to")), _text("^", F.col("sk") % 3, ".0.0")))).alias("needs"))
     heavy = F.get(F.array(*[F.lit(name) for name, _ in W.HEAVY]), (F.col("sk") % len(W.HEAVY)).cast("int"))
@@ -131,7 +131,7 @@ def _packages(s, d) -> DataFrame:
 
 
 _HEAVY = ", ".join(f"({quoted(name)}, {kb}, {k})" for k, (name, kb) in enumerate(W.HEAVY))
-NEEDS = f"""follow AS (SELECT l_suppkey AS sk, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_discount, l_tax FROM lineitem),
+NEEDS = f"""follow AS (SELECT l_suppkey AS sk, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_tax) AS dst, l_discount, l_tax FROM lineitem),
 edges AS (SELECT DISTINCT sk, dst FROM follow JOIN supplier ON sk = s_suppkey WHERE l_discount = 0 AND l_tax = 0.01 AND dst IS NOT NULL), large(name, kb, nr) AS (VALUES {_HEAVY}),
 needs AS (SELECT sk, 'pkg' || dst::VARCHAR AS name, '^' || (sk % 3)::VARCHAR || '.0.0' AS version FROM edges UNION ALL SELECT s_suppkey, 'express', '^4.0.0' FROM supplier WHERE s_nationkey < 5 UNION ALL SELECT s_suppkey, name, '^4.1.0' FROM supplier JOIN large ON nr = s_suppkey % {len(W.HEAVY)}),
 n AS (SELECT 's' || sk::VARCHAR || '/package.json' AS path, 'pkg' || sk::VARCHAR AS package, name, version FROM needs), inner_edges AS (SELECT DISTINCT package AS src, name AS dst FROM n JOIN supplier ON name = 'pkg' || s_suppkey::VARCHAR WHERE package <> name)"""
@@ -360,28 +360,31 @@ register(
 )
 
 
-# what a changed file of the tree touches
-def _changed(s):
-    return s.createDataFrame([("src/p7.ts",)], "path string"), s.createDataFrame([("src/p7.ts", "f7", "modified")], "file string, name string, change string")
+# what a changed file of the tree touches: the first one that another file imports
+def _changed(s, d):
+    stem = symbols.import_edges(T.tree(s, d)).where("src <> dst").agg(F.min("dst").alias("stem")).where("stem IS NOT NULL")
+    file = F.concat("stem", F.lit(".ts"))
+    return stem.select(file.alias("path")), stem.select(file.alias("file"), F.concat(F.lit("f"), F.regexp_extract("stem", r"(\d+)$", 1)).alias("name"), F.lit("modified").alias("change"))
 
 
 def _impact(s, d) -> DataFrame:
-    return change.impact(T.tree(s, d), *_changed(s))
+    return change.impact(T.tree(s, d), *_changed(s, d))
 
 
-_TOUCHED = "SELECT path FROM e WHERE dst = 7 AND src <> 7"
-register("change_impact", _impact, f"WITH {T.PARTS} SELECT path, 'imports' AS reason, 'src/p7.ts' AS what FROM ({_TOUCHED}) UNION ALL SELECT path, 'uses', 'f7' FROM ({_TOUCHED})")
-register("change_risk", lambda s, d: change.risk(_impact(s, d), _changed(s)[1]), f"WITH {T.PARTS}, n AS (SELECT count(*) AS affected FROM ({_TOUCHED})) SELECT affected, 1 AS symbols, 0 AS breaking, CASE WHEN affected > 20 THEN 'high' WHEN affected > 5 THEN 'medium' ELSE 'low' END AS risk FROM n")
+TOUCHED = f"WITH RECURSIVE {T.PARTS}, ch AS (SELECT min('src/p' || dst::VARCHAR) AS stem FROM e WHERE src <> dst), touched AS (SELECT path, stem, dst FROM e, ch WHERE 'src/p' || dst::VARCHAR = stem AND src <> dst)"
+register("change_impact", _impact, f"{TOUCHED} SELECT path, 'imports' AS reason, stem || '.ts' AS what FROM touched UNION ALL SELECT path, 'uses', 'f' || dst::VARCHAR FROM touched")
+register("change_risk", lambda s, d: change.risk(_impact(s, d), _changed(s, d)[1]), f"{TOUCHED}, n AS (SELECT count(*) AS affected FROM touched) SELECT affected, 1 AS symbols, 0 AS breaking, CASE WHEN affected > 20 THEN 'high' WHEN affected > 5 THEN 'medium' ELSE 'low' END AS risk FROM n")
 
 
 def _affected(s, d) -> DataFrame:
     files = T.tree(s, d)
     tests = files.select(F.regexp_replace("path", r"\.ts$", ".test.ts").alias("path"), "language", _text("import { f } from './", F.regexp_extract("path", r"(p\d+)", 1), "';").alias("content"))
     both = files.unionByName(tests)
-    return change.affected_tests(both, change.impact(both, *_changed(s)), _changed(s)[0])
+    changed = _changed(s, d)
+    return change.affected_tests(both, change.impact(both, *changed), changed[0])
 
 
-register("affected_tests", _affected, "SELECT 'src/p' || p_partkey::VARCHAR || '.test.ts' AS path FROM part WHERE p_partkey = 7")
+register("affected_tests", _affected, f"{TOUCHED} SELECT DISTINCT stem || '.test.ts' AS path FROM ch WHERE stem IS NOT NULL")
 register("codebase_map", lambda s, d: metrics.codebase_map(T.tree(s, d)), "SELECT count(*) AS total_files, count(*) AS code_files, 1 AS directories, false AS has_tests, false AS has_ci, false AS has_docs, false AS has_docker, 'typescript' AS main_language, CASE WHEN count(*) < 50 THEN 'small' WHEN count(*) < 500 THEN 'medium' WHEN count(*) < 5000 THEN 'large' ELSE 'enterprise' END AS size_class FROM part")
 
 
@@ -391,7 +394,7 @@ _FOLDER = "CASE WHEN p_size < 15 THEN 'controllers' WHEN p_size < 30 THEN 'utils
 
 def _layers(s, d) -> DataFrame:
     of = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.expr(_FOLDER).alias("folder"))
-    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"))
     edges = table(s, d, "lineitem").select(F.col("l_partkey").alias("k"), following.alias("dst"), "l_discount").where("l_discount = 0 AND dst IS NOT NULL").select("k", "dst").distinct()
     met = edges.join(of, "k").join(of.select(F.col("k").alias("dst"), F.col("folder").alias("to")), "dst")
     line = _text("import x from '../", F.col("to"), "/p", F.col("dst"), "';")
@@ -401,7 +404,7 @@ def _layers(s, d) -> DataFrame:
 register(
     "layer_violations",
     lambda s, d: symbols.layer_violations(symbols.imports(_layers(s, d))),
-    f"""WITH g AS (SELECT p_partkey AS k, {_FOLDER} AS folder FROM part), x AS (SELECT l_partkey AS k, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_discount FROM lineitem),
+    f"""WITH g AS (SELECT p_partkey AS k, {_FOLDER} AS folder FROM part), x AS (SELECT l_partkey AS k, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_tax) AS dst, l_discount FROM lineitem),
     m AS (SELECT DISTINCT 'src/' || a.folder || '/p' || a.k::VARCHAR || '.ts' AS path, '../' || b.folder || '/p' || b.k::VARCHAR AS import_path, a.folder AS f, b.folder AS t FROM x JOIN g a USING (k) JOIN g b ON b.k = x.dst WHERE l_discount = 0)
     SELECT path, import_path, 'no-controller-in-model' AS rule, 'error' AS severity FROM m WHERE f = 'controllers' AND t = 'models' UNION ALL SELECT path, import_path, 'no-upward-dependency', 'warning' FROM m WHERE f = 'utils' AND t = 'controllers'""",
 )
@@ -452,7 +455,7 @@ register(
 )
 
 
-MET = f"""g AS (SELECT p_partkey AS k, {_FOLDER} AS folder FROM part), x AS (SELECT l_partkey AS k, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_discount FROM lineitem),
+MET = f"""g AS (SELECT p_partkey AS k, {_FOLDER} AS folder FROM part), x AS (SELECT l_partkey AS k, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_tax) AS dst, l_discount FROM lineitem),
 m AS (SELECT DISTINCT a.k AS src, b.k AS dst, a.folder AS f, b.folder AS t, 'src/' || a.folder || '/p' || a.k::VARCHAR AS stem, 'src/' || b.folder || '/p' || b.k::VARCHAR AS to_stem FROM x JOIN g a USING (k) JOIN g b ON b.k = x.dst WHERE l_discount = 0),
 bad AS (SELECT stem, CASE WHEN f = 'controllers' THEN 'error' ELSE 'warning' END AS severity FROM m WHERE f = 'controllers' AND t = 'models' OR f = 'utils' AND t = 'controllers'),
 w AS (SELECT stem AS src, to_stem AS dst FROM m WHERE stem <> to_stem AND to_stem IN (SELECT stem FROM m)), reach AS (SELECT src, dst FROM w UNION SELECT r.src, w.dst FROM reach r JOIN w ON r.dst = w.src),

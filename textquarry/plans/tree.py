@@ -26,7 +26,7 @@ def register(name: str, query, sql: str) -> None:
 
 def tree(s, d):
     """path, language, content of the tree."""
-    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"))
     each = table(s, d, "lineitem").select(F.col("l_partkey").alias("k"), following.alias("dst"), "l_discount", "l_tax").where("l_discount = 0 AND l_tax <= 0.03 AND dst IS NOT NULL")
     deps = each.groupBy("k").agg(F.array_sort(F.collect_set("dst")).alias("deps"))
     parts = table(s, d, "part").select(F.col("p_partkey").alias("k"), "p_size", F.col("p_retailprice") > 910).toDF("k", "size", "dear").join(deps, "k", "left")
@@ -45,7 +45,7 @@ def tree(s, d):
 
 
 #: Parts with their files' paths, the parts that they import (ascending) and their number; edges: one row an import.
-PARTS = """follow AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_discount, l_tax FROM lineitem),
+PARTS = """follow AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount, l_tax) AS dst, l_discount, l_tax FROM lineitem),
 edges AS (SELECT DISTINCT src, dst FROM follow JOIN part ON src = p_partkey WHERE l_discount = 0 AND l_tax <= 0.03 AND dst IS NOT NULL),
 p AS (SELECT p_partkey AS k, p_size AS size, p_retailprice > 910 AS dear, 'src/p' || p_partkey::VARCHAR || '.ts' AS path, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) ON src = p_partkey),
 e AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS nth FROM edges JOIN p ON k = src),
