@@ -24,6 +24,8 @@ from .common import table
 
 DIMS = 1 << 17
 WORD_ORDERS = (1, 2)
+#: Bytes of text that are taken apart at a time; n-grams of characters take many times their bytes.
+CHUNK = 1 << 18
 CHAR_ORDER = 4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -155,7 +157,7 @@ def features(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in K.chunks(batch.column(1)):
+            for lo, hi, buf, offs in K.chunks(batch.column(1), CHUNK):
                 families, slots, shares = ngram_slots(buf, offs), [], []
                 for d in range(hi - lo):
                     own = [np.unique(slot[first[d] : first[d + 1]], return_counts=True) for slot, first in families]
@@ -247,7 +249,7 @@ def score(docs: DataFrame, model: Model, min_words: int = 20, max_repeat: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, more = shared.value
         for batch in batches:
-            for lo, hi, buf, offs in K.chunks(batch.column(1)):
+            for lo, hi, buf, offs in K.chunks(batch.column(1), CHUNK):
                 x = signals(buf, offs)
                 z = logits(weights, ngram_slots(buf, offs), hi - lo)
                 p = {k: _sigmoid(more[j][1] * (z[j] + more[j][0]) + more[j][2]) for j, k in enumerate(names)}
